@@ -10,6 +10,9 @@ nearly equal size, so the sort behind a rank never meets more than a slice:
 4. a window per (group, slice) adds the position inside the slice.
 
 The cut points only balance the work, so their error never reaches the result.
+
+A plan whose whole input is a few megabytes by Catalyst's statistics takes the built-in
+aggregate instead; both ways give the same numbers.
 """
 
 from __future__ import annotations
@@ -20,11 +23,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _STEPS = [512, 256, 128, 64, 32, 16, 8, 4, 2, 1]
-_CUTS = [i / 1024 for i in range(1, 1024)]
+# one text literal: cheaper to analyse than an array of 1,023 literal nodes
+_CUTS = "cast(split('" + " ".join(str(i / 1024) for i in range(1, 1024)) + "', ' ') as array<double>)"
 # A group is sliced when it holds more than 1/4096 of all distinct values, which
 # bounds the broadcast cut table to 4,096 rows of 1,023 numbers (32 MB).
 _MAX_HOT_GROUPS = 4096
 _HOT_VALUES = 1 << 20
+_SMALL_INPUT = 64 << 20
 
 
 def _slice_of(value: Column, cuts: Column) -> Column:
@@ -36,8 +41,18 @@ def _slice_of(value: Column, cuts: Column) -> Column:
     )
 
 
+def fits_one_task(df: DataFrame, limit: int = _SMALL_INPUT) -> bool:
+    """Whether everything a plan reads is small enough for one task.
+
+    Uses the leaf sizes Catalyst already knows (file sizes); nothing runs.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    total = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return total <= limit
+
+
 def positions(
-    df: DataFrame, keys: Sequence[str], value: str, hot_values: int = _HOT_VALUES
+    df: DataFrame, keys: Sequence[str], value: str, hot_values: int = _HOT_VALUES, small: bool | None = None
 ) -> DataFrame:
     """Distinct ``(keys, value)`` rows with their place in the order of ``value``.
 
@@ -46,17 +61,26 @@ def positions(
     """
     keys = list(keys)
     if not keys:
-        out = positions(df.select(F.lit(0).alias("_all"), value), ["_all"], value, hot_values)
+        out = positions(df.select(F.lit(0).alias("_all"), value), ["_all"], value, hot_values, small)
         return out.drop("_all")
 
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_w"))
+    if fits_one_task(df) if small is None else small:
+        up = Window.partitionBy(*keys).orderBy(value)
+        return counts.select(
+            *keys, value, "_w",
+            (F.sum("_w").over(up.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_w")).alias("_before"),
+            (F.row_number().over(up) - 1).cast("bigint").alias("_rank0"),
+            F.sum("_w").over(Window.partitionBy(*keys)).alias("_n"),
+        )
+
     sizes = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d"))
     share = sizes.agg((F.sum("_d") / _MAX_HOT_GROUPS).alias("s")).scalar()
     hot = sizes.where((F.col("_d") > hot_values) & (F.col("_d") > share)).select(*keys)
     cuts = (
         counts.join(F.broadcast(hot), keys, "left_semi")
         .groupBy(*keys)
-        .agg(F.percentile_approx(value, _CUTS, 10_000).alias("_cuts"))
+        .agg(F.expr(f"percentile_approx(`{value}`, {_CUTS}, 10000)").alias("_cuts"))
     )
     sliced = counts.join(F.broadcast(cuts), keys, "left").withColumn(
         "_slice",
@@ -106,14 +130,21 @@ def quantiles(
     value: str,
     probs: Mapping[str, float],
     hot_values: int = _HOT_VALUES,
+    small: bool | None = None,
 ) -> DataFrame:
     """Linearly interpolated quantiles, one column per name, plus ``_n``."""
+    if fits_one_task(df) if small is None else small:
+        v = F.col(value).cast("double")
+        both = df.groupBy(*keys).agg(
+            F.count(v).alias("_n"), F.percentile(v, F.array(*[F.lit(float(p)) for p in probs.values()])).alias("_q")
+        )
+        return both.select(*keys, "_n", *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)])
     places: dict[str, Column] = {}
     for name, p in probs.items():
         at = (F.col("_n") - 1) * F.lit(float(p))
         places[f"_lo_{name}"] = F.floor(at)
         places[f"_hi_{name}"] = F.ceil(at)
-    picked = pick(positions(df, keys, value, hot_values), keys, value, places)
+    picked = pick(positions(df, keys, value, hot_values, small=False), keys, value, places)
     out = []
     for name, p in probs.items():
         at = (F.col("_n") - 1) * F.lit(float(p))
@@ -122,9 +153,11 @@ def quantiles(
     return picked.select(*keys, "_n", *out)
 
 
-def medians(df: DataFrame, keys: Sequence[str], value: str, name: str = "median") -> DataFrame:
+def medians(
+    df: DataFrame, keys: Sequence[str], value: str, name: str = "median", small: bool | None = None
+) -> DataFrame:
     """Exact median per group."""
-    return quantiles(df, keys, value, {name: 0.5}).drop("_n")
+    return quantiles(df, keys, value, {name: 0.5}, small=small).drop("_n")
 
 
 def to_long(df: DataFrame, keys: Sequence[str], values: Sequence[str], name: str = "metric") -> DataFrame:

@@ -3,6 +3,8 @@
 from rasterlab.plans import (  # noqa: F401
     queries_background,
     queries_cells,
+    queries_pixels,
+    queries_shape,
     queries_summary,
 )
 from rasterlab.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -160,7 +160,7 @@ def l9_multi_marker(spark, sf_dir):
         round(max(area) * 0.25, 6)::DOUBLE AS area_um2
    FROM ctcf GROUP BY condition, image_set, label)
 SELECT wide.*, round(coalesce(x_centroid, 0), 6) AS x_centroid, round(coalesce(y_centroid, 0), 6) AS y_centroid
-FROM wide LEFT JOIN shape ON condition = "Condition" AND image_set = "ImageSet" AND label = "CellID" """)
+FROM wide LEFT JOIN shape ON shape.condition = wide."Condition" AND image_set = "ImageSet" AND label = "CellID" """)
 def l10_wide_results(spark, sf_dir):
     shape = views.mosaic(spark, sf_dir).where("label % 3 <> 0").groupBy("condition", "image_set", "label").agg(
         F.avg("y").alias("y_centroid"), F.avg("x").alias("x_centroid"))
