@@ -3,8 +3,11 @@
 from rasterlab.plans import (  # noqa: F401
     queries_background,
     queries_cells,
+    queries_masks,
     queries_pixels,
     queries_shape,
+    queries_stats,
     queries_summary,
+    queries_tables,
 )
 from rasterlab.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -134,10 +134,11 @@ VORONOI = """
          FROM cells LEFT JOIN loc USING (condition, image_set, label) LEFT JOIN whole USING (condition, image_set))"""
 OPENED = """
  off AS (SELECT dy, dx FROM (SELECT unnest(range(-3, 4)) AS dy), (SELECT unnest(range(-3, 4)) AS dx) WHERE dy*dy + dx*dx <= 9),
- ero AS (SELECT t.image_set, t.y, t.x, min(s.value)::DOUBLE AS v FROM raster t, off, raster s
-         WHERE s.image_set = t.image_set AND s.y = t.y + dy AND s.x = t.x + dx GROUP BY ALL),
- opn AS (SELECT t.image_set, t.y, t.x, max(s.v) AS v FROM ero t, off, ero s
-         WHERE s.image_set = t.image_set AND s.y = t.y + dy AND s.x = t.x + dx GROUP BY ALL),
+ pos AS (SELECT image_set, y, x FROM raster),
+ ero AS (SELECT image_set, y, x, min(v)::DOUBLE AS v FROM (SELECT image_set, y + dy AS y, x + dx AS x, value AS v FROM raster, off)
+         JOIN pos USING (image_set, y, x) GROUP BY ALL),
+ opn AS (SELECT image_set, y, x, max(v) AS v FROM (SELECT image_set, y + dy AS y, x + dx AS x, v FROM ero, off)
+         JOIN pos USING (image_set, y, x) GROUP BY ALL),
  j AS (SELECT r.condition, r.image_set, r.label::BIGINT AS label, v FROM raster r JOIN opn USING (image_set, y, x)),
  sd AS (SELECT condition, image_set, stddev_pop(v) AS bg_std FROM j WHERE label = 0 GROUP BY ALL),
  res AS (SELECT condition, image_set, label, median(v) AS background, any_value(bg_std) AS bg_std
