@@ -10,5 +10,6 @@ from rasterlab.plans import (  # noqa: F401
     queries_stats,
     queries_summary,
     queries_tables,
+    queries_tracking,
 )
 from rasterlab.plans.registry import ORACLES, QUERIES  # noqa: F401

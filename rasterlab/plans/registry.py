@@ -33,9 +33,10 @@ def statement(uses: str, sql: str) -> str:
     """Prefixes ``sql`` (a SELECT, or further CTEs then a SELECT) with the named views."""
     sql = sql.strip()
     ctes = ",\n".join(f"{v} AS ({views.SQL[v].strip()})" for v in uses.split())
+    # RECURSIVE only permits self-reference; statements without it are unaffected
     if not ctes:
-        return sql if sql.upper().startswith("SELECT") else f"WITH {sql}"
-    return f"WITH {ctes}\n{sql}" if sql.upper().startswith("SELECT") else f"WITH {ctes},\n{sql}"
+        return sql if sql.upper().startswith("SELECT") else f"WITH RECURSIVE {sql}"
+    return f"WITH {ctes}\n{sql}" if sql.upper().startswith("SELECT") else f"WITH RECURSIVE {ctes},\n{sql}"
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
