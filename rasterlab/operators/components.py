@@ -15,25 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rasterlab.functions.graph import connected_components
-from rasterlab.operators.tiling import TILE, tiles
-
-
-def _smallest_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest node of each node's component, by hooking and pointer jumping."""
-    parent = np.arange(n)
-    while True:
-        ra, rb = parent[a], parent[b]
-        low = np.minimum(ra, rb)
-        np.minimum.at(parent, ra, low)
-        np.minimum.at(parent, rb, low)
-        while True:
-            jumped = parent[parent]
-            if (jumped == parent).all():
-                break
-            parent = jumped
-        if (parent[a] == parent[b]).all():
-            return parent
+from rasterlab.functions.graph import connected_components, smallest_roots
+from rasterlab.functions.grouped import stream_groups
+from rasterlab.operators.tiling import TILE
 
 
 def _links(grid: np.ndarray, value: np.ndarray | None, diagonal: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -60,7 +44,7 @@ def components(
     agrees.  Neighbours are the four straight ones, or all eight with ``diagonal``.
     """
     keys = list(keys)
-    tiled = tiles(px, keys, tile=tile).drop("_core")
+    tiled = px.withColumns({"_ty": F.floor(F.col("y") / tile).cast("int"), "_tx": F.floor(F.col("x") / tile).cast("int")})
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["y", "x"], ignore_index=True)
@@ -68,12 +52,12 @@ def components(
         grid = np.full((y.max() - y.min() + 1, x.max() - x.min() + 1), -1, dtype=np.int64)
         grid[y - y.min(), x - x.min()] = np.arange(len(pdf))
         a, b = _links(grid, pdf[same].to_numpy() if same else None, diagonal)
-        root = _smallest_roots(len(pdf), a, b)
+        root = smallest_roots(len(pdf), a, b)
         code = y.astype(np.int64) * 2**31 + x
         return pdf.assign(component=code[root])
 
     schema = T.StructType(tiled.schema.fields + [T.StructField("component", T.LongType())])
-    local = tiled.groupBy(*keys, "_ty", "_tx").applyInPandas(kernel, schema=schema)
+    local = stream_groups(tiled, [*keys, "_ty", "_tx"], kernel, schema)
 
     tag = [same] if same and same not in keys else []
     extent = px.agg(F.max("y").alias("h"), F.max("x").alias("w")).first()

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rasterlab.functions.grouped import stream_groups
 from rasterlab.operators.components import components
 from rasterlab.operators.spatial import image_size
 from rasterlab.operators.tables import labels_at, relabel_sequential
@@ -214,7 +215,7 @@ def dilate(
         return pdf[[*keys, "y", "x"]].assign(_new=mask[y, x])
 
     schema = T.StructType([parts.schema[c] for c in (*keys, "y", "x")] + [T.StructField("_new", T.LongType())])
-    grown = parts.groupBy(*keys, "component").applyInPandas(kernel, schema=schema)
+    grown = stream_groups(parts, [*keys, "component"], kernel, schema)
     return _with_label(px.join(grown, [*keys, "y", "x"], "left"), F.coalesce("_new", "label"), px_cols)
 
 

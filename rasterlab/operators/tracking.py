@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rasterlab.functions.graph import connected_components
+from rasterlab.functions.grouped import stream_groups
 from rasterlab.functions.order import positions
 from rasterlab.operators.background import legacy_background
 from rasterlab.operators.cells import add_ctcf, label_stats
@@ -124,14 +125,13 @@ def assign_links(candidates: DataFrame) -> DataFrame:
     alone = rated.where(lone).select(*out)
     rivals = rated.where(~lone)
 
-    def node(side: int, label: str):
-        return F.struct(F.lit(side).alias("side"), F.col(label).alias("id"))
-
+    # cells take the even numbers, previous cells the odd ones
+    cell, previous = 2 * F.col("label"), 2 * F.col("prev_label") + 1
     graph = connected_components(
-        rivals.select(*keys, node(0, "label").alias("src"), node(1, "prev_label").alias("dst")), keys, "src", "dst")
-    # every previous cell is the larger end of some edge, so it is listed with its root
-    roots = graph.where("node.side = 1").select(*keys, F.col("node.id").alias("prev_label"), "root")
-    grouped = rivals.join(roots, [*keys, "prev_label"]).withColumn("_root", F.col("root.id")).drop("root", "_d1", "_d2")
+        rivals.select(*keys, cell.alias("src"), previous.alias("dst")), keys, "src", "dst")
+    roots = graph.select(*keys, F.col("node").alias("_node"), "root")
+    grouped = rivals.withColumn("_node", cell).join(roots, [*keys, "_node"], "left").withColumn(
+        "_root", F.coalesce("root", "_node")).drop("root", "_node", "_d1", "_d2")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["label", "prev_label"], ignore_index=True)
@@ -140,7 +140,7 @@ def assign_links(candidates: DataFrame) -> DataFrame:
         return pdf.loc[keep, out]
 
     schema = T.StructType([grouped.schema[c] for c in out])
-    return alone.unionByName(grouped.groupBy(*keys, "_root").applyInPandas(solve, schema=schema))
+    return alone.unionByName(stream_groups(grouped, [*keys, "_root"], solve, schema))
 
 
 def track_ids(det: DataFrame, links: DataFrame) -> DataFrame:
@@ -148,8 +148,9 @@ def track_ids(det: DataFrame, links: DataFrame) -> DataFrame:
 
     Ids count from 0 per condition in order of the first detection's (frame, label).
     """
+    # (frame, label) as one number: frames stay far below 2^23, labels below 2^40
     def node(frame: str, label: str):
-        return F.struct(F.col(frame).cast("bigint").alias("frame"), F.col(label).cast("bigint").alias("label"))
+        return F.shiftleft(F.col(frame).cast("bigint"), 40) + F.col(label)
 
     roots = connected_components(
         links.select("condition", node("frame", "label").alias("src"), node("prev_frame", "prev_label").alias("dst")),
@@ -157,11 +158,8 @@ def track_ids(det: DataFrame, links: DataFrame) -> DataFrame:
     placed = det.withColumn("_node", node("frame", "label")).join(
         roots.withColumnRenamed("node", "_node"), ["condition", "_node"], "left"
     ).withColumn("_root", F.coalesce("root", "_node")).drop("root", "_node")
-    # (frame, label) as one number: frames stay far below 2^23, labels below 2^40
-    code = F.shiftleft(F.col("_root.frame"), 40) + F.col("_root.label")
-    placed = placed.withColumn("_code", code)
-    order = positions(placed, ["condition"], "_code").select("condition", "_code", F.col("_rank0").alias("track_id"))
-    return placed.join(order, ["condition", "_code"]).drop("_code", "_root")
+    order = positions(placed, ["condition"], "_root").select("condition", "_root", F.col("_rank0").alias("track_id"))
+    return placed.join(order, ["condition", "_root"]).drop("_root")
 
 
 def track(det: DataFrame, radius: float = 50) -> DataFrame:
