@@ -24,6 +24,7 @@ from rasterlab.operators.spatial import (
 )
 from rasterlab.operators.tiling import core_only, square_max, tiles
 from rasterlab.schema import IMAGE
+from rasterlab.session import cut_lineage
 
 BINS = 256
 
@@ -326,7 +327,6 @@ _REASONS = {
 }
 _SCARCE = (" | WARNING: <5% background area — using 1st percentile as approximation. "
            "Provide a negative control for accuracy.")
-_AUTO = ("masked_annular_ring", "voronoi", "polynomial_surface")
 
 
 def estimate(
@@ -378,6 +378,9 @@ def estimate(
         "scarce",
         (F.col("coverage") > 0.95) & (F.col("bg_pixels") < 50 * F.greatest(F.coalesce("_cells", F.lit(1)), F.lit(1))),
     ).select(*keys, "method", "reason", "scarce")
+    # one small row per image, read by every branch below; it also tells which branches are needed
+    plan = cut_lineage(plan)
+    chosen = {(r["method"], r["scarce"]) for r in plan.select("method", "scarce").distinct().collect()}
 
     fns = {
         "annular_ring": lambda p: annular_ring(p, keys, ring_width, ring_gap),
@@ -389,20 +392,21 @@ def estimate(
     }
     images_out, cells_out = [], []
 
-    crowded = px.join(plan.where("scarce"), keys)
-    low = crowded.groupBy(*keys).agg(
+    crowded = px.join(plan.where("scarce"), keys) if any(s for _, s in chosen) else None
+    low = None if crowded is None else crowded.groupBy(*keys).agg(
         F.percentile(F.col("value").cast("double"), 0.01).alias("background"),
         F.coalesce(F.stddev_pop(_bg()), F.lit(0.0)).alias("bg_std"),
         F.concat(F.first("method"), F.lit("_fallback_p1")).alias("method_used"),
         F.concat(F.first("reason"), F.lit(_SCARCE)).alias("method_reason"),
         F.lit(True).alias("low_confidence"),
     )
-    images_out.append(low)
-    cells_out.append(cells.join(low.select(*keys, "background", "bg_std"), keys))
+    if low is not None:
+        images_out.append(low)
+        cells_out.append(cells.join(low.select(*keys, "background", "bg_std"), keys))
 
-    for name in _AUTO if method == "auto" else (method,):
+    for name in sorted({m for m, s in chosen if not s}):
         mine = plan.where((F.col("method") == name) & ~F.col("scarce"))
-        part = px.join(mine.select(*keys), keys, "left_semi")
+        part = px if len(chosen) == 1 else px.join(mine.select(*keys), keys, "left_semi")
         text = F.when(F.col("reason") == "", F.lit(_REASONS[name].format(**params))).otherwise(F.col("reason"))
         if name == "global_roi":
             level = global_background(part, keys, global_statistic)
@@ -416,6 +420,9 @@ def estimate(
             F.lit(False).alias("low_confidence")))
         cells_out.append(local.select(*keys, "label", "background", "bg_std"))
 
+    if not images_out:  # no images at all
+        return same_everywhere(F.lit(0.0), F.lit(0.0), "global_roi")
+
     def union(parts):
         out = parts[0]
         for p in parts[1:]:

@@ -3,6 +3,7 @@
 from rasterlab.plans import (  # noqa: F401
     queries_background,
     queries_cells,
+    queries_export,
     queries_files,
     queries_masks,
     queries_pixels,

@@ -8,6 +8,7 @@ from rasterlab.operators import qc
 from rasterlab.operators import summary as s
 from rasterlab.operators import tables as t
 from rasterlab.plans import views
+from rasterlab.plans.analyses import RATIO_KEYWORDS
 from rasterlab.plans.queries_shape import GATED, gated
 from rasterlab.plans.queries_summary import LIMITS
 from rasterlab.plans.registry import query, rounded
@@ -78,15 +79,6 @@ def p7_marker_list(spark, sf_dir):
     return t.distinct_markers(views.markers(spark, sf_dir))
 
 
-# Keyword lists of the ratio study, in priority order.
-KEYWORDS = {
-    "condition": ["condition", "treatment", "group", "sample"],
-    "red": ["mrfp_ctcf", "rfp_ctcf", "red_ctcf", "jc1_red_ctcf", "jc-1_red_ctcf", "aggregate_ctcf"],
-    "green": ["gfp_ctcf", "green_ctcf", "jc1_green_ctcf", "jc-1_green_ctcf", "monomer_ctcf"],
-    "area": ["area", "cell_area", "size"],
-}
-
-
 @query("p8_detect_columns", "", """
  cols AS (SELECT p_partkey AS pos, replace(p_name, ' ', '_') || CASE WHEN p_partkey % 3 = 0 THEN '_Red_CTCF' WHEN p_partkey % 3 = 1 THEN '_gfp_ctcf' ELSE '_Size' END AS name FROM part),
  kw AS (SELECT * FROM (VALUES ('condition',0,'condition'),('condition',1,'treatment'),('condition',2,'group'),('condition',3,'sample'),
@@ -100,7 +92,7 @@ def p8_detect_columns(spark, sf_dir):
         "p_partkey as pos",
         """concat(replace(p_name, ' ', '_'), case when p_partkey % 3 = 0 then '_Red_CTCF'
                   when p_partkey % 3 = 1 then '_gfp_ctcf' else '_Size' end) as name""")
-    return t.detect_columns(cols, KEYWORDS, only_ctcf=("red", "green"))
+    return t.detect_columns(cols, RATIO_KEYWORDS, only_ctcf=("red", "green"))
 
 
 @query("p9_min_area", "cells", 'SELECT CellID AS "CellID", Area AS "Area" FROM cells WHERE Area >= 50')

@@ -1,13 +1,124 @@
-"""Image metadata."""
+"""Image and mask files to pixel rows and back."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from rasterlab.operators.tiling import tiles
 from rasterlab.schema import IMAGE
+from rasterlab.sources import codecs
+
+_ROWS_PER_BATCH = 1 << 17
+
+
+def read_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """(path, content) of the files under a folder."""
+    return (
+        spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
+        .load(root).select("path", "content")
+    )
+
+
+def _decoded(files: DataFrame, planes_of, value: str, value_type: T.DataType, cast) -> DataFrame:
+    """Pixel rows of every readable file; a file that fails is left to :func:`unreadable`."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, content in zip(pdf.path, pdf.content):
+                try:
+                    planes = planes_of(codecs.read_array(path, content))
+                except Exception:  # noqa: BLE001 - reported by unreadable()
+                    continue
+                for channel, img in enumerate(planes):
+                    dtype = "uint16" if img.dtype == np.uint16 else "float32" if value == "value" else "int32"
+                    step = max(1, _ROWS_PER_BATCH // img.shape[1])
+                    for top in range(0, img.shape[0], step):
+                        part = img[top:top + step]
+                        yy, xx = np.indices(part.shape, dtype=np.int32)
+                        yield pd.DataFrame({
+                            "path": path, "channel": channel, "dtype": dtype, "y": yy.ravel() + top, "x": xx.ravel(),
+                            value: part.ravel().astype(cast)})
+
+    schema = T.StructType([
+        T.StructField("path", T.StringType()), T.StructField("channel", T.IntegerType()),
+        T.StructField("dtype", T.StringType()), T.StructField("y", T.IntegerType()),
+        T.StructField("x", T.IntegerType()), T.StructField(value, value_type)])
+    return files.select("path", "content").mapInPandas(run, schema=schema)
+
+
+def decode_images(files: DataFrame, channel: int | None = None) -> DataFrame:
+    """Intensity pixels (path, dtype, y, x, value) of one plane per file.
+
+    16-bit counts keep their type name; everything else is single precision.
+    """
+    return _decoded(files, lambda a: [codecs.single_plane(a, channel)], "value", T.DoubleType(), "float64").drop("channel")
+
+
+def decode_channels(files: DataFrame) -> DataFrame:
+    """Intensity pixels of every channel of each file, with ``channel`` from 0."""
+    return _decoded(files, codecs.channel_planes, "value", T.DoubleType(), "float64")
+
+
+def decode_masks(files: DataFrame) -> DataFrame:
+    """Label pixels (path, y, x, label) of mask files."""
+    return _decoded(files, lambda a: [codecs.mask_plane(a)], "label", T.IntegerType(), "int32").drop("channel", "dtype")
+
+
+def unreadable(files: DataFrame) -> DataFrame:
+    """(path, error) of the files that cannot be decoded."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            bad = []
+            for path, content in zip(pdf.path, pdf.content):
+                try:
+                    codecs.read_array(path, content)
+                except Exception as e:  # noqa: BLE001
+                    bad.append((path, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(bad, columns=["path", "error"])
+
+    return files.select("path", "content").mapInPandas(run, schema="path string, error string")
+
+
+def encode_tiles(
+    px: DataFrame, keys: Sequence[str] = IMAGE, value: str = "value", extension: str = "tif", tile: int = 512,
+    channels: Sequence[str] = (),
+) -> DataFrame:
+    """(path, content) of one file per image tile, named ``key/.../ty_tx.ext``.
+
+    Tiles bound what a task holds.  ``channels`` names value columns to stack into one file.
+    The integer type is the smallest unsigned one that fits, or int32 from 65,535 on.
+    """
+    columns = list(channels) or [value]
+    tiled = tiles(px.select(*keys, "y", "x", *columns), keys, tile=tile)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        y, x = (pdf.y % tile).to_numpy(), (pdf.x % tile).to_numpy()
+        data = pdf[columns].to_numpy().T
+        whole = np.zeros((len(columns), y.max() + 1, x.max() + 1), dtype="uint16" if data.max() < 65535 else "int32")
+        whole[:, y, x] = data
+        first = pdf.iloc[0]
+        name = "/".join(str(first[k]) for k in keys) + f"/{first._ty}_{first._tx}.{extension}"
+        return pd.DataFrame({"path": [name], "content": [codecs.write_array(name, whole[0] if len(columns) == 1 else whole)]})
+
+    return tiled.groupBy(*keys, "_ty", "_tx").applyInPandas(run, schema="path string, content binary")
+
+
+def place_tiles(decoded: DataFrame, tile: int = 512) -> DataFrame:
+    """Gives decoded tile pixels their image keys and image coordinates back."""
+    p = r"([^/]+)/([^/]+)/(\d+)_(\d+)\.[a-z]+$"
+    return decoded.withColumns({
+        "condition": F.regexp_extract("path", p, 1),
+        "image_set": F.regexp_extract("path", p, 2).cast("bigint"),
+        "y": F.col("y") + F.regexp_extract("path", p, 3).cast("int") * tile,
+        "x": F.col("x") + F.regexp_extract("path", p, 4).cast("int") * tile,
+    }).drop("path")
 
 
 def image_metadata(px: DataFrame, keys: Sequence[str] = IMAGE) -> DataFrame:
