@@ -4,8 +4,8 @@
 distinct values make up a large share of the table is first cut into slices of
 nearly equal size, so the sort behind a rank never meets more than a slice:
 
-1. rows collapse to distinct values with their counts (map-side combined);
-2. the few dominant groups get 1,023 cut points from a mergeable sketch;
+1. rows collapse to distinct values with their counts (map-side combined), written once;
+2. if every group fits a task, a plain window per group finishes the work; otherwise the few dominant groups get 1,023 cut points from a mergeable sketch;
 3. slice totals, at most 1,024 per group, become slice start positions;
 4. a window per (group, slice) adds the position inside the slice.
 
@@ -22,6 +22,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rasterlab.session import cut_lineage
+
 _STEPS = [512, 256, 128, 64, 32, 16, 8, 4, 2, 1]
 # one text literal: cheaper to analyse than an array of 1,023 literal nodes
 _CUTS = "cast(split('" + " ".join(str(i / 1024) for i in range(1, 1024)) + "', ' ') as array<double>)"
@@ -51,6 +53,17 @@ def fits_one_task(df: DataFrame, limit: int = _SMALL_INPUT) -> bool:
     return total <= limit
 
 
+def _placed_in_groups(counts: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Positions when every group fits a task."""
+    up = Window.partitionBy(*keys).orderBy(value)
+    return counts.select(
+        *keys, value, "_w",
+        (F.sum("_w").over(up.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_w")).alias("_before"),
+        (F.row_number().over(up) - 1).cast("bigint").alias("_rank0"),
+        F.sum("_w").over(Window.partitionBy(*keys)).alias("_n"),
+    )
+
+
 def positions(
     df: DataFrame, keys: Sequence[str], value: str, hot_values: int = _HOT_VALUES, small: bool | None = None
 ) -> DataFrame:
@@ -66,18 +79,16 @@ def positions(
 
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_w"))
     if fits_one_task(df) if small is None else small:
-        up = Window.partitionBy(*keys).orderBy(value)
-        return counts.select(
-            *keys, value, "_w",
-            (F.sum("_w").over(up.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_w")).alias("_before"),
-            (F.row_number().over(up) - 1).cast("bigint").alias("_rank0"),
-            F.sum("_w").over(Window.partitionBy(*keys)).alias("_n"),
-        )
+        return _placed_in_groups(counts, keys, value)
 
+    counts = cut_lineage(counts)  # read several times below
     sizes = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d"))
-    share = sizes.agg((F.sum("_d") / _MAX_HOT_GROUPS).alias("s")).scalar()
-    hot = sizes.where((F.col("_d") > hot_values) & (F.col("_d") > share)).select(*keys)
-    cuts = (
+    widest, total = sizes.agg(F.max("_d"), F.sum("_d")).first()
+    if (widest or 0) <= max(hot_values, total / _MAX_HOT_GROUPS):
+        return _placed_in_groups(counts, keys, value)
+
+    hot = sizes.where(F.col("_d") > max(hot_values, total / _MAX_HOT_GROUPS)).select(*keys)
+    cuts = cut_lineage(
         counts.join(F.broadcast(hot), keys, "left_semi")
         .groupBy(*keys)
         .agg(F.expr(f"percentile_approx(`{value}`, {_CUTS}, 10000)").alias("_cuts"))

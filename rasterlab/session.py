@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,20 +31,23 @@ def shared_folder(spark: SparkSession) -> str:
     A temporary folder is made up only for a local master, where every executor
     lives in this process.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
-        return named
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
+        return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    return tempfile.mkdtemp(prefix="rasterlab-")
+    folder = tempfile.mkdtemp(prefix="rasterlab-")
+    spark.sparkContext.setCheckpointDir(folder)
+    return shared_folder(spark)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the loop that follows restarts from files, not from lost executors."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Writes a table to the shared folder and reads it back.
+
+    What follows restarts from files, not from lost executors; unlike a checkpoint the table
+    keeps column pruning, and the planner knows its true size.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
