@@ -47,4 +47,55 @@ def stream_groups(
         if held:
             yield fn(held[0] if len(held) == 1 else pd.concat(held)).loc[:, names]
 
-    return df.repartition(*cols).sortWithinPartitions(*cols).mapInPandas(run, schema=schema)
+    return _by_group(df, cols).sortWithinPartitions(*cols).mapInPandas(run, schema=schema)
+
+
+def _by_group(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Hashed by group into the session's partition count, which AQE leaves as it is: Python
+    work is heavy for its bytes, so small partitions should not be merged."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+
+
+def stream_choose(
+    df: DataFrame, cols: Sequence[str], items: Sequence[str], choose: Callable[[list[tuple]], Sequence[int]]
+) -> DataFrame:
+    """Keeps the rows of every group whose positions ``choose`` returns.
+
+    ``choose`` gets a group as a list of ``items`` tuples in order of those columns.  Groups
+    may be tiny and many: no data frame is built for one.
+    """
+    cols, items = list(cols), list(items)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for pdf in batches:
+            if rest is not None:
+                pdf = pd.concat([rest, pdf], ignore_index=True)
+            ends = _group_ends(pdf, cols)
+            # the last group may go on in the next batch
+            last = ends[-2] if len(ends) > 1 else 0
+            rest = pdf.iloc[last:]
+            if last:
+                yield pdf.iloc[_chosen(pdf.iloc[:last], ends[:-1])]
+        if rest is not None and len(rest):
+            yield rest.iloc[_chosen(rest, _group_ends(rest, cols))]
+
+    def _chosen(pdf: pd.DataFrame, ends: np.ndarray) -> list[int]:
+        rows = list(zip(*[pdf[c].tolist() for c in items]))
+        keep, start = [], 0
+        for end in ends:
+            keep.extend(start + i for i in choose(rows[start:end]))
+            start = end
+        return keep
+
+    ordered = _by_group(df, cols).sortWithinPartitions(*cols, *items)
+    return ordered.mapInPandas(run, schema=df.schema)
+
+
+def _group_ends(pdf: pd.DataFrame, cols: Sequence[str]) -> np.ndarray:
+    """Row numbers just past each run of equal keys."""
+    change = np.zeros(max(len(pdf) - 1, 0), dtype=bool)
+    for c in cols:
+        v = pdf[c].to_numpy()
+        change |= v[1:] != v[:-1]
+    return np.append(np.flatnonzero(change) + 1, len(pdf)).astype(int)

@@ -102,6 +102,9 @@ def _grid_density(df: DataFrame, group: str, value: str, shape: DataFrame, point
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(group, F.col(value).cast("double").alias("_v")).agg(
         F.count(F.lit(1)).alias("_c"))
+    # each value becomes up to `points` rows, so small partitions are kept apart
+    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = counts.repartition(n_parts, group, "_v")
     first = F.greatest(F.ceil((F.col("_v") - _REACH * F.col("h") - F.col("x0")) / F.col("step")), F.lit(0))
     last = F.least(F.floor((F.col("_v") + _REACH * F.col("h") - F.col("x0")) / F.col("step")), F.lit(points - 1))
     x = F.col("x0") + F.col("i") * F.col("step")

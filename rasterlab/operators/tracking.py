@@ -10,13 +10,11 @@ from __future__ import annotations
 import heapq
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rasterlab.functions.graph import connected_components
-from rasterlab.functions.grouped import stream_groups
+from rasterlab.functions.grouped import stream_choose
 from rasterlab.functions.order import positions
 from rasterlab.operators.background import legacy_background
 from rasterlab.operators.cells import add_ctcf, label_stats
@@ -133,14 +131,12 @@ def assign_links(candidates: DataFrame) -> DataFrame:
     grouped = rivals.withColumn("_node", cell).join(roots, [*keys, "_node"], "left").withColumn(
         "_root", F.coalesce("root", "_node")).drop("root", "_node", "_d1", "_d2")
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["label", "prev_label"], ignore_index=True)
-        chosen = set(cheapest_links(list(zip(pdf.label, pdf.prev_label, pdf.distance))))
-        keep = [pair in chosen for pair in zip(pdf.label, pdf.prev_label)]
-        return pdf.loc[keep, out]
+    def solve(pairs: list[tuple]) -> list[int]:
+        at = {(cell, previous): i for i, (cell, previous, _) in enumerate(pairs)}
+        return sorted(at[link] for link in cheapest_links(pairs))
 
-    schema = T.StructType([grouped.schema[c] for c in out])
-    return alone.unionByName(stream_groups(grouped, [*keys, "_root"], solve, schema))
+    linked = stream_choose(grouped, [*keys, "_root"], ["label", "prev_label", "distance"], solve)
+    return alone.unionByName(linked.select(*out))
 
 
 def track_ids(det: DataFrame, links: DataFrame) -> DataFrame:
