@@ -48,6 +48,8 @@ def fits_one_task(df: DataFrame, limit: int = _SMALL_INPUT) -> bool:
 
     Uses the leaf sizes Catalyst already knows (file sizes); nothing runs.
     """
+    if not hasattr(df, "_jdf"):  # a remote session shows no statistics
+        return False
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     total = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     return total <= limit
