@@ -173,7 +173,7 @@ def annular_ring(px: DataFrame, keys: Sequence[str] = IMAGE, ring_width: int = 5
     keys = list(keys)
     outer = gap + ring_width
     t = tiles(px.select(*keys, "y", "x", "label", "value"), keys, halo=outer)
-    t = square_max(square_max(t, keys, outer, "label", "_outer"), keys, gap, "label", "_inner")
+    t = square_max(t, keys, "label", {"_outer": outer, "_inner": gap})
     ring = core_only(t).where("label = 0 and _outer > 0 and _inner = 0")
     local = ring.groupBy(*keys, F.col("_outer").cast("bigint").alias("label")).agg(
         F.median(F.col("value").cast("double")).alias("_ring")

@@ -7,7 +7,7 @@ around each tile, and run all their windows inside that partitioning.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -48,12 +48,16 @@ def core_only(df: DataFrame) -> DataFrame:
     return df.where("_core").drop("_core", "_ty", "_tx")
 
 
-def square_max(tiled: DataFrame, keys: Sequence[str], radius: int, source: str, out: str) -> DataFrame:
-    """Maximum over the (2r+1)-square around each pixel, as two one-dimensional range frames."""
-    step = tiled.withColumn("_row_max", F.max(source).over(along_x(keys).rangeBetween(-radius, radius)))
-    return step.withColumn(
-        out, F.max("_row_max").over(along_y(keys).rangeBetween(-radius, radius))
-    ).drop("_row_max")
+def square_max(tiled: DataFrame, keys: Sequence[str], source: str, radii: Mapping[str, int]) -> DataFrame:
+    """Maximum over the (2r+1)-square around each pixel, one column per named radius.
+
+    Rows first, then columns: all radii share the two orderings.
+    """
+    rows = tiled.withColumns({
+        f"_row_{out}": F.max(source).over(along_x(keys).rangeBetween(-r, r)) for out, r in radii.items()})
+    return rows.withColumns({
+        out: F.max(f"_row_{out}").over(along_y(keys).rangeBetween(-r, r)) for out, r in radii.items()
+    }).drop(*[f"_row_{out}" for out in radii])
 
 
 def four_neighbours(
