@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterlab.llm import decontamination, line_dedup, packing, quality, secret_scan, sharding, url_filter
+from rasterlab.llm import decontamination, line_dedup, near_dedup, packing, quality, secret_scan, sharding, url_filter
 from rasterlab.llm.common import table
 
 QUERIES = {}
@@ -31,6 +31,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query
+def op1_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicate_groups(table(spark, sf_dir, "documents"), shingle=2)
+
+
 @query
 def op2_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))

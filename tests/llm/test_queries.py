@@ -25,6 +25,12 @@ def rows(name, spark, sf_dir):
     return Q.QUERIES[name](spark, sf_dir).collect()
 
 
+def test_op1(spark, sf_dir, docs):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in rows("op1_tensored_minhash", spark, sf_dir)}
+    want = brute.components(docs)
+    assert got == want and any(c != i for i, (_, c) in want.items())
+
+
 def test_op2(spark, sf_dir, docs):
     out = rows("op2_hypergeometric_shards", spark, sf_dir)
     got = {r.doc_id: (r.size, r.text_crc32) for r in out}
