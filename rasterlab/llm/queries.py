@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterlab.llm import decontamination, line_dedup, near_dedup, packing, quality, secret_scan, sharding, url_filter
+from rasterlab.llm import decontamination, line_dedup, lm_scoring, near_dedup, packing, quality, secret_scan, sharding, url_filter
 from rasterlab.llm.common import table
 
 QUERIES = {}
@@ -87,6 +87,11 @@ def op8_shared_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query
+def op9_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_texts(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())

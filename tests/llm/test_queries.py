@@ -79,6 +79,17 @@ def test_op8(spark, sf_dir, docs):
     assert got == {i: (n, d, brute.sha(t)) for i, (n, d, t) in brute.lines(docs).items()}
 
 
+def test_op9(spark, sf_dir, docs):
+    out = rows("op9_deleted_interpolation", spark, sf_dir)
+    want, n = brute.base_scores(docs)
+    assert {r.doc_id: (r.held_out, r.n_tokens, r.n_known) for r in out} == {i: x[:3] for i, x in want.items()}
+    assert len(out) == len(docs) and {r.train_tokens for r in out} == {n}
+    assert all(abs(r.base_score - want[r.doc_id][3]) < 1e-6 * max(1, abs(r.base_score)) for r in out)
+    # pairs explain unseen texts better than single words
+    held = [r for r in out if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
 def test_op10(spark, sf_dir, docs):
     from tokenizers import Tokenizer
 
