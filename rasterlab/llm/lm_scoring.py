@@ -220,8 +220,9 @@ def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", blo
     """
     crc = F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 10
     role = F.when(crc == 0, 0).when(crc == 1, 1).otherwise(2).cast("int")
-    rows = docs.select(F.col(doc_id), F.col(text).alias("_text"), role.alias("_role"), F.octet_length(text).alias("_size"))
-    key = rows.schema[0]
+    # ids as text, so that pandas leaves ids beside nulls as they are
+    named = F.col(doc_id).cast("string").alias("_id")
+    rows = docs.select(named, F.col(text).alias("_text"), role.alias("_role"), F.octet_length(text).alias("_size"))
     bits = max(6, int(rows.rdd.getNumPartitions() - 1).bit_length())
     answer_schema = "block long, shard int, total binary, fold binary, n long, check long, v long, tokens long, fold_tokens long"
     answers = cut_lineage(_questions(rows, block_bytes, bits).groupBy("shard").applyInPandas(_answer, answer_schema))
@@ -231,9 +232,9 @@ def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", blo
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for blocks, batch in _in_blocks(batches, block_bytes):
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(blocks, pa.int64())], [key.name, "_text", "block"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(blocks, pa.int64())], ["_id", "_text", "block"])
 
-    schema = f"`{key.name}` {key.dataType.simpleString()}, _text string, block long"
+    schema = "_id string, _text string, block long"
     placed = rows.mapInArrow(numbered, schema)
     totals = answers.where("block >= 0").drop("v", "tokens", "fold_tokens")
     is_fold = F.col("block").bitwiseAND(3) == 1
@@ -262,9 +263,10 @@ def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", blo
         base = np.log10((word + 0.1) / (tokens + 0.1 * (v + 1)))
         add = lambda x: np.bincount(of_text, x, len(sizes))
         return pd.DataFrame({
-            "doc_id": left[key.name], "held_out": (left["block"] & 3) == 0, "n_tokens": sizes,
+            "id": left["_id"], "held_out": (left["block"] & 3) == 0, "n_tokens": sizes,
             "n_known": add(word > 0).astype(np.int64), "train_tokens": tokens, "base_score": add(base), "score": add(np.log10(mixed)),
         })
 
-    out = f"doc_id {key.dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return placed.groupBy("block").cogroup(totals.groupBy("block")).applyInPandas(score, out).withColumnRenamed("doc_id", key.name)
+    out = "id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    scored = placed.groupBy("block").cogroup(totals.groupBy("block")).applyInPandas(score, out)
+    return scored.withColumn("id", F.col("id").cast(docs.schema[doc_id].dataType)).withColumnRenamed("id", doc_id)

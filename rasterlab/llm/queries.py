@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterlab.llm import decontamination, line_dedup, lm_scoring, near_dedup, packing, quality, secret_scan, sharding, url_filter
+from rasterlab.llm import decontamination, line_dedup, lm_scoring, near_dedup, packing, quality, secret_scan, sharding, suffix_dedup, url_filter
 from rasterlab.llm.common import table
 
 QUERIES = {}
@@ -48,6 +48,11 @@ def op2_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op3_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
 @query
 def op4_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))

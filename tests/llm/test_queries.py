@@ -40,6 +40,11 @@ def test_op2(spark, sf_dir, docs):
     assert sorted((r["shard"], r.slot) for r in out) == [(s, k) for s in range(16) for k in range(sizes[s])]
 
 
+def test_op3(spark, sf_dir, docs):
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows("op3_prefix_doubling", spark, sf_dir)}
+    assert got == brute.repeats(docs) and any(r[1] for r in got.values())
+
+
 def test_op4(spark, sf_dir, docs):
     got = {r.doc_id: r for r in rows("op4_quality_ratio", spark, sf_dir)}
     for i, t in docs:
