@@ -21,6 +21,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def packed(df: DataFrame) -> Column:
+    """All columns of a table as one, so that helper columns cannot clash with them."""
+    return F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("_row")
+
+
 def words(text: Column) -> Column:
     """Words of a text in order; none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), NO_WORD), "")

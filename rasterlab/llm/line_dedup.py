@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterlab.llm.common import SPACES, let, lowered
+from rasterlab.llm.common import SPACES, let, lowered, packed
 from rasterlab.session import cut_lineage
 
 _LEVELS = 24
@@ -178,7 +178,9 @@ def drop_shared_lines(
     the lines to look up are spread by document, so that a line held by a third of all documents
     does not meet in one task.
     """
-    hashed = _lines(docs, text, doc_id, min_chars)
+    rows = docs.drop("kept_text", "n_lines", "n_dropped")
+    rows = rows.select(packed(rows), F.col(doc_id).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    hashed = _lines(rows, "_text", "_id", min_chars)
     counted = hashed.groupBy("h", "f").agg(F.count(F.lit(1)).alias("n"), F.max("_doc").alias("keeper"))
     shared = cut_lineage(counted.where(F.col("n") >= min_docs))
     shards = max(16, -(-shared.count() // lines_per_shard))
@@ -196,17 +198,16 @@ def drop_shared_lines(
         .sortWithinPartitions("shard", "_salt", F.col("mph").isNull())
     )
     dropped = routed.mapInPandas(_probe(min_docs), "_doc long, h long").groupBy("_doc").agg(F.collect_set("h").alias("_drop"))
-    rows = docs.drop("kept_text", "n_lines", "n_dropped").alias("d")
-    joined = rows.join(dropped.alias("x"), F.col(f"d.{doc_id}").cast("long") == F.col("x._doc"), "left")
-    lines = F.split(F.coalesce(F.col(f"d.{text}"), F.lit("")), "\n")
+    joined = rows.join(dropped, F.col("_id") == F.col("_doc"), "left")
+    lines = F.split("_text", "\n")
     kept = F.filter(
-        lines, lambda x: let(line_key(x), lambda k: ~((F.length(k) >= min_chars) & F.array_contains(F.col("x._drop"), F.xxhash64(k))))
+        lines, lambda x: let(line_key(x), lambda k: ~((F.length(k) >= min_chars) & F.array_contains(F.col("_drop"), F.xxhash64(k))))
     )
-    kept = F.when(F.col("x._drop").isNull(), lines).otherwise(kept)
+    kept = F.when(F.col("_drop").isNull(), lines).otherwise(kept)
     return joined.select(
-        "d.*", let(kept, lambda k: F.struct(F.array_join(k, "\n").alias("kept_text"), F.size(k).cast("long").alias("n"))).alias("_kept"),
+        "_row", let(kept, lambda k: F.struct(F.array_join(k, "\n").alias("kept_text"), F.size(k).cast("long").alias("n"))).alias("_kept"),
         F.size(lines).cast("long").alias("n_lines"),
     ).select(
-        *[F.col(c) for c in rows.columns], F.col("_kept.kept_text").alias("kept_text"), "n_lines",
+        "_row.*", F.col("_kept.kept_text").alias("kept_text"), "n_lines",
         (F.col("n_lines") - F.col("_kept.n")).alias("n_dropped"),
     )

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterlab.functions.graph import connected_components
+from rasterlab.llm.common import packed
 from rasterlab.session import cut_lineage
 
 _BATCH_BYTES = 4_000_000
@@ -243,7 +244,8 @@ def near_duplicate_groups(
     """
     functions = 2 * bands * rows
     least = round(least_alike * functions)
-    signed = cut_lineage(_signatures(docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text)), shingle, functions))
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
+    signed = cut_lineage(_signatures(docs, shingle, functions))
     known = signed.where("doc is not null and n > 0")
     # equal sets are one; it is named by its hash, as several sets may share a doc_id
     reps = cut_lineage(
@@ -276,7 +278,7 @@ def near_duplicate_groups(
                 yield pa.RecordBatch.from_arrays([pa.array(prints, pa.binary()), pa.array(found, pa.binary())], ["print", "set"])
 
     holders = reps.join(wanted, "u").select(F.col("doc").alias("_doc")).distinct()
-    texts = docs.join(holders, F.col(doc_id).cast("long") == F.col("_doc")).select(F.col(text).alias("_text"))
+    texts = docs.join(holders, F.col("doc") == F.col("_doc")).select("text")
     sets = cut_lineage(
         texts.mapInArrow(as_sets, "print binary, set binary").select(F.xxhash64("print").alias("doc"), "set").dropDuplicates(["doc"])
     )
@@ -310,5 +312,7 @@ def link_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
     docs = docs.drop("n_shingles", "component_id", "kept")
     groups = near_duplicate_groups(docs, text, doc_id, **options).where(F.col(doc_id).isNotNull())
     each = groups.groupBy(F.col(doc_id).alias("_doc")).agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"))
-    joined = docs.join(each, F.col(doc_id).cast("long") == F.col("_doc"), "left").drop("_doc")
-    return joined.withColumn("kept", F.coalesce(F.col(doc_id) == F.col("component_id"), F.lit(True)))
+    joined = docs.select(packed(docs), F.col(doc_id).cast("long").alias("_id")).join(each, F.col("_id") == F.col("_doc"), "left")
+    return joined.select(
+        "_row.*", "n_shingles", "component_id", F.coalesce(F.col("_id") == F.col("component_id"), F.lit(True)).alias("kept")
+    )

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterlab.llm.common import SPACES, let, words
+from rasterlab.llm.common import SPACES, let, packed, words
 from rasterlab.session import cut_lineage
 
 SYMBOLS = "#*$%&|<>"
@@ -67,8 +67,9 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, text: str, doc_id: str, buck
     ``trusted`` has a column ``_id`` of bounded length. The raw multinomial counts every row.
     """
     grams = (
-        docs.join(F.broadcast(trusted), F.col(doc_id) == F.col("_id"), "left")
-        .select(F.col("_id").isNotNull().cast("long").alias("_t"), F.explode(_ngrams_of(F.col(text), buckets)).alias("_b"))
+        docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text"))
+        .join(F.broadcast(trusted.select("_id")), F.col("_doc") == F.col("_id"), "left")
+        .select(F.col("_id").isNotNull().cast("long").alias("_t"), F.explode(_ngrams_of(F.col("_text"), buckets)).alias("_b"))
         .groupBy("_b")
         .agg(F.sum("_t").alias("_t"), F.count(F.lit(1)).alias("_r"))
     )
@@ -116,11 +117,12 @@ def judge_quality(
     )
     trusted = cut_lineage(trusted.withColumn("_fit", F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(2)) == 0))
     ratios = cut_lineage(log_ratios(docs, trusted.where("_fit"), text, doc_id, buckets))
-    value = F.col(text)
-    known = docs.join(F.broadcast(trusted.where("not _fit")), F.col(doc_id) == F.col("_id"), "left_semi")
+    second = F.broadcast(trusted.where("not _fit"))
+    known = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text")).join(second, F.col("_doc") == F.col("_id"), "left_semi")
+    value = F.col("_text")
     # the table of ratios is one value of the plan: the optimizer puts it where _ratios is used
-    scores = known.select(value.alias("_text"), ratios.scalar().alias("_ratios")).select(
-        let(_hashes(F.col("_text")), lambda h: _mean_ratio(h, F.col("_ratios"), buckets)).alias("s")
+    scores = known.select("_text", ratios.scalar().alias("_ratios")).select(
+        let(_hashes(value), lambda h: _mean_ratio(h, F.col("_ratios"), buckets)).alias("s")
     )
     threshold = cut_lineage(scores.agg((F.percentile("s", lost_trusted) - margin).alias("s")))
     filled = F.coalesce(value, F.lit(""))
@@ -138,10 +140,10 @@ def judge_quality(
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent)
     over = (F.col("score") >= F.col("_cut")) | F.col("_cut").isNull()
     return (
-        docs.select("*", ratios.scalar().alias("_ratios"))
-        .select(*docs.columns, judged.alias("_judged"))
+        docs.select(packed(docs), F.col(text).alias("_text"), ratios.scalar().alias("_ratios"))
+        .select("_row", "_text", judged.alias("_judged"))
         .select(
-            *docs.columns,
+            "_row",
             F.col("_judged.n_words").alias("n_words"),
             (F.length(filled).cast("long") - _bytes_of(filled, SPACES)).alias("word_chars"),
             _bytes_of(filled, SYMBOLS).alias("n_symbols"),
@@ -152,5 +154,5 @@ def judge_quality(
         )
         .withColumn("base_failed", failed)
         .withColumn("kept", ~F.col("base_failed") & F.coalesce(over, F.lit(False)))
-        .select(*docs.columns, *ADDED)
+        .select("_row.*", *ADDED)
     )

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterlab.llm.common import let
+from rasterlab.llm.common import let, packed
 from rasterlab.session import cut_lineage
 
 #: kind, pattern, group whose length counts, least length, what every text with a long match has
@@ -24,6 +24,7 @@ PATTERNS = [
 ]
 KINDS = [*[p[0] for p in PATTERNS], "markov"]
 _CODES = 128
+_DRAWN = 20.0  # how many transitions the distribution of single characters counts for
 _SPAN = "array<struct<start:int,rank:int,end:int>>"
 
 
@@ -67,18 +68,20 @@ def _transitions(s: Column) -> Column:
     return let(codes, lambda c: F.zip_with(F.concat(F.array(F.lit(0)), c), c, lambda a, b: a * _CODES + F.coalesce(b, F.lit(0))))
 
 
-def train_markov(docs: DataFrame, text: str, doc_id: str, sample_docs: int, token: str) -> DataFrame:
+def _sum(cells: Column, field: str) -> Column:
+    return F.aggregate(cells, F.lit(0).cast("long"), lambda s, x: s + x[field])
+
+
+def train_markov(docs: DataFrame, text: str, doc_id: str, sample_docs: int) -> DataFrame:
     """One row with an array of log ratios of transition probabilities, random over ordinary.
 
     Labelled samples come from at most ``sample_docs`` documents, those with the smallest id
     hashes: what the patterns catch is random, words of letters outside of it are ordinary.
     """
     # ids may repeat or be null; the hash of the id and of the text decides then
-    key = F.xxhash64(F.col(doc_id).cast("string"), F.xxhash64(text))
-    chosen = cut_lineage(
-        docs.where(F.col(text).isNotNull()).select(key.alias("_k")).distinct().orderBy("_k").limit(sample_docs)
-    )
-    sample = docs.join(F.broadcast(chosen), key == F.col("_k"), "left_semi").select(F.col(text).alias("t"))
+    keyed = docs.where(F.col(text).isNotNull()).select(F.xxhash64(F.col(doc_id).cast("string"), F.xxhash64(text)).alias("key"), F.col(text).alias("t"))
+    chosen = cut_lineage(keyed.select("key").distinct().orderBy("key").limit(sample_docs))
+    sample = keyed.join(F.broadcast(chosen), "key", "left_semi").select("t")
     spans = sample.select("t", _base_spans(F.col("t")).alias("s"))
     caught = spans.select(
         F.lit(1).alias("c"), F.explode(F.transform("s", lambda x: F.substring(F.col("t"), x["start"] + 1, x["end"] - x["start"]))).alias("w")
@@ -92,15 +95,31 @@ def train_markov(docs: DataFrame, text: str, doc_id: str, sample_docs: int, toke
         F.sort_array(F.collect_list(F.struct("id", "r", "o"))).alias("a")
     )
 
-    def ratio(x: Column, n: Column) -> Column:
-        return F.log((x["r"] + 0.5) / (n["r"] + 0.5 * _CODES)) - F.log((x["o"] + 0.5) / (n["o"] + 0.5 * _CODES))
+    places = F.sequence(F.lit(0), F.lit(_CODES - 1))
+
+    def sums(cells: Column) -> Column:
+        return F.struct(*[_sum(cells, c).alias(c) for c in "ro"])
+
+    def share(x: Column, n: Column, all_: Column, alone: Column, c: str) -> Column:
+        """Probability of a character after another, drawn towards that of the character alone."""
+        own = (alone[c] + 0.5) / (all_[c] + 0.5 * _CODES)
+        return (x[c] + _DRAWN * own) / (n[c] + _DRAWN)
+
+    column = F.transform(places, lambda j: sums(F.transform(places, lambda i: F.get(F.col("a"), i * _CODES + j))))
+    table = whole.select("a", column.alias("alone"), sums(F.col("a")).alias("all_"))
 
     def row(i: Column) -> Column:
-        mine = F.slice(F.col("a"), i * _CODES + 1, _CODES)
-        sums = lambda m: F.struct(*[F.aggregate(m, F.lit(0).cast("long"), lambda s, x: s + x[c]).alias(c) for c in "ro"])
-        return let(mine, lambda m: let(sums(m), lambda n: F.transform(m, lambda x: ratio(x, n))))
+        def of(mine: Column, n: Column) -> Column:
+            return F.transform(
+                mine,
+                lambda x, j: let(F.get(F.col("alone"), j), lambda one: F.log(
+                    share(x, n, F.col("all_"), one, "r") / share(x, n, F.col("all_"), one, "o")
+                )),
+            )
+
+        return let(F.slice(F.col("a"), i * _CODES + 1, _CODES), lambda mine: let(sums(mine), lambda n: of(mine, n)))
 
-    return whole.select(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(_CODES - 1)), row)).alias("ratios"))
+    return table.select(F.flatten(F.transform(places, row)).alias("ratios"))
 
 
 def find_secrets(
@@ -120,7 +139,7 @@ def find_secrets(
     """
     token = "[A-Za-z0-9+/_=-]{%d,}" % least_length
     docs = docs.drop("spans")
-    ratios = cut_lineage(train_markov(docs, text, doc_id, sample_docs, token))
+    ratios = cut_lineage(train_markov(docs, text, doc_id, sample_docs))
     value = F.coalesce(F.col(text), F.lit(""))
     tokens = F.when(value.rlike(token), _matches(value, token, 0, least_length, len(PATTERNS))).otherwise(F.array().cast(_SPAN))
 
@@ -129,17 +148,17 @@ def find_secrets(
         return F.aggregate(moves, F.lit(0.0), lambda s, k: s + F.get(F.col("_ratios"), k))
 
     found = docs.select(
-        *docs.columns, value.alias("_text"), _base_spans(value).alias("_base"), tokens.alias("_tokens"), ratios.scalar().alias("_ratios")
+        packed(docs), value.alias("_text"), _base_spans(value).alias("_base"), tokens.alias("_tokens"), ratios.scalar().alias("_ratios")
     )
     apart = F.filter(
         "_tokens", lambda t: ~F.exists("_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])) & (score(t) >= least_ratio)
     )
-    ordered = F.sort_array(F.concat("_base", apart))
     names = F.array(*map(F.lit, KINDS))
-    return found.select(
-        *docs.columns,
-        F.transform(ordered, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.get(names, x["rank"]).alias("kind"))).alias("spans"),
+    named = F.transform(
+        F.sort_array(F.concat("_base", apart)),
+        lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.get(names, x["rank"]).alias("kind")),
     )
+    return found.select("_row", named.alias("_spans")).select("_row.*", F.col("_spans").alias("spans"))
 
 
 def spans_text(spans: Column) -> Column:

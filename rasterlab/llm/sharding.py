@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rasterlab.llm.common import packed
 from rasterlab.session import cut_lineage, shared_folder
 
 
@@ -73,7 +74,8 @@ def shuffle_to_shards(df: DataFrame, shards: int = 16, seed: int = 0, block_rows
     random 63-bit key and sorted in them, so no task holds a whole shard.
     """
     spark = df.sparkSession
-    df = df.drop("shard", "slot")
+    plain = df.drop("shard", "slot")
+    df = plain.select(packed(plain))
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     fixed = df.checkpoint()
@@ -111,4 +113,4 @@ def shuffle_to_shards(df: DataFrame, shards: int = 16, seed: int = 0, block_rows
     inside = Window.partitionBy("shard", "_block").orderBy("_key", "_at")
     ranked = placed.withColumn("_rank", F.row_number().over(inside) - 1)
     out = ranked.join(starts, ["shard", "_block"]).withColumn("slot", (F.col("_start") + F.col("_rank")).cast("long"))
-    return out.select(*df.columns, "shard", "slot")
+    return out.select("_row.*", "shard", "slot")

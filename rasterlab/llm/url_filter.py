@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterlab.llm.common import let, lowered
+from rasterlab.llm.common import let, lowered, packed
 from rasterlab.session import cut_lineage
 
 Rule = tuple[str, str, str]  # verdict, host, path
@@ -33,11 +34,15 @@ def matching_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
 def _grams(text: Column, mark: str, sizes: tuple[int, ...]) -> Column:
     """Character n-grams of a marked and bounded string."""
     s = F.concat(F.lit(mark + "^"), text, F.lit("$"))
-    each = [
-        let(s, lambda x, n=n: F.when(F.length(x) >= n + 1, F.transform(F.sequence(F.lit(2), F.length(x) - n + 1), lambda i: F.concat(F.lit(mark), F.substring(x, i, n)))).otherwise(F.array().cast("array<string>")))
-        for n in sizes
-    ]
-    return F.concat(*each)
+
+    def of(n: int) -> Column:
+        def cut(x: Column) -> Column:
+            grams = F.transform(F.sequence(F.lit(2), F.length(x) - n + 1), lambda i: F.concat(F.lit(mark), F.substring(x, i, n)))
+            return F.when(F.length(x) > n, grams).otherwise(F.array().cast("array<string>"))
+
+        return let(s, cut)
+
+    return F.concat(*map(of, sizes))
 
 
 def train(table: DataFrame, features: int, iterations: int, penalty: float):
@@ -68,7 +73,7 @@ def judge_urls(
     """
     added = ["host", "path", "rule", "block_probability", "verdict"]
     pages = pages.drop(*added)
-    placed = pages.select("*", host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    placed = pages.select(packed(pages), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     ruled = placed.withColumn("_rule", matching_rule(F.col("host"), F.col("path"), rules))
     known = ruled.where("_rule is not null").select("host", "path", (F.col("_rule.verdict") == "block").cast("double").alias("label")).distinct()
     hashed = known.withColumn("_h", F.xxhash64("host", "path"))
@@ -82,16 +87,11 @@ def judge_urls(
     if model is None:
         scored = ruled.withColumn("block_probability", F.lit(None).cast("double"))
     else:
-        # the model's own columns would clash with columns of the pages, so it gets its own table
-        from pyspark.ml.functions import vector_to_array
-
-        columns = {c: f"_c{i}" for i, c in enumerate(ruled.columns)}
-        apart = ruled.withColumnsRenamed(columns).withColumn("grams", F.concat(_grams(F.col(columns["host"]), "h", sizes), _grams(F.col(columns["path"]), "p", sizes)))
-        vectors = HashingTF(inputCol="grams", outputCol="features", numFeatures=features, binary=True).transform(apart)
-        out = model.transform(vectors).withColumn("block_probability", vector_to_array("probability")[1])
-        scored = out.select(*[F.col(v).alias(k) for k, v in columns.items()], "block_probability")
+        hashing = HashingTF(inputCol="grams", outputCol="features", numFeatures=features, binary=True)
+        out = model.transform(hashing.transform(ruled.withColumn("grams", grams)))
+        scored = out.withColumn("block_probability", vector_to_array("probability")[1])
     by_model = F.when(F.col("block_probability") >= 0.5, "block").when(F.col("block_probability").isNotNull(), "allow").otherwise(otherwise)
     return scored.select(
-        *pages.columns, "host", "path", F.col("_rule.rule").alias("rule"), "block_probability",
+        "_row.*", "host", "path", F.col("_rule.rule").alias("rule"), "block_probability",
         F.coalesce(F.col("_rule.verdict"), by_model).alias("verdict"),
     )
