@@ -203,7 +203,7 @@ def mask_issues(px: DataFrame, keys: Sequence[str] = IMAGE, components: DataFram
     if components is not None:
         summary = summary.join(components, list(keys), "left").fillna(0, subset=["n_components"])
         rules.append(F.when(
-            (n > 0) & (F.col("_pixels") < 10_000_000) & (F.col("n_components") > 1.2 * n),
+            (n > 0) & (F.col("n_components") > 1.2 * n),
             F.format_string("Possible touching/fragmented cells: %d labels but ~%d components",
                             n, F.col("n_components")),
         ))

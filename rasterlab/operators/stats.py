@@ -38,30 +38,37 @@ def rank_sums(df: DataFrame, metrics: Sequence[str], group: str = "Condition") -
     return sums.join(ties, "metric")
 
 
-def mann_whitney(df: DataFrame, metrics: Sequence[str], group: str = "Condition") -> DataFrame:
-    """Two-sided U test between the first and second condition in name order.
+def mann_whitney(
+    df: DataFrame, metrics: Sequence[str], group: str = "Condition", pair: tuple[str, str] | None = None
+) -> DataFrame:
+    """Two-sided U test between two conditions: ``pair``, or the first and second in name order.
 
-    The normal approximation is corrected for continuity and ties; samples whose smaller
+    Only their rows are ranked; further conditions do not count. The normal approximation is corrected for continuity and ties; samples whose smaller
     side has at most 8 values and no ties get the exact probability.
     """
+    if pair is None:
+        first_two = df.select(group).where(F.col(group).isNotNull()).distinct().orderBy(group).limit(2)
+        df = df.join(F.broadcast(first_two), group, "left_semi")
+    else:
+        df = df.where(F.col(group).isin(*pair))
     s = rank_sums(df, metrics, group)
     mid = medians(to_long(df, [group], metrics), [group, "metric"], "value")
     s = s.join(mid, [group, "metric"])
     lo, hi = F.min(F.struct(group, "n", "r", "median")), F.max(F.struct(group, "n", "r", "median"))
-    pair = s.groupBy("metric").agg(lo.alias("a"), hi.alias("b"), F.first("total").alias("total"),
+    both = s.groupBy("metric").agg(lo.alias("a"), hi.alias("b"), F.first("total").alias("total"),
                                    F.first("ties").alias("ties"))
     n1, n2, n = F.col("a.n").cast("double"), F.col("b.n").cast("double"), F.col("total").cast("double")
-    pair = pair.withColumns({
+    both = both.withColumns({
         "U": F.col("a.r") - n1 * (n1 + 1) / 2,
         "_sd": F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("ties") / (n * (n - 1)))),
     })
     z = (F.greatest("U", n1 * n2 - F.col("U")) - n1 * n2 / 2 - 0.5) / F.col("_sd")
-    pair = pair.withColumns({
+    both = both.withColumns({
         "_approx": special.normal_two_sided(z),
         "_exact": special.mann_whitney_small("U", n1, n2),
     })
     p = F.when((F.col("ties") == 0) & F.col("_exact").isNotNull(), F.col("_exact")).otherwise(F.col("_approx"))
-    return pair.withColumn("p_value", p).select(
+    return both.withColumn("p_value", p).select(
         "metric", F.col(f"a.{group}").alias("group_a"), F.col(f"b.{group}").alias("group_b"),
         F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b"), "U", "p_value",
         stars(F.col("p_value")).alias("stars"),

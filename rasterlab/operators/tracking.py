@@ -144,9 +144,12 @@ def track_ids(det: DataFrame, links: DataFrame) -> DataFrame:
 
     Ids count from 0 per condition in order of the first detection's (frame, label).
     """
-    # (frame, label) as one number: frames stay far below 2^23, labels below 2^40
+    # (frame, label) as one number; what does not fit is refused, as it would meet another one
     def node(frame: str, label: str):
-        return F.shiftleft(F.col(frame).cast("bigint"), 40) + F.col(label)
+        fits = F.col(frame).between(0, 2**23 - 1) & F.col(label).between(0, 2**40 - 1)
+        code = F.shiftleft(F.col(frame).cast("bigint"), 40) + F.col(label)
+        return F.when(fits | F.col(frame).isNull() | F.col(label).isNull(), code).otherwise(
+            F.raise_error(F.format_string("frame %d, label %d: frames must be below 2^23, labels below 2^40", frame, label)))
 
     roots = connected_components(
         links.select("condition", node("frame", "label").alias("src"), node("prev_frame", "prev_label").alias("dst")),
@@ -165,12 +168,15 @@ def track(det: DataFrame, radius: float = 50) -> DataFrame:
 
 
 def lineage(tracks: DataFrame) -> DataFrame:
-    """Per track: parent, root ancestor and generation (number of ancestors), by pointer doubling."""
+    """Per track: parent, root ancestor and generation (number of ancestors), by pointer doubling.
+
+    Tracks that are their own ancestors have no root: they are named in a ValueError.
+    """
     nodes = tracks.select("condition", "track_id", "parent_id").distinct()
     now = cut_lineage(nodes.select(
         "condition", "track_id", "parent_id", F.coalesce("parent_id", "track_id").alias("root_id"),
         F.col("parent_id").isNotNull().cast("int").alias("generation")))
-    while True:
+    for _ in range(now.count().bit_length() + 1):
         far = now.select("condition", F.col("track_id").alias("root_id"), F.col("root_id").alias("_r"),
                          F.col("generation").alias("_g"))
         nxt = cut_lineage(now.join(far, ["condition", "root_id"], "left").select(
@@ -178,9 +184,16 @@ def lineage(tracks: DataFrame) -> DataFrame:
             (F.col("generation") + F.coalesce("_g", F.lit(0))).alias("generation")))
         moved = now.select("condition", "track_id", F.col("root_id").alias("_was")).join(
             nxt, ["condition", "track_id"]).where("_was <> root_id")
-        if moved.isEmpty():
-            return nxt
         now = nxt
+        if moved.isEmpty():
+            break
+    # a root with a parent among the tracks lies on a cycle
+    parents = nodes.where("parent_id is not null").select("condition", F.col("track_id").alias("root_id")).distinct()
+    cyclic = now.join(parents, ["condition", "root_id"], "left_semi").select("condition", "track_id").orderBy("condition", "track_id")
+    found = cyclic.limit(5).collect()
+    if found:
+        raise ValueError(f"tracks that are their own ancestors: {[tuple(r) for r in found]}")
+    return now
 
 
 def with_lineage(tracks: DataFrame) -> DataFrame:
@@ -252,6 +265,11 @@ def intensity_matrix(tracks: DataFrame, frames: Sequence[int]) -> DataFrame:
     return tracks.groupBy("condition", "track_id").agg(*aggs)
 
 
+def intensity_long(tracks: DataFrame) -> DataFrame:
+    """The same in long form: a row for each track and frame."""
+    return tracks.groupBy("condition", "track_id", "frame").agg(F.avg("mean_intensity").alias("mean_intensity"))
+
+
 def heatmap_rows(tracks: DataFrame) -> DataFrame:
     """Tracks from brightest to dimmest; a range-partitioned sort."""
     return tracks.groupBy("condition", "track_id").agg(

@@ -157,11 +157,13 @@ def ratio_study(table: DataFrame, keywords: Mapping[str, Sequence[str]] | None =
          ("Area", names["area"])) if found])
     clean = clean_ratio(renamed, area="Area" if names["area"] else None)
     kept = remove_iqr_outliers(clean, RATIO_METRICS)
+    # two conditions get the two-sample test, more of them the test over all
+    conditions = kept.agg(F.countDistinct("Condition").alias("n")).scalar()
     return {
         "clean": kept,
         "summary": ratio_summary(kept),
-        "two_groups": mann_whitney(kept, RATIO_METRICS),
-        "all_groups": kruskal_wallis(kept, RATIO_METRICS),
+        "two_groups": mann_whitney(kept, RATIO_METRICS).where(conditions == 2),
+        "all_groups": kruskal_wallis(kept, RATIO_METRICS).where(conditions > 2),
         "correlation": pearson(kept, "Red_CTCF", "GFP_CTCF"),
     }
 

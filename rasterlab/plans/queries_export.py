@@ -17,6 +17,7 @@ from rasterlab.operators import tracking as tr
 from rasterlab.plans import analyses, views
 from rasterlab.plans.queries_cells import MSTATS
 from rasterlab.plans.queries_shape import MOM
+from rasterlab.plans.queries_stats import KRUSKAL_P, LONG
 from rasterlab.plans.queries_summary import IQR3, LIMITS
 from rasterlab.plans.queries_tracking import MOVIE, movie
 from rasterlab.plans.registry import query, rounded
@@ -203,8 +204,8 @@ def g6_segment_images(spark, sf_dir):
     files = px.select("condition", "image_set", "suffix", "path").distinct()
     done = px.where("image_set % 4 = 3").select("condition", "image_set").distinct()
     todo = pending(px.select("condition", "image_set").distinct(), done)
-    regions = views.table(spark, sf_dir, "region").where("r_regionkey < 1").selectExpr(
-        "concat('c', cast(r_regionkey as string)) as condition", "0.6d + r_regionkey as threshold")
+    regions = views.table(spark, sf_dir, "region").selectExpr(
+        "concat('c', cast(r_regionkey as string)) as condition", "0.6d + r_regionkey / 20d as threshold")
     settings = t.with_overrides(todo, regions, {"threshold": 0.75, "sigma": 1.0})
     inputs = ex.segmentation_input(px, files, wanted_channels(px)).join(settings, ["condition", "image_set"])
     return ex.segment(inputs, bright_regions, params=["threshold"])
@@ -298,7 +299,8 @@ def z5_ratio_study(spark, sf_dir):
     return rounded(analyses.ratio_study(views.ratio(spark, sf_dir))["summary"])
 
 
-@query("z5_ratio_tests")
+@query("z5_ratio_tests", "ratio", f"""{IQR3}, {LONG.replace("FROM clean", "FROM f3")}
+{KRUSKAL_P}""")
 def z5_ratio_tests(spark, sf_dir):
     return rounded(analyses.ratio_study(views.ratio(spark, sf_dir))["all_groups"])
 

@@ -73,13 +73,13 @@ def s3_legacy_grouping(spark, sf_dir):
 
 MASKS = """
  paths AS (SELECT DISTINCT '/out/masks/' || l_returnflag || '/img' || CAST(l_suppkey AS VARCHAR) || CASE WHEN l_linenumber = 1 THEN '_cellular' ELSE '' END ||
-           CASE l_partkey % 4 WHEN 0 THEN '_masks.tif' WHEN 1 THEN '_masks_v2.tif' WHEN 2 THEN '_masks.npy' ELSE '_raw.tif' END AS path FROM lineitem WHERE l_suppkey % 3 > 0),
+           CASE l_partkey % 4 WHEN 0 THEN '_masks.tif' WHEN 1 THEN '_masks_v2.tif' WHEN 2 THEN '_masks.npy' ELSE '_raw.tif' END AS path FROM lineitem),
  saved AS (SELECT split_part(path, '/', 4) AS condition, replace(replace(regexp_replace(split_part(path, '/', 5), '\\.[^.]*$', ''), '_masks', ''), '_cellular', '') AS base, path
            FROM paths WHERE regexp_matches(path, '_masks[^/]*\\.tif$') OR regexp_matches(path, '_masks\\.npy$'))"""
 
 
 def mask_paths(spark, sf_dir):
-    return views.table(spark, sf_dir, "lineitem").where("l_suppkey % 3 > 0").select(F.expr("""concat('/out/masks/', l_returnflag, '/img',
+    return views.table(spark, sf_dir, "lineitem").select(F.expr("""concat('/out/masks/', l_returnflag, '/img',
         cast(l_suppkey as string), case when l_linenumber = 1 then '_cellular' else '' end,
         case l_partkey % 4 when 0 then '_masks.tif' when 1 then '_masks_v2.tif' when 2 then '_masks.npy' else '_raw.tif' end)""").alias("path")).distinct()
 
@@ -266,5 +266,5 @@ FROM k JOIN n USING (condition)""")
 def z6_experiment_scan(spark, sf_dir):
     from rasterlab.plans.analyses import experiment_channels
 
-    wavelengths = views.table(spark, sf_dir, "region").limit(1).select(F.lit("w1").alias("suffix"), F.lit(461.0).alias("wavelength"))
+    wavelengths = views.table(spark, sf_dir, "region").agg((461.0 + F.min("r_regionkey")).alias("wavelength")).withColumn("suffix", F.lit("w1"))
     return experiment_channels(views.gappy_files(spark, sf_dir), wavelengths)

@@ -20,14 +20,14 @@ def mosaic(spark, sf_dir):
 
 
 EDITS = """
- ed AS (SELECT DISTINCT 'c' || CAST((user_id % 5) % 2 AS VARCHAR) AS condition, user_id % 5 AS image_set, CAST(event_id % 310 AS INT) AS label
-        FROM events WHERE event_id % 17 = 0)"""
+ ed AS (SELECT DISTINCT 'c' || CAST((user_id % 5) % 2 AS VARCHAR) AS condition, user_id % 5 AS image_set, CAST(event_id * 7 % 3000 AS INT) AS label
+        FROM events)"""
 
 
 def edits(spark, sf_dir):
-    return views.table(spark, sf_dir, "events").where("event_id % 17 = 0").selectExpr(
+    return views.table(spark, sf_dir, "events").selectExpr(
         "concat('c', cast((user_id % 5) % 2 as string)) as condition", "user_id % 5 as image_set",
-        "cast(event_id % 310 as int) as label")
+        "cast(event_id * 7 % 3000 as int) as label")
 
 
 @query("m1_remove_cells", "mosaic", f"""{EDITS}
@@ -38,11 +38,11 @@ def m1_remove_cells(spark, sf_dir):
 
 
 @query("m2_remove_at_position", "mosaic", f"""{POINTS},
- hit AS (SELECT DISTINCT condition, image_set, label FROM (SELECT * FROM pts WHERE event_id % 50 = 0) JOIN mosaic USING (condition, image_set, y, x) WHERE label > 0)
+ hit AS (SELECT DISTINCT condition, image_set, label FROM pts JOIN mosaic USING (condition, image_set, y, x) WHERE label > 0)
 SELECT m.condition, m.image_set, y, x, CASE WHEN hit.label IS NOT NULL THEN 0 ELSE m.label END AS label
 FROM mosaic m LEFT JOIN hit USING (condition, image_set, label)""")
 def m2_remove_at_position(spark, sf_dir):
-    return m.remove_cells_at(mosaic(spark, sf_dir), points(spark, sf_dir).where("event_id % 50 = 0")).select(*PLACE)
+    return m.remove_cells_at(mosaic(spark, sf_dir), points(spark, sf_dir)).select(*PLACE)
 
 
 @query("m3_merge_cells", "mosaic", """
@@ -88,11 +88,32 @@ def m4_add_polygons(spark, sf_dir):
 
 @query("m5_grow_from_seed")
 def m5_grow_from_seed(spark, sf_dir):
-    seeds = points(spark, sf_dir).where("event_id % 500 = 0").withColumnRenamed("event_id", "seq")
+    # the last click on each row of pixels
+    last = points(spark, sf_dir).groupBy("condition", "image_set", "y").agg(F.max(F.struct("event_id", "x")).alias("p"))
+    seeds = last.select("condition", "image_set", "y", "p.x", F.col("p.event_id").alias("seq"))
     return m.grow_from_seeds(mosaic(spark, sf_dir), seeds).select(*PLACE)
 
 
-@query("m6_clean_small_objects")
+PARTS = """
+ pix AS (SELECT image_set, y, x, y::BIGINT * 2147483648 + x AS code FROM mosaic WHERE label > 0),
+ cell AS (SELECT image_set, label, min(y::BIGINT * 2147483648 + x) AS code FROM mosaic WHERE label > 0 GROUP BY ALL),
+ touch AS (SELECT DISTINCT a.image_set, a.label AS p, b.label AS q FROM mosaic a JOIN mosaic b ON a.image_set = b.image_set
+           AND ((b.y = a.y AND b.x = a.x + 1) OR (b.y = a.y + 1 AND b.x = a.x)) WHERE a.label > 0 AND b.label > 0 AND a.label <> b.label),
+ both_ AS (SELECT image_set, p, q FROM touch UNION SELECT image_set, q, p FROM touch),
+ w AS (SELECT image_set, label AS start, label AS label FROM cell),
+ r1 AS (SELECT * FROM w UNION SELECT w.image_set, w.start, both_.q FROM w JOIN both_ ON both_.image_set = w.image_set AND both_.p = w.label),
+ r2 AS (SELECT * FROM r1 UNION SELECT a.image_set, a.start, b.label FROM r1 a JOIN r1 b ON a.image_set = b.image_set AND a.label = b.start),
+ r3 AS (SELECT * FROM r2 UNION SELECT a.image_set, a.start, b.label FROM r2 a JOIN r2 b ON a.image_set = b.image_set AND a.label = b.start),
+ r4 AS (SELECT * FROM r3 UNION SELECT a.image_set, a.start, b.label FROM r3 a JOIN r3 b ON a.image_set = b.image_set AND a.label = b.start),
+ r5 AS (SELECT * FROM r4 UNION SELECT a.image_set, a.start, b.label FROM r4 a JOIN r4 b ON a.image_set = b.image_set AND a.label = b.start),
+ root AS (SELECT r5.image_set, r5.start AS label, min(cell.code) AS component FROM r5 JOIN cell ON cell.image_set = r5.image_set AND cell.label = r5.label GROUP BY ALL)"""
+
+
+@query("m6_clean_small_objects", "mosaic", f"""{PARTS},
+ big AS (SELECT image_set, component FROM mosaic JOIN root USING (image_set, label) GROUP BY ALL HAVING count(*) >= 20),
+ kept AS (SELECT image_set, label, dense_rank() OVER (PARTITION BY image_set ORDER BY label) AS new
+          FROM (SELECT DISTINCT image_set, label FROM root JOIN big USING (image_set, component)))
+SELECT condition, image_set, y, x, coalesce(CAST(new AS INT), 0) AS label FROM mosaic LEFT JOIN kept USING (image_set, label)""")
 def m6_clean_small_objects(spark, sf_dir):
     return m.clean_small_objects(mosaic(spark, sf_dir), min_size=20).select(*PLACE)
 
@@ -180,26 +201,15 @@ def m11_smooth_boundaries(spark, sf_dir):
     return m.smooth_boundaries(mosaic(spark, sf_dir)).select(*PLACE)
 
 
-@query("m13_connected_components", "mosaic", """
- pix AS (SELECT image_set, y, x, y::BIGINT * 2147483648 + x AS code FROM mosaic WHERE label > 0),
- cell AS (SELECT image_set, label, min(y::BIGINT * 2147483648 + x) AS code FROM mosaic WHERE label > 0 GROUP BY ALL),
- touch AS (SELECT DISTINCT a.image_set, a.label AS p, b.label AS q FROM mosaic a JOIN mosaic b ON a.image_set = b.image_set
-           AND ((b.y = a.y AND b.x = a.x + 1) OR (b.y = a.y + 1 AND b.x = a.x)) WHERE a.label > 0 AND b.label > 0 AND a.label <> b.label),
- both_ AS (SELECT image_set, p, q FROM touch UNION SELECT image_set, q, p FROM touch),
- w AS (SELECT image_set, label AS start, label AS label FROM cell),
- r1 AS (SELECT * FROM w UNION SELECT w.image_set, w.start, both_.q FROM w JOIN both_ ON both_.image_set = w.image_set AND both_.p = w.label),
- r2 AS (SELECT * FROM r1 UNION SELECT a.image_set, a.start, b.label FROM r1 a JOIN r1 b ON a.image_set = b.image_set AND a.label = b.start),
- r3 AS (SELECT * FROM r2 UNION SELECT a.image_set, a.start, b.label FROM r2 a JOIN r2 b ON a.image_set = b.image_set AND a.label = b.start),
- r4 AS (SELECT * FROM r3 UNION SELECT a.image_set, a.start, b.label FROM r3 a JOIN r3 b ON a.image_set = b.image_set AND a.label = b.start),
- r5 AS (SELECT * FROM r4 UNION SELECT a.image_set, a.start, b.label FROM r4 a JOIN r4 b ON a.image_set = b.image_set AND a.label = b.start),
- root AS (SELECT r5.image_set, r5.start AS label, min(cell.code) AS component FROM r5 JOIN cell ON cell.image_set = r5.image_set AND cell.label = r5.label GROUP BY ALL)
+@query("m13_connected_components", "mosaic", f"""{PARTS}
 SELECT condition, image_set, y, x, component FROM mosaic JOIN root USING (image_set, label)""")
 def m13_connected_components(spark, sf_dir):
     px = mosaic(spark, sf_dir).where("label > 0")
     return components(px.select(*KEYS, "y", "x"), KEYS)
 
 
-@query("m13_components_across_tiles")
+@query("m13_components_across_tiles", "mosaic", f"""{PARTS}
+SELECT condition, image_set, y, x, component FROM mosaic JOIN root USING (image_set, label)""")
 def m13_components_across_tiles(spark, sf_dir):
     """The same components with 16-pixel tiles, so that most of them cross a seam."""
     px = mosaic(spark, sf_dir).where("label > 0")

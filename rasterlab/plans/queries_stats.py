@@ -20,32 +20,47 @@ LONG = """
  grp AS (SELECT metric, "Condition" AS c, count(*) AS n, sum(r) AS r, median(v) AS med FROM ranked GROUP BY ALL)"""
 CLEAN2 = CLEAN.replace("FROM ratio", "FROM ratio2").replace(" ratio WHERE", " ratio2 WHERE")
 
-
-@query("t1_mann_whitney_u", "ratio2", f"""{CLEAN2}, {LONG},
+CLEAN_AR = CLEAN.replace("WHERE Area", "WHERE Condition IN ('A', 'R') AND Area")
+PAIR = """
  a AS (SELECT * FROM grp QUALIFY row_number() OVER (PARTITION BY metric ORDER BY c) = 1),
  b AS (SELECT * FROM grp QUALIFY row_number() OVER (PARTITION BY metric ORDER BY c DESC) = 1)
 SELECT metric, a.c AS group_a, b.c AS group_b, a.n AS n_a, b.n AS n_b, a.r - a.n * (a.n + 1) / 2 AS "U",
        CASE WHEN a.med > b.med THEN 'higher' ELSE 'lower' END AS direction
-FROM a JOIN b USING (metric)""")
+FROM a JOIN b USING (metric)"""
+KRUSKAL_RAW = """
+SELECT metric, ((12 / (any_value(tie.n) * (any_value(tie.n) + 1)) * sum(grp.r * grp.r / grp.n) - 3 * (any_value(tie.n) + 1))
+       / (1 - any_value(ties) / (any_value(tie.n)*any_value(tie.n)*any_value(tie.n) - any_value(tie.n)))) AS "H",
+       count(*) - 1 AS df, any_value(tie.n)::BIGINT AS n
+FROM grp JOIN tie USING (metric) GROUP BY metric"""
+KRUSKAL = f"""SELECT * REPLACE (round("H", 6) AS "H") FROM ({KRUSKAL_RAW})"""
+# the chi-square tail of three conditions
+KRUSKAL_P = f"""SELECT * REPLACE (round("H", 6) AS "H"), round(exp(-"H" / 2), 6) AS p_value FROM ({KRUSKAL_RAW})"""
+
+
+@query("t1_mann_whitney_u", "ratio2", f"""{CLEAN2}, {LONG}, {PAIR}""")
 def t1_mann_whitney_u(spark, sf_dir):
     return st.mann_whitney(s.clean_ratio(views.ratio2(spark, sf_dir)), METRICS).drop("p_value", "stars")
 
 
+@query("t1_mann_whitney_pair", "ratio", f"""{CLEAN_AR}, {LONG}, {PAIR}""")
+def t1_mann_whitney_pair(spark, sf_dir):
+    """Two of three conditions: the third one must not count."""
+    return st.mann_whitney(s.clean_ratio(views.ratio(spark, sf_dir)), METRICS, pair=("A", "R")).drop("p_value", "stars")
+
+
 @query("t1_mann_whitney_p")
 def t1_mann_whitney_p(spark, sf_dir):
     return rounded(st.mann_whitney(s.clean_ratio(views.ratio2(spark, sf_dir)), METRICS))
 
 
 @query("t2_kruskal_wallis_h", "ratio", f"""{CLEAN}, {LONG}
-SELECT metric, round((12 / (any_value(tie.n) * (any_value(tie.n) + 1)) * sum(grp.r * grp.r / grp.n) - 3 * (any_value(tie.n) + 1))
-       / (1 - any_value(ties) / (any_value(tie.n)*any_value(tie.n)*any_value(tie.n) - any_value(tie.n))), 6) AS "H",
-       count(*) - 1 AS df, any_value(tie.n)::BIGINT AS n
-FROM grp JOIN tie USING (metric) GROUP BY metric""")
+{KRUSKAL}""")
 def t2_kruskal_wallis_h(spark, sf_dir):
     return rounded(st.kruskal_wallis(s.clean_ratio(views.ratio(spark, sf_dir)), METRICS).drop("p_value"))
 
 
-@query("t2_kruskal_wallis_p")
+@query("t2_kruskal_wallis_p", "ratio", f"""{CLEAN}, {LONG}
+{KRUSKAL_P}""")
 def t2_kruskal_wallis_p(spark, sf_dir):
     return rounded(st.kruskal_wallis(s.clean_ratio(views.ratio(spark, sf_dir)), METRICS))
 

@@ -198,12 +198,12 @@ def j1_calibrated_signal(spark, sf_dir):
 @query("j7_parameter_override", "raster", """
  i AS (SELECT DISTINCT condition, image_set FROM raster),
  o AS (SELECT 'c' || CAST(r_regionkey AS VARCHAR) AS condition, CASE WHEN r_regionkey % 2 = 0 THEN 20.0::DOUBLE + r_regionkey END AS diameter,
-              CAST(10 + r_regionkey AS INT) AS min_size FROM region WHERE r_regionkey < 2)
+              CAST(10 + r_regionkey AS INT) AS min_size FROM region)
 SELECT condition, image_set, coalesce(diameter, 30) AS diameter, coalesce(min_size, 15) AS min_size, 0.4::DOUBLE AS flow_threshold
 FROM i LEFT JOIN o USING (condition)""")
 def j7_parameter_override(spark, sf_dir):
     images = views.raster(spark, sf_dir).select("condition", "image_set").distinct()
-    overrides = views.table(spark, sf_dir, "region").where("r_regionkey < 2").selectExpr(
+    overrides = views.table(spark, sf_dir, "region").selectExpr(
         "concat('c', cast(r_regionkey as string)) as condition",
         "case when r_regionkey % 2 = 0 then 20d + r_regionkey end as diameter", "cast(10 + r_regionkey as int) as min_size")
     return t.with_overrides(images, overrides, {"diameter": 30.0, "min_size": 15, "flow_threshold": 0.4})

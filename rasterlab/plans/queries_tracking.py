@@ -152,7 +152,14 @@ def k11_peak_intensity(spark, sf_dir):
 @query("k12_intensity_matrix", "tracks", "SELECT condition, track_id, " + ", ".join(
     f"round(avg(mean_intensity) FILTER (frame = {f}), 6) AS f{f}" for f in range(30)) + " FROM tracks GROUP BY ALL")
 def k12_intensity_matrix(spark, sf_dir):
-    return rounded(tr.intensity_matrix(views.tracks(spark, sf_dir), range(30)))
+    tracks = views.tracks(spark, sf_dir)
+    last = tracks.agg(F.max("frame")).first()[0]
+    return rounded(tr.intensity_matrix(tracks, range((last if last is not None else -1) + 1)))
+
+
+@query("k12_intensity_long", "tracks", "SELECT condition, track_id, frame, round(avg(mean_intensity), 6) AS mean_intensity FROM tracks GROUP BY ALL")
+def k12_intensity_long(spark, sf_dir):
+    return rounded(tr.intensity_long(views.tracks(spark, sf_dir)))
 
 
 @query("k13_run_summary", "tracks", """
