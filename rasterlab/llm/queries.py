@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from rasterlab.llm import decontamination, line_dedup, lm_scoring, near_dedup, packing, quality, secret_scan, sharding, suffix_dedup, url_filter
 from rasterlab.llm.common import table
+from rasterlab.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES = {}
-ORACLES = {}
 
 RULES = [
     ("allow", "com", "/"),
@@ -82,7 +82,7 @@ def op7_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), clean=False)
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "longest_match",
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
 
 
