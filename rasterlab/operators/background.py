@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rasterlab.functions.joins import attach
 from rasterlab.functions.order import fits_one_task, medians
 from rasterlab.operators.spatial import (
     cell_surroundings,
@@ -61,7 +62,7 @@ def mode_background(px: DataFrame, keys: Sequence[str] = IMAGE) -> DataFrame:
         F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * BINS), F.lit(BINS - 1)
     )
     peak = (
-        bg.join(span, keys)
+        attach(bg, span, keys)
         .groupBy(*keys, "_lo", "_hi", "bg_std", bin_no.alias("_bin"))
         .agg(F.count(F.lit(1)).alias("_c"))
         .groupBy(*keys, "_lo", "_hi", "bg_std")
@@ -119,7 +120,7 @@ def corner_background(px: DataFrame, keys: Sequence[str] = IMAGE, fraction: floa
     times = sum(((a & b).cast("int") for a, b in
                  [(top, left), (top, right), (bottom, left), (bottom, right)]), F.lit(0))
     return (
-        px.join(size, keys)
+        attach(px, size, keys)
         .withColumn("_times", times)
         .where("_times > 0")
         .groupBy(*keys)
@@ -198,7 +199,7 @@ def voronoi(px: DataFrame, keys: Sequence[str] = IMAGE) -> DataFrame:
     limit = F.lit(0)
     for d in reversed(ladder):
         limit = F.when(F.col(f"_c{d}") >= 100, d * d).otherwise(limit)
-    usable = free.join(counts.select(*keys, limit.alias("_limit")), keys).where(F.col("d2") >= F.col("_limit"))
+    usable = attach(free, counts.select(*keys, limit.alias("_limit")), keys).where(F.col("d2") >= F.col("_limit"))
     value = F.col("value").cast("double")
     local = usable.groupBy(*keys, F.col("nearest").alias("label")).agg(F.median(value).alias("_local"))
     whole = usable.groupBy(*keys).agg(F.median(value).alias("_whole"), F.stddev_pop(value).alias("_std"))
@@ -234,7 +235,7 @@ def polynomial_surface(px: DataFrame, keys: Sequence[str] = IMAGE, order: int =
     keys = list(keys)
     px = px.select(*keys, "y", "x", "label", F.col("value").cast("double").alias("value"))
     size = image_size(px, keys)
-    placed = px.join(size, keys).withColumns({
+    placed = attach(px, size, keys).withColumns({
         "_u": 2 * F.col("x") / F.greatest(F.col("width") - 1, F.lit(1)) - 1,
         "_v": 2 * F.col("y") / F.greatest(F.col("height") - 1, F.lit(1)) - 1,
     }).drop("width", "height")
@@ -262,7 +263,7 @@ def polynomial_surface(px: DataFrame, keys: Sequence[str] = IMAGE, order: int =
 
     fit = sums.select(*keys, "_n", "_med", F.when(F.col("_n") >= 50, solve("_s", "_r")).alias("_k"))
     value = sum((F.col("_k")[i] * mono(p, q) for i, (p, q) in enumerate(terms)), F.lit(0.0))
-    surface = placed.join(fit, keys, "left").withColumn(
+    surface = attach(placed, fit, keys, "left").withColumn(
         "_surface", F.when(F.col("_k").isNotNull(), value).otherwise(F.coalesce("_med", F.lit(0.0)))
     )
     local = medians(

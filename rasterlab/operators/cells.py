@@ -14,6 +14,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rasterlab.functions.joins import attach
 from rasterlab.functions.order import medians, quantiles
 from rasterlab.schema import IMAGE, METRIC_SUFFIX
 
@@ -100,7 +101,7 @@ def saturation_limits(
 
 def flag_saturated(cells: DataFrame, limits: DataFrame, keys: Sequence[str] = IMAGE) -> DataFrame:
     return (
-        cells.join(limits, list(keys))
+        attach(cells, limits, keys)
         .withColumn("is_saturated", F.col("max") >= F.col("saturation_limit"))
         .drop("saturation_limit")
     )
@@ -110,7 +111,7 @@ def flag_dim(cells: DataFrame, keys: Sequence[str] = IMAGE) -> DataFrame:
     """Cells strictly below the 5th percentile of the cell means of their image, if it has > 10 cells."""
     cut = quantiles(cells, keys, "mean", {"_cut": DIM_PERCENTILE})
     dim = (F.col("_n") > DIM_MIN_CELLS) & (F.col("mean") < F.col("_cut"))
-    return cells.join(cut, list(keys)).withColumn("is_dim", dim).drop("_cut", "_n")
+    return attach(cells, cut, keys).withColumn("is_dim", dim).drop("_cut", "_n")
 
 
 def wide_results(

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rasterlab.functions.joins import attach
 from rasterlab.operators.pixels import label_colours, normalise
 from rasterlab.operators.spatial import image_size
 from rasterlab.operators.tables import match_suffix
@@ -54,7 +55,7 @@ def contour_summary(px: DataFrame, keys: Sequence[str] = IMAGE) -> DataFrame:
 def _levels(px: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Adds image size and ``_top``, the number of the full-resolution level."""
     longest = F.greatest("width", "height", F.lit(1)).cast("double")
-    return px.join(image_size(px, keys), list(keys)).withColumn("_top", F.ceil(F.log2(longest)).cast("int"))
+    return attach(px, image_size(px, keys), keys).withColumn("_top", F.ceil(F.log2(longest)).cast("int"))
 
 
 def mask_pyramid(px: DataFrame, keys: Sequence[str] = IMAGE, tile: int = TILE) -> DataFrame:

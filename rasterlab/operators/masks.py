@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rasterlab.functions.joins import attach_labels
 from rasterlab.functions.grouped import stream_groups
 from rasterlab.operators.components import components
 from rasterlab.operators.spatial import image_size
@@ -33,7 +34,7 @@ def _top_label(px: DataFrame, keys: Sequence[str]) -> DataFrame:
 def remove_cells(px: DataFrame, edits: DataFrame, keys: Sequence[str] = IMAGE) -> DataFrame:
     """Sets the listed labels (keys, label) to background."""
     gone = edits.select(*keys, "label").where("label <> 0").distinct().withColumn("_gone", F.lit(True))
-    return _with_label(px.join(gone, [*keys, "label"], "left"),
+    return _with_label(attach_labels(px, gone, keys),
                        F.when(F.col("_gone"), 0).otherwise(F.col("label")), px.columns)
 
 
@@ -47,7 +48,7 @@ def merge_cells(px: DataFrame, edits: DataFrame, keys: Sequence[str] = IMAGE) ->
     moves = edits.where(F.size("labels") >= 2).select(
         *keys, F.explode("labels").alias("label"), F.array_min("labels").alias("_to")
     ).groupBy(*keys, "label").agg(F.min("_to").alias("_to"))
-    return _with_label(px.join(moves, [*keys, "label"], "left"), F.coalesce("_to", "label"), px.columns)
+    return _with_label(attach_labels(px, moves, keys), F.coalesce("_to", "label"), px.columns)
 
 
 def polygon_pixels(polygons: DataFrame, keys: Sequence[str] = IMAGE) -> DataFrame:
@@ -183,7 +184,7 @@ def dilate(
     px_cols = px.columns
     if only is not None:
         chosen = only.select(*keys, "label").distinct().withColumn("_grow", F.lit(True))
-        px = px.join(chosen, [*keys, "label"], "left").withColumn("_grow", F.coalesce("_grow", F.lit(False)))
+        px = attach_labels(px, chosen, keys).withColumn("_grow", F.coalesce("_grow", F.lit(False)))
     else:
         px = px.withColumn("_grow", F.col("label") > 0)
     if iterations == 1:
@@ -227,7 +228,7 @@ def erode(
     cols = px.columns
     if only is not None:
         chosen = only.select(*keys, "label").distinct().withColumn("_grow", F.lit(True))
-        px = px.join(chosen, [*keys, "label"], "left").withColumn("_grow", F.coalesce("_grow", F.lit(False)))
+        px = attach_labels(px, chosen, keys).withColumn("_grow", F.coalesce("_grow", F.lit(False)))
     else:
         px = px.withColumn("_grow", F.lit(True))
     t = tiles(px.withColumn("_now", F.col("label")), keys, halo=iterations)

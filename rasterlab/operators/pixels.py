@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rasterlab.functions.joins import attach
 from rasterlab.functions.order import quantiles
 from rasterlab.schema import IMAGE
 
@@ -127,7 +128,7 @@ def normalise(
     scaled = (F.col("value") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
     norm = F.when(F.col("_min") == F.col("_max"), flat).otherwise(
         F.least(F.greatest(scaled, F.lit(0.0)), F.lit(1.0)))
-    return px.join(_limits(px, keys, low, high, integer_pixels), list(keys)).withColumn("norm", norm).drop(
+    return attach(px, _limits(px, keys, low, high, integer_pixels), keys).withColumn("norm", norm).drop(
         "_lo", "_hi", "_min", "_max")
 
 
@@ -136,7 +137,7 @@ def auto_contrast(px: DataFrame, keys: Sequence[str] = IMAGE, integer_pixels: bo
     scaled = (F.col("value") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
     gray = F.when(F.col("_hi") <= F.col("_lo"), 0).otherwise(
         F.floor(F.least(F.greatest(scaled, F.lit(0.0)), F.lit(1.0)) * 255)).cast("int")
-    return px.join(_limits(px, keys, 0.0035, 0.9965, integer_pixels), list(keys)).withColumn("gray", gray).drop(
+    return attach(px, _limits(px, keys, 0.0035, 0.9965, integer_pixels), keys).withColumn("gray", gray).drop(
         "_lo", "_hi", "_min", "_max")
 
 
@@ -197,7 +198,7 @@ def overlay(px: DataFrame, keys: Sequence[str] = IMAGE, alpha: float = 0.5) -> D
         F.min("value").cast("double").alias("_lo"), F.max("value").cast("double").alias("_hi"))
     grey = F.when(F.col("_hi") > F.col("_lo"),
                   (F.col("value") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
-    coloured = label_colours(px.join(ends, list(keys)).withColumn("_grey", grey))
+    coloured = label_colours(attach(px, ends, keys).withColumn("_grey", grey))
     blend = {
         c: F.floor(F.round(F.when(
             F.col("label") > 0, F.col(c) / 255.0 * alpha + F.col("_grey") * (1 - alpha)
@@ -216,5 +217,5 @@ def value_map(px: DataFrame, cell_values: DataFrame, keys: Sequence[str] = IMAGE
     values = cell_values.select(*keys, "label", F.col("value").alias("cell_value"))
     limits = values.groupBy(*keys).agg(lo.alias("_lo"), F.when(lo == hi, hi + 1).otherwise(hi).alias("_hi"))
     painted = px.where("label > 0").select(*keys, "y", "x", "label").join(values, [*keys, "label"])
-    return painted.join(limits, list(keys)).withColumn(
+    return attach(painted, limits, keys).withColumn(
         "norm", (F.col("cell_value") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).drop("_lo", "_hi")

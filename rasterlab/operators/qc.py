@@ -9,6 +9,7 @@ from operator import or_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rasterlab.functions.joins import attach_labels
 from rasterlab.functions.order import quantiles
 from rasterlab.schema import IMAGE
 
@@ -65,7 +66,7 @@ def qc_totals(gated: DataFrame, keys: Sequence[str] = IMAGE) -> DataFrame:
 def apply_gates(px: DataFrame, gated: DataFrame, keys: Sequence[str] = IMAGE) -> DataFrame:
     """The mask with rejected labels set to 0."""
     out = gated.where("rejected").select(*keys, "label", F.lit(True).alias("_out"))
-    return px.join(out, [*keys, "label"], "left").withColumn(
+    return attach_labels(px, out, keys).withColumn(
         "label", F.when(F.col("_out"), 0).otherwise(F.col("label")).cast(px.schema["label"].dataType)
     ).select(*px.columns)
 

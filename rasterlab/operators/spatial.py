@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rasterlab.functions.joins import attach
 from rasterlab.operators.tiling import core_only, four_neighbours, tiles
 from rasterlab.schema import IMAGE
 
@@ -159,7 +160,7 @@ def median_filtered_background(
 ) -> DataFrame:
     """Background pixels with ``surface``, the ``size`` x ``size`` median around each (mirrored at edges)."""
     before, after = size // 2, size - size // 2 - 1
-    sized = px.join(image_size(px, keys), list(keys))
+    sized = attach(px, image_size(px, keys), keys)
     tiled = tiles(sized, keys, halo=before, tile=tile)
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -228,7 +229,7 @@ def smoothed(px: DataFrame, sigmas: DataFrame, keys: Sequence[str] = IMAGE) -> D
     """
     widest = sigmas.agg(F.max("sigma")).first()[0] or 0.0
     radius = int(4.0 * widest + 0.5)
-    sized = px.join(image_size(px, keys), list(keys)).join(sigmas, list(keys), "left").fillna(0.0, ["sigma"])
+    sized = attach(px, image_size(px, keys).join(sigmas, list(keys), "left"), keys).fillna(0.0, ["sigma"])
     tiled = tiles(sized.withColumn("value", F.col("value").cast("double")), keys, halo=radius)
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rasterlab.functions.joins import attach
 from rasterlab.functions import special
 from rasterlab.functions.order import medians, pick, positions, to_long
 
@@ -117,7 +118,7 @@ def _grid_density(df: DataFrame, group: str, value: str, shape: DataFrame, point
     x = F.col("x0") + F.col("i") * F.col("step")
     z = (x - F.col("_v")) / F.col("h")
     sums = (
-        counts.join(shape, group)
+        attach(counts, shape, group)
         .withColumn("i", F.explode(F.sequence(first, F.greatest(first, last))))
         .where((F.col("i") <= points - 1))
         .groupBy(group, "i").agg(F.sum(F.col("_c") * F.exp(-0.5 * z * z)).alias("_s"))

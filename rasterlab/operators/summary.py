@@ -14,6 +14,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rasterlab.functions.joins import attach
 from rasterlab.functions.order import medians, pick, positions, quantiles, to_long, to_wide
 
 FIELD = ("Condition", "ImageSet")
@@ -31,11 +32,11 @@ def mad_outliers(long: DataFrame, keys: Sequence[str], value: str = "value", thr
     """
     keys = list(keys)
     centre = quantiles(long, keys, value, {"_med": 0.5})
-    away = long.join(centre, keys).withColumn("_dev", F.abs(F.col(value) - F.col("_med")))
+    away = attach(long, centre, keys).withColumn("_dev", F.abs(F.col(value) - F.col("_med")))
     mad = medians(away, keys, "_dev", "_mad")
     z = 0.6745 * F.col("_dev") / F.col("_mad")
     flagged = (F.col("_n") >= 3) & (F.col("_mad") >= 1e-12) & (z > threshold)
-    return away.join(mad, keys).withColumn("is_outlier", flagged).drop("_med", "_mad", "_dev", "_n")
+    return attach(away, mad, keys).withColumn("is_outlier", flagged).drop("_med", "_mad", "_dev", "_n")
 
 
 def flag_outliers(results: DataFrame, group: str = "Condition", threshold: float = 3.5) -> DataFrame:
@@ -48,12 +49,12 @@ def flag_outliers(results: DataFrame, group: str = "Condition", threshold: float
     long = to_long(results, [group], list(metrics.values()))
     keys = [group, "metric"]
     centre = quantiles(long, keys, "value", {"_med": 0.5})
-    away = long.join(centre, keys).withColumn("_dev", F.abs(F.col("value") - F.col("_med")))
+    away = attach(long, centre, keys).withColumn("_dev", F.abs(F.col("value") - F.col("_med")))
     limits = centre.join(medians(away, keys, "_dev", "_mad"), keys)
     wide = to_wide(limits, [group], {
         f"_{stat}_{name}": (col, f"_{stat}") for name, col in metrics.items() for stat in ("med", "mad", "n")
     })
-    out = results.join(wide, group, "left")
+    out = attach(results, wide, group, "left")
     for name, col in metrics.items():
         med, mad, n = (F.col(f"_{s}_{name}") for s in ("med", "mad", "n"))
         far = 0.6745 * F.abs(F.col(col) - med) / mad > threshold
@@ -168,7 +169,7 @@ def chart_iqr_filter(df: DataFrame, value: str, group: str = "Condition") -> Dat
              {"_q1": F.floor(n * 0.25), "_q3": F.floor(n * 0.75)})
     margin = 1.5 * (F.col("_q3") - F.col("_q1"))
     inside = F.col(value).between(F.col("_q1") - margin, F.col("_q3") + margin)
-    return df.join(q, group).where((n < 4) | inside).select(*df.columns)
+    return attach(df, q, group).where((n < 4) | inside).select(*df.columns)
 
 
 def add_ratio(df: DataFrame, red: str = "Red_CTCF", green: str = "GFP_CTCF", out: str = "ratio") -> DataFrame:
@@ -210,7 +211,7 @@ def box_plot(df: DataFrame, value: str, group: str = "Condition") -> DataFrame:
     q = quantiles(df, [group], value, {"q1": 0.25, "median": 0.5, "q3": 0.75}).drop("_n")
     iqr = F.col("q3") - F.col("q1")
     v = F.col(value)
-    return df.join(q, group).groupBy(group).agg(
+    return attach(df, q, group).groupBy(group).agg(
         F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"),
         F.min(F.when(v >= F.col("q1") - 1.5 * iqr, v)).alias("lower_whisker"),
         F.max(F.when(v <= F.col("q3") + 1.5 * iqr, v)).alias("upper_whisker"),
@@ -232,7 +233,7 @@ def histogram(df: DataFrame, value: str, keys: Sequence[str] = (), bins: int = 5
     # a few numbers per group, and groups here are conditions: at most one row per bin of the result
     width = (F.col("_hi") - F.col("_lo")) / bins
     bin_no = F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))
-    out = named.join(span, by).groupBy(*by, "_lo", "_hi", "_n", bin_no.alias("bin")).agg(
+    out = attach(named, span, by).groupBy(*by, "_lo", "_hi", "_n", bin_no.alias("bin")).agg(
         F.count(F.lit(1)).alias("count")
     )
     return out.select(

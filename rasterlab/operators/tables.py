@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rasterlab.functions.joins import attach_labels
 from rasterlab.functions.order import positions
 from rasterlab.operators.summary import any_flag, any_outlier
 from rasterlab.schema import IMAGE
@@ -118,7 +119,7 @@ def relabel_sequential(px: DataFrame, keys: Sequence[str] = IMAGE, order: str =
     """Labels renumbered 1..n in label order, 0 kept."""
     ranked = positions(px.where(F.col(order) > 0), keys, order).select(
         *keys, order, (F.col("_rank0") + 1).cast("int").alias("_new"))
-    return px.join(ranked, [*keys, order], "left").withColumn(
+    return attach_labels(px, ranked, keys, order).withColumn(
         order, F.coalesce("_new", F.lit(0)).cast(px.schema[order].dataType)).select(*px.columns)
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rasterlab.functions.joins import attach
 from rasterlab.operators.tables import drop_outliers
 from rasterlab.schema import IMAGE
 
@@ -14,7 +15,7 @@ from rasterlab.schema import IMAGE
 def save_masks(px: DataFrame, path: str, keys: Sequence[str] = IMAGE) -> None:
     """Label pixels as Parquet by condition, with the integer type each image needs."""
     kind = px.groupBy(*keys).agg(F.when(F.max("label") < 65535, "uint16").otherwise("int32").alias("dtype"))
-    px.select(*keys, "y", "x", "label").join(kind, list(keys)).write.mode("overwrite").partitionBy("condition").parquet(path)
+    attach(px.select(*keys, "y", "x", "label"), kind, keys).write.mode("overwrite").partitionBy("condition").parquet(path)
 
 
 def load_masks(spark: SparkSession, path: str) -> DataFrame:
