@@ -14,6 +14,7 @@ from rasterlab.functions.joins import attach
 from rasterlab.operators.pixels import label_colours, normalise
 from rasterlab.operators.spatial import image_size
 from rasterlab.operators.tables import match_suffix
+from rasterlab.functions.order import positions
 from rasterlab.operators.tiling import core_only, four_neighbours, tiles
 from rasterlab.schema import IMAGE
 
@@ -130,6 +131,8 @@ def segment(
     model: Callable[[np.ndarray, Mapping[str, object]], np.ndarray],
     params: Sequence[str] = (),
     keys: Sequence[str] = IMAGE,
+    tile: int | None = None,
+    halo: int = 128,
 ) -> DataFrame:
     """Labels every image of a table with a user's model.
 
@@ -137,9 +140,15 @@ def segment(
     columns named in ``params``.  ``model(image, params)`` gets a whole image as a (channel, y, x)
     array and returns integer labels, which are numbered from 1 in their order.  An image must fit
     into a task, as the model needs all of it.
+
+    With ``tile`` the model gets overlapping tiles instead, whatever the size of an image; an
+    object belongs to the tile holding its centroid.  This is for objects smaller than ``halo``:
+    larger ones are cut.
     """
     keys = list(keys)
     params = list(params)
+    if tile is not None:
+        return _segment_tiles(inputs, model, params, keys, tile, halo)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         y0, x0 = int(pdf.y.min()), int(pdf.x.min())
@@ -156,3 +165,34 @@ def segment(
 
     schema = T.StructType([inputs.schema[c] for c in (*keys, "y", "x")] + [T.StructField("label", T.IntegerType())])
     return inputs.groupBy(*keys).applyInPandas(run, schema=schema)
+
+
+def _segment_tiles(
+    inputs: DataFrame, model: Callable[[np.ndarray, Mapping[str, object]], np.ndarray], params: list[str], keys: list[str],
+    tile: int, halo: int,
+) -> DataFrame:
+    tiled = tiles(inputs, keys, halo=halo, tile=tile)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        y0, x0 = int(pdf.y.min()), int(pdf.x.min())
+        y, x = (pdf.y - y0).to_numpy(), (pdf.x - x0).to_numpy()
+        data = np.stack(pdf.channels.to_numpy())
+        if data.shape[1] > 3:
+            raise ValueError("a segmentation input has at most three channels")
+        image = np.zeros((data.shape[1], y.max() + 1, x.max() + 1))
+        image[:, y, x] = data.T
+        labels = np.asarray(model(image, {p: pdf[p].iloc[0] for p in params}))[y, x]
+        found = pdf.assign(_local=labels)[labels > 0]
+        centre = found.groupby("_local")[["y", "x"]].transform("mean")
+        mine = (centre.y // tile == found._ty) & (centre.x // tile == found._tx)
+        return found.loc[mine, [*keys, "y", "x", "_ty", "_tx", "_local"]].astype({"_local": "int64"})
+
+    schema = T.StructType([tiled.schema[c] for c in (*keys, "y", "x", "_ty", "_tx")] + [T.StructField("_local", T.LongType())])
+    found = tiled.groupBy(*keys, "_ty", "_tx").applyInPandas(run, schema=schema)
+    # one number per object: tiles stay below 2^15 a side, labels of a tile below 2^32
+    code = F.shiftleft(F.shiftleft(F.col("_ty").cast("bigint"), 15) + F.col("_tx"), 32) + F.col("_local")
+    owned = found.groupBy(*keys, "y", "x").agg(F.min(code).alias("_code"))
+    numbered = positions(owned, keys, "_code").select(*keys, "_code", (F.col("_rank0") + 1).cast("int").alias("_label"))
+    labels = owned.join(numbered, [*keys, "_code"]).select(*keys, "y", "x", "_label")
+    return inputs.select(*keys, "y", "x").join(labels, [*keys, "y", "x"], "left").select(
+        *keys, "y", "x", F.coalesce("_label", F.lit(0)).alias("label"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -25,15 +26,44 @@ def read_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     )
 
 
-def _decoded(files: DataFrame, planes_of, value: str, value_type: T.DataType, cast) -> DataFrame:
-    """Pixel rows of every readable file; a file that fails is left to :func:`unreadable`."""
+def _flat(planes: list[np.ndarray]) -> list[np.ndarray]:
+    if any(p.ndim != 2 for p in planes):
+        raise ValueError(f"a plane has {planes[0].ndim} dimensions")
+    return planes
+
+
+def _image(path: str, content: bytes, channel: int | None = None) -> list[np.ndarray]:
+    return _flat([codecs.single_plane(codecs.read_array(path, content), channel)])
+
+
+def _channels(path: str, content: bytes) -> list[np.ndarray]:
+    return _flat(list(codecs.channel_planes(codecs.read_array(path, content))))
+
+
+def _mask(path: str, content: bytes) -> list[np.ndarray]:
+    return _flat([codecs.mask_plane(codecs.read_array(path, content))])
+
+
+_PLANES = {"image": _image, "channels": _channels, "mask": _mask}
+
+
+def _decoded(files: DataFrame, planes_of, value: str, value_type: T.DataType, cast, on_error: str) -> DataFrame:
+    """Pixel rows of every file.
+
+    A file that cannot be decoded ends the job if ``on_error`` is ``fail``; with ``skip`` it gives no
+    rows, and :func:`unreadable`, which decodes in the same way, lists it.
+    """
+    if on_error not in ("skip", "fail"):
+        raise ValueError("on_error is skip or fail")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, content in zip(pdf.path, pdf.content):
                 try:
-                    planes = planes_of(codecs.read_array(path, content))
-                except Exception:  # noqa: BLE001 - reported by unreadable()
+                    planes = planes_of(path, content)
+                except Exception as e:  # noqa: BLE001 - reported by unreadable()
+                    if on_error == "fail":
+                        raise ValueError(f"cannot decode {path}") from e
                     continue
                 for channel, img in enumerate(planes):
                     dtype = "uint16" if img.dtype == np.uint16 else "float32" if value == "value" else "int32"
@@ -52,33 +82,35 @@ def _decoded(files: DataFrame, planes_of, value: str, value_type: T.DataType, ca
     return files.select("path", "content").mapInPandas(run, schema=schema)
 
 
-def decode_images(files: DataFrame, channel: int | None = None) -> DataFrame:
+def decode_images(files: DataFrame, channel: int | None = None, on_error: str = "skip") -> DataFrame:
     """Intensity pixels (path, dtype, y, x, value) of one plane per file.
 
     16-bit counts keep their type name; everything else is single precision.
     """
-    return _decoded(files, lambda a: [codecs.single_plane(a, channel)], "value", T.DoubleType(), "float64").drop("channel")
+    planes = partial(_image, channel=channel)
+    return _decoded(files, planes, "value", T.DoubleType(), "float64", on_error).drop("channel")
 
 
-def decode_channels(files: DataFrame) -> DataFrame:
+def decode_channels(files: DataFrame, on_error: str = "skip") -> DataFrame:
     """Intensity pixels of every channel of each file, with ``channel`` from 0."""
-    return _decoded(files, codecs.channel_planes, "value", T.DoubleType(), "float64")
+    return _decoded(files, _channels, "value", T.DoubleType(), "float64", on_error)
 
 
-def decode_masks(files: DataFrame) -> DataFrame:
+def decode_masks(files: DataFrame, on_error: str = "skip") -> DataFrame:
     """Label pixels (path, y, x, label) of mask files."""
-    return _decoded(files, lambda a: [codecs.mask_plane(a)], "label", T.IntegerType(), "int32").drop("channel", "dtype")
+    return _decoded(files, _mask, "label", T.IntegerType(), "int32", on_error).drop("channel", "dtype")
 
 
-def unreadable(files: DataFrame) -> DataFrame:
-    """(path, error) of the files that cannot be decoded."""
+def unreadable(files: DataFrame, kind: str = "image") -> DataFrame:
+    """(path, error) of the files that cannot be decoded as an image, as channels or as a mask."""
+    planes_of = _PLANES[kind]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             bad = []
             for path, content in zip(pdf.path, pdf.content):
                 try:
-                    codecs.read_array(path, content)
+                    planes_of(path, content)
                 except Exception as e:  # noqa: BLE001
                     bad.append((path, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(bad, columns=["path", "error"])

@@ -1,3 +1,5 @@
+import io
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -35,6 +37,16 @@ def test_scan_folder(spark, tmp_path):
     content = images.read_files(spark, str(tmp_path / "drug"), "*.tif")
     assert images.decode_images(content).count() == 12
     assert [r.path.rsplit("/", 1)[1] for r in images.unreadable(content).collect()] == ["bad.tif"]
+    with pytest.raises(Exception, match="cannot decode"):
+        images.decode_images(content, on_error="fail").count()
+
+
+def test_files_that_decode_but_do_not_fit(spark):
+    buffer = io.BytesIO()
+    np.save(buffer, np.zeros((2, 2, 2, 2, 2)))
+    df = spark.createDataFrame([("odd.npy", bytearray(buffer.getvalue()))], "path string, content binary")
+    for kind, decode in (("image", images.decode_images), ("channels", images.decode_channels), ("mask", images.decode_masks)):
+        assert decode(df).count() == 0 and images.unreadable(df, kind).count() == 1
 
 
 def test_tiled_files_round_trip(spark):

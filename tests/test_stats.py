@@ -76,3 +76,12 @@ def test_single_field_has_no_spread(spark):
 def test_ratio_needs_positive_green(spark):
     df = spark.createDataFrame(pd.DataFrame({"Red_CTCF": [4.0, 4.0], "GFP_CTCF": [2.0, 0.0]}))
     assert [r.ratio for r in s.add_ratio(df).collect()] == [2.0, None]
+
+
+def test_third_condition_does_not_count(spark):
+    rows = [(c, float(v + 10 * k)) for k, c in enumerate("ABC") for v in range(30)]
+    df = spark.createDataFrame(rows, "Condition string, v double")
+    three = st.mann_whitney(df, ["v"], pair=("A", "C")).collect()[0]
+    two = st.mann_whitney(df.where("Condition <> 'B'"), ["v"]).collect()[0]
+    assert tuple(three) == tuple(two) and three.U == 50 and three.p_value < 1e-8
+    assert st.mann_whitney(df, ["v"]).collect()[0].group_b == "B"

@@ -63,3 +63,24 @@ def test_components_of_hub_and_path(spark):
     df = spark.createDataFrame(edges, ["k", "a", "b"]).repartition(7)
     got = {(r.k, r.node): r.root for r in connected_components(df, ["k"], "a", "b").collect()}
     assert got == {**{(1, i): 0 for i in range(1, 200)}, **{(2, i): 0 for i in range(1, 101)}, (3, 9): 5, (3, 7): 5}
+
+
+@pytest.mark.parametrize("cycle", [[(1, 2), (2, 1)], [(1, 2), (2, 3), (3, 1)], [(1, 2), (2, 3), (3, 4), (4, 5), (5, 2)]])
+def test_cyclic_parents_are_named(spark, cycle):
+    rows = [("c", t, p) for t, p in cycle] + [("c", 9, None), ("c", 10, 9)]
+    df = spark.createDataFrame(rows, "condition string, track_id long, parent_id long")
+    with pytest.raises(ValueError, match="own ancestors"):
+        tr.lineage(df)
+
+
+def test_long_chain_of_parents(spark):
+    rows = [("c", t, t - 1 if t else None) for t in range(40)]
+    df = spark.createDataFrame(rows, "condition string, track_id long, parent_id long")
+    assert {(r.track_id, r.root_id, r.generation) for r in tr.lineage(df).collect()} == {(t, 0, t) for t in range(40)}
+
+
+def test_labels_too_large_for_track_ids_are_refused(spark):
+    det = frame_table(spark, [("c", 0, 1, 0.0, 0.0), ("c", 1, 2**41, 0.0, 0.0)])
+    links = spark.createDataFrame([], "condition string, frame long, label long, prev_frame long, prev_label long")
+    with pytest.raises(Exception, match="below 2\\^40"):
+        tr.track_ids(det, links).collect()
