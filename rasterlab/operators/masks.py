@@ -340,7 +340,8 @@ def train_test_split(manifest: DataFrame, keys: Sequence[str] = ("condition", "i
     """Marks a fifth of the pairs, at least one, as ``is_test``; the order is a seeded hash."""
     from rasterlab.functions.order import positions
 
-    hashed = manifest.withColumn("_h", F.xxhash64(*[F.col(k).cast("string") for k in keys], F.lit(seed)))
+    text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))
+    hashed = manifest.withColumn("_h", F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("bigint"))
     placed = positions(hashed, [], "_h").select("_h", "_before", "_n")
     test = F.col("_before") < F.greatest(F.lit(1), F.floor(F.col("_n") / 5))
     return hashed.join(placed, "_h").withColumn("is_test", test).drop("_h", "_before", "_n")

@@ -249,7 +249,11 @@ def _pair_log(spark, sf_dir):
         "case when event_id % 4 = 0 then 'remove' else 'upsert' end as action")
 
 
-@query("m16_train_test_split")
+@query("m16_train_test_split", "", """
+ l AS (SELECT event_type AS condition, user_id AS image_set, event_id AS seq, CASE WHEN event_id % 4 = 0 THEN 'remove' ELSE 'upsert' END AS action FROM events),
+ man AS (SELECT condition, image_set, seq, action FROM l QUALIFY row_number() OVER (PARTITION BY condition, image_set ORDER BY seq DESC) = 1 AND action <> 'remove'),
+ h AS (SELECT *, CAST('0x' || substr(md5(condition || '|' || image_set || '|42'), 1, 15) AS BIGINT) AS h FROM man)
+SELECT condition, image_set, seq, action, row_number() OVER (ORDER BY h) <= greatest(1, count(*) OVER () // 5) AS is_test FROM h""")
 def m16_train_test_split(spark, sf_dir):
     return m.train_test_split(m.training_manifest(_pair_log(spark, sf_dir)))
 
