@@ -60,13 +60,15 @@ def _mark(stars: DataFrame):
     return stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*stars.columns).cast("decimal(38,0)"))).first()
 
 
-def connected_components(edges: DataFrame, keys: Sequence[str], src: str, dst: str) -> DataFrame:
+def connected_components(edges: DataFrame, keys: Sequence[str], src: str, dst: str, few: int = 100_000) -> DataFrame:
     """Smallest node reachable from every non-root node: rows ``(keys, node, root)``.
 
     Nodes are numbers.  Partitions first contract their own edges; then the large-star and
     small-star steps of Kiveris et al. (2014) alternate: each round reattaches neighbours to
     the smallest one known, with ``min`` aggregates and equi-joins only, never gathering the
-    neighbours of a hub, and the loop ends after O(log^2 n) rounds.  Roots are not listed.
+    neighbours of a hub, and the loop ends after O(log^2 n) rounds.  Once no more than ``few``
+    edges are left, one task contracts them all, which gives the same answer without further
+    rounds.  Roots are not listed.
     """
     keys = list(keys)
     a, b = F.col(src).cast("bigint"), F.col(dst).cast("bigint")
@@ -74,6 +76,9 @@ def connected_components(edges: DataFrame, keys: Sequence[str], src: str, dst: s
     stars = cut_lineage(_contracted(pairs, keys).distinct())
     before = _mark(stars)
     while before[0]:
+        if before[0] <= few:
+            stars = cut_lineage(_contracted(stars.coalesce(1), keys))
+            break
         both = stars.unionByName(stars.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
         nearest = both.groupBy(*keys, "u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         large = (
