@@ -21,6 +21,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Has whole texts sent to Python a few megabytes at a time.
+
+    The session keeps the setting, as tables are computed later. It changes no result: Python
+    workers and executors hold less at once.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 def packed(df: DataFrame) -> Column:
     """All columns of a table as one, so that helper columns cannot clash with them."""
     return F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("_row")

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rasterlab.llm.common import small_batches
+
 #: Words, after lower-casing A-Z: ASCII letters and digits, and everything beyond ASCII.
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -182,6 +184,7 @@ def decontaminate(
     The automaton is held on the driver and by each task. ``max_chars`` bounds the test items; a
     larger benchmark is refused, not cut: call this once for each block of items then.
     """
+    small_batches(docs.sparkSession)
     chosen = items.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t"))
     size = chosen.agg(F.sum(F.length("t"))).first()[0] or 0
     if size > max_chars:

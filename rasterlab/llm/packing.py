@@ -18,6 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rasterlab.llm.common import small_batches
+
 #: Chunks of these characters alone are cut into the tokenizer's pre-tokens here; they have no
 #: other composed form, and lower-casing maps each character by itself.
 _PLAIN = re.compile("[\\x21-\\x7E\\u00C0-\\u00D6\\u00D8-\\u00F6\\u00F8-\\u00FF]+")
@@ -166,6 +168,7 @@ def pack(
     is packed together, in the task that reads them: nothing is shuffled, and memory is bounded by
     the block. The same input partition gives the same sequences again when a task is repeated.
     """
+    small_batches(docs.sparkSession)
     limits = (max_tokens, max_segments, max_loss or max_tokens)
     named = [F.col(doc_id), F.col(text).alias("_text"), (F.col(prompt) if prompt else F.lit(None).cast("string")).alias("_prompt")]
     chosen = docs.select(*named)
