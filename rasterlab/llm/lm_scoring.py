@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rasterlab.llm.common import small_batches
 from rasterlab.session import cut_lineage
 
 #: Context counts are bucketed by powers of two.
@@ -42,7 +43,7 @@ def _tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     for i, t in enumerate(texts):
         waiting.append((t or "").encode("utf-8", "surrogatepass").lower().split())
         size += len(waiting[-1])
-        if size > 500_000 or i + 1 == len(texts):
+        if size > 200_000 or i + 1 == len(texts):
             flat = [w for ws in waiting for w in ws]
             hashed = pd.util.hash_array(np.array(flat, dtype=object)) if flat else np.zeros(0, np.uint64)
             lengths = np.array([len(ws) for ws in waiting])
@@ -200,7 +201,7 @@ def expectation_maximisation(cells: pd.DataFrame, uniform: float, rounds: int =
     return weights / weights.sum(axis=1, keepdims=True)
 
 
-def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", block_bytes: int = 16_000_000) -> DataFrame:
+def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", block_bytes: int = 10_000_000) -> DataFrame:
     """Scores every text: rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
     Tokens are words between ASCII white space, A-Z lower-cased, and one end. Rows whose
@@ -218,6 +219,7 @@ def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", blo
     does; otherwise the task fails rather than mix up counts. A task holds one block of about
     ``block_bytes`` of text (or one longer text), or one shard of keys.
     """
+    small_batches(docs.sparkSession)
     crc = F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 10
     role = F.when(crc == 0, 0).when(crc == 1, 1).otherwise(2).cast("int")
     # ids as text, so that pandas leaves ids beside nulls as they are
