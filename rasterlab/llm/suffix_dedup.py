@@ -26,10 +26,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rasterlab.llm.common import small_batches
 from rasterlab.session import cut_lineage
 
 _GRAM = 32
@@ -56,6 +58,12 @@ def _gram_names(b: np.ndarray) -> np.ndarray:
     return h
 
 
+def _shard(name: np.ndarray, bits: int) -> np.ndarray:
+    """Shards of anchor names; these are smallest hashes, so they are hashed anew to spread evenly."""
+    with np.errstate(over="ignore"):
+        return (_pair(name, name, 3) * _M2 >> np.uint64(64 - bits)).astype(np.int64)
+
+
 def _first_smallest(g: np.ndarray, width: int) -> np.ndarray:
     """For each window of ``width`` names, the place of the first smallest one."""
     value, place, n = g, np.arange(len(g), dtype=np.int64), 1
@@ -108,21 +116,26 @@ def anchors(data: bytes, length: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
+def _places(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tuple[pa.RecordBatch, list[int], list[int]]]:
+    """Rows (id, bytes) with the block of text each belongs to and its number in the block."""
+    block, filled, seq = TaskContext.get().partitionId() << 24, 0, 0
+    for batch in batches:
+        blocks, seqs = [], []
+        for size in pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).to_pylist():
+            if filled and filled + size > block_bytes:
+                block, filled, seq = block + 1, 0, 0
+            filled += size
+            blocks.append(block)
+            seqs.append(seq)
+            seq += 1
+        yield batch, blocks, seqs
+
+
 def _numbered(block_bytes: int):
-    """Adds to rows (id, bytes) the block of text they belong to and their number in it."""
+    """Adds block and number to rows (id, bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, filled, seq = TaskContext.get().partitionId() << 24, 0, 0
-        for batch in batches:
-            blocks, seqs = [], []
-            for x in batch.column(1):
-                size = len(x.as_buffer() or b"") if x.is_valid else 0
-                if filled and filled + size > block_bytes:
-                    block, filled, seq = block + 1, 0, 0
-                filled += size
-                blocks.append(block)
-                seqs.append(seq)
-                seq += 1
+        for batch, blocks, seqs in _places(batches, block_bytes):
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(blocks, pa.int64()), pa.array(seqs, pa.int32())], ["doc", "data", "block", "seq"]
             )
@@ -130,18 +143,17 @@ def _numbered(block_bytes: int):
     return run
 
 
-def _ask(length: int, bits: int):
+def _ask(length: int, bits: int, block_bytes: int):
     """Rows (block, shard, arrays) of the anchors of each block."""
 
-    def flush(block: int, held: list) -> pa.RecordBatch:
-        found = [(doc, seq, *anchors(data, length)) for doc, seq, data in held]
+    def flush(block: int, found: list) -> pa.RecordBatch:
         sizes = [len(f[2]) for f in found]
         docs = np.repeat(np.array([f[0] for f in found], np.int64), sizes)
         seqs = np.repeat(np.array([f[1] for f in found], np.uint32), sizes)
         place = np.concatenate([f[2] for f in found]).astype(np.uint32)
         name = np.concatenate([f[5] for f in found])
         stretch = np.concatenate([f[6] for f in found])
-        shard = (name >> np.uint64(64 - bits)).astype(np.int64)
+        shard = _shard(name, bits)
         order = np.argsort(shard, kind="stable")
         ends = np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=2**bits))])
         full = [k for k in range(2**bits) if ends[k + 1] > ends[k]]
@@ -152,16 +164,16 @@ def _ask(length: int, bits: int):
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held = None, []
-        for batch in batches:
-            for doc, data, b, seq in zip(*(c.to_pylist() for c in batch.columns)):
-                if b != block and held:
-                    yield flush(block, held)
-                    held = []
-                block = b
-                held.append((doc, seq, data))
-        if held:
-            yield flush(block, held)
+        open_block, found = None, []
+        for batch, blocks, seqs in _places(batches, block_bytes):
+            for doc, data, block, seq in zip(batch.column(0).to_pylist(), batch.column(1), blocks, seqs):
+                if block != open_block and found:
+                    yield flush(open_block, found)
+                    found = []
+                open_block = block
+                found.append((doc, seq, *anchors(data.as_py(), length)))
+        if found:
+            yield flush(open_block, found)
 
     return run
 
@@ -208,7 +220,7 @@ def _decide(length: int, bits: int):
         block = int(left["block"].iloc[0]) if len(left) else 0
         for doc, data, seq in zip(left["doc"], left["data"], left["seq"]):
             p, first, last, name, _ = anchors(data, length)
-            shard = (name >> np.uint64(64 - bits)).astype(np.int64)
+            shard = _shard(name, bits)
             state = np.zeros(len(p), np.uint8)
             for k in np.unique(shard).tolist():
                 mine = np.flatnonzero(shard == k)
@@ -229,7 +241,10 @@ def _decide(length: int, bits: int):
 
 
 def _compare(length: int):
-    """Rows come by anchor name, in order of place: strings met before are repeated."""
+    """Rows come by anchor name, in order of place: strings met before are repeated.
+
+    Of each string of the current name a 64-bit hash is held.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, met = None, set()
@@ -240,7 +255,7 @@ def _compare(length: int):
                     name, met = own, set()
                 found = []
                 for i in range(first, last + 1):
-                    key = (place - i, data[i - first : i - first + length])
+                    key = hash((place - i, data[i - first : i - first + length]))
                     if key in met:
                         found.append(i)
                     else:
@@ -250,16 +265,33 @@ def _compare(length: int):
                     out.append((block, seq, np.stack([f, f], axis=1).tobytes()))
             cols = list(zip(*out)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], ["block", "seq", "data"]
+                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], ["block", "seq", "ranges"]
             )
 
     return run
 
 
+def _compare_crowded(opened: DataFrame, length: int) -> DataFrame:
+    """The same for anchors that very many stretches share: each string is a row, its first place an aggregate."""
+    name = lambda i, seed: F.xxhash64(F.lit(seed), F.substring(F.col("data"), (i - F.col("first") + 1).cast("int"), F.lit(length)))
+    strings = F.transform(F.sequence("first", "last"), lambda i: F.struct(i.alias("i"), name(i, 1).alias("a"), name(i, 2).alias("b")))
+    rows = opened.select("doc", "block", "seq", F.explode(strings).alias("s")).select("s.a", "s.b", F.struct("doc", "block", "seq", "s.i").alias("at"))
+    first = rows.groupBy("a", "b").agg(F.min("at").alias("first_at"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    later = rows.join(first, ["a", "b"]).where("at <> first_at")
+    found = later.groupBy("at.block", "at.seq").agg(F.collect_list("at.i").alias("places"))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ranges = [np.repeat(np.array(x, np.int64), 2).tobytes() for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(ranges, pa.binary())], ["block", "seq", "ranges"])
+
+    return found.mapInArrow(packed, "block long, seq int, ranges binary")
+
+
 def _cut(length: int):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         ranges: dict[int, list[bytes]] = {}
-        for seq, data in zip(right["seq"], right["data"]):
+        for seq, data in zip(right["seq"], right["ranges"]):
             ranges.setdefault(seq, []).append(data)
         out = []
         for doc, data, seq in zip(left["doc"], left["data"], left["seq"]):
@@ -278,7 +310,8 @@ def _cut(length: int):
 
 
 def remove_repeats(
-    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = 100, block_bytes: int = 16_000_000, digest: bool = False,
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = 100, block_bytes: int = 8_000_000, digest: bool = False,
+    crowd: int = 50_000,
 ) -> DataFrame:
     """Removes each byte covered by a string of ``length`` bytes that also starts earlier.
 
@@ -294,28 +327,36 @@ def remove_repeats(
     ``docs`` is read three times and must give the same partitions each time, as a table of files
     does; otherwise the task fails rather than mix up answers. A task holds a block of about
     ``block_bytes`` of text (or one longer text), one shard of anchors, or the strings around one
-    anchor name.
+    anchor name; names of more than ``crowd`` open stretches are spread over many tasks instead, a
+    row for each string.
     """
     if length < 2 * _GRAM:
         raise ValueError(f"length must be at least {2 * _GRAM}")
+    small_batches(docs.sparkSession)
     last_id = F.lit(2**63 - 1)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data"))
     schema = "doc long, data binary, block long, seq int"
     # as text, so that pandas leaves ids beside nulls as they are
     named = rows.select(F.col("doc").cast("string").alias("doc"), "data")
     numbered = named.mapInArrow(_numbered(block_bytes), schema.replace("doc long", "doc string"))
-    ordered = rows.select(F.coalesce("doc", last_id).alias("doc"), "data").mapInArrow(_numbered(block_bytes), schema)
+    placed = rows.select(F.coalesce("doc", last_id).alias("doc"), "data")
+    ordered = placed.mapInArrow(_numbered(block_bytes), schema)
     bits = max(6, int(rows.rdd.getNumPartitions() - 1).bit_length())
-    asked = ordered.mapInArrow(
-        _ask(length, bits), "block long, shard int, names binary, stretches binary, docs binary, seqs binary, places binary"
+    asked = placed.mapInArrow(
+        _ask(length, bits, block_bytes), "block long, shard int, names binary, stretches binary, docs binary, seqs binary, places binary"
     )
     states = cut_lineage(asked.groupBy("shard").applyInPandas(_answer, "block long, shard int, states binary"))
     decided = cut_lineage(ordered.groupBy("block").cogroup(states.groupBy("block")).applyInPandas(_decide(length, bits), _ROW))
-    opened = decided.where("kind = 1").repartition("name").sortWithinPartitions("name", "doc", "block", "seq", "place")
-    compared = opened.select("name", "block", "seq", "place", "first", "last", "data").mapInArrow(
-        _compare(length), "block long, seq int, data binary"
+    opened = decided.where("kind = 1")
+    crowded = cut_lineage(opened.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("name"))
+    few = opened.join(crowded, "name", "left_anti").repartition("name").sortWithinPartitions("name", "doc", "block", "seq", "place")
+    compared = few.select("name", "block", "seq", "place", "first", "last", "data").mapInArrow(
+        _compare(length), "block long, seq int, ranges binary"
+    )
+    repeated = (
+        decided.where("kind = 0").select("block", "seq", F.col("data").alias("ranges")).unionByName(compared)
+        .unionByName(_compare_crowded(opened.join(crowded, "name", "left_semi"), length))
     )
-    repeated = decided.where("kind = 0").select("block", "seq", "data").unionByName(compared)
     out = "doc string, n_bytes long, n_removed long, n_spans long, kept binary"
     cut = _cut(length)
     if digest:

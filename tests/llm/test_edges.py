@@ -109,8 +109,9 @@ def test_repeats(spark, docs, odd, none):
     patterns = [(k, "ab" * n) for k, n in enumerate([40, 49, 50, 51, 80, 300])]
     patterns += [(10 + k, PROSE[k : k + 110] + "-" * k + PROSE[:105]) for k in range(20)] + [(50, "é" * 130), (51, "x" + "é" * 70)]
     df = spark.createDataFrame(patterns, "doc_id long, text string")
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(df, digest=True).collect()}
-    assert got == brute.repeats(patterns)
+    for crowd in (10_000, 1):
+        out = suffix_dedup.remove_repeats(df, digest=True, crowd=crowd).collect()
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out} == brute.repeats(patterns)
 
 
 def test_repeats_in_pieces(spark, docs, monkeypatch):
