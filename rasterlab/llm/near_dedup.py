@@ -9,19 +9,21 @@ each bucket only what can still join different components is compared.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterlab.functions.graph import connected_components
-from rasterlab.llm.common import packed
+from rasterlab.llm.common import packed, small_batches
 from rasterlab.session import cut_lineage
 
-_BATCH_BYTES = 4_000_000
+_BATCH_BYTES = 1_000_000
+_CELLS = 128
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -60,7 +62,7 @@ def shingle_sets(texts: list[str | None], size: int) -> Iterator[np.ndarray]:
 
 
 def _in_bytes(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with a few megabytes of text each."""
+    """Ranges of rows with about a megabyte of text each."""
     first, size = 0, 0
     for i, t in enumerate(texts):
         size += len(t or "")
@@ -71,8 +73,15 @@ def _in_bytes(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
+def _histograms(flat: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """How many hashes of each of ``n`` sets fall into each of ``_CELLS`` cells; counts stop at 255."""
+    cell = (_mix(flat) % np.uint64(_CELLS)).astype(np.int64)
+    counts = np.bincount(of * _CELLS + cell, minlength=n * _CELLS).reshape(n, _CELLS)
+    return np.minimum(counts, 255).astype(np.uint8)
+
+
 def _signatures(docs: DataFrame, shingle: int, functions: int) -> DataFrame:
-    """Rows (doc, n, print, sig): set size, 128-bit hash of the set, minima of the hash functions."""
+    """Rows (doc, n, print, sig, cells): set size, 128-bit hash of the set, minima, histogram."""
     rng = np.random.default_rng(7)
     factors = rng.integers(1, 2**63, functions).astype(np.uint64) * np.uint64(2) + np.uint64(1)
     shifts = rng.integers(0, 2**63, functions).astype(np.uint64)
@@ -92,13 +101,15 @@ def _signatures(docs: DataFrame, shingle: int, functions: int) -> DataFrame:
                         for j in range(functions):
                             value = ((flat * factors[j] + shifts[j]) >> np.uint64(32)).astype(np.uint32)
                             sig[full, j] = np.minimum.reduceat(value, starts)
+                cells = _histograms(np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes), len(sets))
                 prints = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+                rows_of = lambda x: pa.array([s.tobytes() for s in x], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary())],
-                    ["doc", "n", "print", "sig"],
+                    [ids.slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), rows_of(sig), rows_of(cells)],
+                    ["doc", "n", "print", "sig", "cells"],
                 )
 
-    return docs.mapInArrow(sign, "doc long, n long, print binary, sig binary")
+    return docs.mapInArrow(sign, "doc long, n long, print binary, sig binary, cells binary")
 
 
 def _band_keys(sig: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,15 +136,16 @@ def _table_keys(reps: DataFrame, bands: int, rows: int) -> DataFrame:
             for i in range(bands):
                 with np.errstate(over="ignore"):
                     pair = _mix(one[:, i : i + 1] * np.uint64(3) + two)
+                number = np.tile(np.arange(i * bands, (i + 1) * bands, dtype=np.int32), len(ids))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(pair.view(np.int64).ravel()), pa.array(np.repeat(ids, bands))], ["key", "u"]
+                    [pa.array(pair.view(np.int64).ravel()), pa.array(number), pa.array(np.repeat(ids, bands))], ["key", "number", "u"]
                 )
 
-    return reps.select("u", "sig").mapInArrow(keys, "key long, u long")
+    return reps.select("u", "sig").mapInArrow(keys, "key long, number int, u long")
 
 
-def _similar(sig: str, other: str, functions: int, least: int):
-    """Positions at which two signatures agree, for a join's rows; null below ``least``."""
+def _similar(sig: str, other: str, functions: int) -> Column:
+    """Positions at which two signatures agree, for a join's rows."""
 
     @F.pandas_udf("int")
     def agree(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -170,10 +182,14 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(check, "u long, v long")
 
 
-def _open_pairs(buckets: DataFrame, roots: DataFrame, sigs: DataFrame, functions: int, least: int, best: bool, block: int) -> DataFrame:
+def _open_pairs(
+    buckets: DataFrame, roots: DataFrame, sigs: DataFrame, bands: int, band_rows: int, least: int, percent: int, best: bool, block: int,
+) -> DataFrame:
     """Pairs of different components that share a bucket and whose signatures agree enough.
 
-    With ``best`` only the most alike partner of each document. A bucket of more than ``block``
+    A pair comes from the first table that it shares. Pairs whose sizes or histograms leave no room
+    for the similarity are left out: two sets have no more in common than the smaller count of
+    each cell. With ``best`` only each document with its most alike partner. A bucket of more than ``block``
     documents is compared block against block, so a task holds two blocks at most.
     """
     rooted = buckets.join(roots.withColumnRenamed("node", "u"), "u", "left").withColumn("root", F.coalesce("root", "u"))
@@ -183,49 +199,65 @@ def _open_pairs(buckets: DataFrame, roots: DataFrame, sigs: DataFrame, functions
         .withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
         .withColumn("mine", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "u", "root", "sig")
+        .select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "number", "u", "root", "n", "sig", "cells")
         .repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
     )
 
-    def compare(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        sig = _matrix(pdf.sig, functions)
-        u, root, mine = (pdf[c].to_numpy() for c in ("u", "root", "mine"))
-        crossed = pdf.x.iloc[0] != pdf.y.iloc[0]
-        names, counts = np.unique(root, return_counts=True)
-        largest = names[np.argmax(counts)]
-        for i in np.flatnonzero(root != largest):
-            alike = (sig == sig[i]).sum(axis=1)
-            # two documents outside the largest component meet once
-            once = (root == largest) | (u > u[i])
-            ok = (alike >= least) & (root != root[i]) & once
-            if crossed:
-                ok &= mine != mine[i]
-            found = np.flatnonzero(ok)
-            if best and len(found):
-                found = found[[np.argmax(alike[found])]]
-            if len(found):
-                yield pd.DataFrame({"u": np.maximum(u[i], u[found]), "v": np.minimum(u[i], u[found]), "alike": alike[found]})
+    def compare(pdf: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
+        """All pairs of whole groups at once: each row with the one after it, then the second one, ..."""
+        mine, number, u, root, n = (pdf[c].to_numpy() for c in ("mine", "number", "u", "root", "n"))
+        crossed = (pdf.x != pdf.y).to_numpy()
+        sig = _matrix(pdf.sig, 2 * bands * band_rows)
+        cells = np.frombuffer(b"".join(pdf.cells), np.uint8).reshape(-1, _CELLS)
+        full = (cells == 255).any(axis=1)
+        found, rows, step = [], np.arange(len(u)), 1
+        while True:
+            rows = rows[rows + step < len(u)]
+            rows = rows[group[rows + step] == group[rows]]
+            if not len(rows):
+                break
+            a = rows[(root[rows] != root[rows + step]) & ~(crossed[rows] & (mine[rows] == mine[rows + step]))]
+            a = a[100 * np.minimum(n[a], n[a + step]) >= percent * np.maximum(n[a], n[a + step])]
+            b = a + step
+            same = sig[a] == sig[b]
+            shared = same.reshape(len(a), 2 * bands, band_rows).all(axis=2)
+            table = shared[:, :bands].argmax(axis=1) * bands + shared[:, bands:].argmax(axis=1)
+            alike = same.sum(axis=1)
+            common = np.minimum(cells[a], cells[b]).sum(axis=1, dtype=np.int64)
+            room = (100 * common >= percent * (n[a] + n[b] - common)) | full[a] | full[b]
+            good = (alike >= least) & (table == number[a]) & room
+            a, alike = a[good], alike[good]
+            found.append((np.maximum(u[a], u[a + step]), np.minimum(u[a], u[a + step]), alike))
+            step += 1
+        cols = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * 3
+        out = pd.DataFrame(dict(zip(("u", "v", "alike"), cols))).drop_duplicates(["u", "v"])
+        out = pd.concat([out.assign(owner=out.u), out.assign(owner=out.v)]) if best else out.assign(owner=out.u)
+        return out.sort_values("alike", kind="stable").drop_duplicates("owner", keep="last") if best else out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Groups of neighbouring rows; the last one of a batch waits for the next batch."""
+        """Whole groups of neighbouring rows; the last one of a batch waits for the next batch."""
         held = None
-        for pdf in batches:
-            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            new = np.flatnonzero((pdf[["key", "x", "y"]].diff().iloc[1:] != 0).any(axis=1)) + 1
-            cuts = [0, *new]
-            for a, b in zip(cuts, cuts[1:]):
-                yield from compare(pdf.iloc[a:b])
-            held = pdf.iloc[cuts[-1] :]
-        if held is not None and len(held):
-            yield from compare(held)
-
-    found = placed.mapInPandas(run, "u long, v long, alike int").groupBy("u", "v").agg(F.max("alike").alias("alike"))
-    return found
+        for pdf in itertools.chain(batches, [None]):
+            rows = held if pdf is None else pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if rows is None or not len(rows):
+                continue
+            key, x, y = (rows[c].to_numpy() for c in ("key", "x", "y"))
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+            end = len(rows) if pdf is None else int(np.flatnonzero(new)[-1])
+            held = rows.iloc[end:]
+            if end:
+                yield compare(rows.iloc[:end], np.cumsum(new)[:end])
+
+    found = placed.mapInPandas(run, "u long, v long, alike long, owner long")
+    if best:
+        top = found.groupBy("owner").agg(F.max_by(F.struct("u", "v"), F.struct("alike", "u", "v")).alias("p"))
+        return top.select("p.u", "p.v").distinct()
+    return found.select("u", "v").distinct()
 
 
 def near_duplicate_groups(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, percent: int = 80,
-    bands: int = 10, rows: int = 2, least_alike: float = 0.45, block: int = 2000,
+    bands: int = 10, rows: int = 2, least_alike: float = 0.5, block: int = 2000,
 ) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept), one for each row of ``docs``.
 
@@ -235,13 +267,15 @@ def near_duplicate_groups(
 
     Candidates share a table key; a pair at the similarity of 0.8 is missed with a probability of
     about 2 * (1 - 0.8 ** rows) ** bands = 7e-5, more alike ones far less often. Of candidates,
-    only those that agree on a share ``least_alike`` of the hash functions are confirmed (missed
-    about once in 10 million), each on its full sets, unless both are in one component already.
+    only those are confirmed whose set sizes allow the similarity and which agree on a share
+    ``least_alike`` of the hash functions (at 0.8 missed less than once in 100,000), each on its
+    full sets, unless both are in one component already.
 
     Rows that share a doc_id are one document with several texts as to kept: each row gets the
     component of its own text. A row without doc_id takes no part: it is its own group, with a
     null component_id, and kept. doc_id must be an integer column.
     """
+    small_batches(docs.sparkSession)
     functions = 2 * bands * rows
     least = round(least_alike * functions)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
@@ -249,24 +283,30 @@ def near_duplicate_groups(
     known = signed.where("doc is not null and n > 0")
     # equal sets are one; it is named by its hash, as several sets may share a doc_id
     reps = cut_lineage(
-        known.groupBy("print").agg(F.min("doc").alias("doc"), F.min("sig").alias("sig")).withColumn("u", F.xxhash64("print"))
+        known.groupBy("print").agg(*[F.min(c).alias(c) for c in ("doc", "sig", "cells", "n")]).withColumn("u", F.xxhash64("print"))
     )
-    sigs = reps.select("u", "sig")
+    sigs = reps.select("u", "sig", "cells", "n")
     keyed = _table_keys(reps, bands, rows)
     bucket = Window.partitionBy("key")
-    buckets = cut_lineage(keyed.withColumn("center", F.min("u").over(bucket)).withColumn("last", F.max("u").over(bucket)).where("center < last").drop("last"))
+    counted = keyed.withColumns({
+        "center": F.min("u").over(bucket), "last": F.max("u").over(bucket), "size": F.count(F.lit(1)).over(bucket),
+    })
+    buckets = cut_lineage(counted.where("center < last").drop("last"))
+    # a bucket of two holds one pair, which is its member and its center
+    crowded = buckets.where("size > 2").select("key", "number", "u")
     # first, each document with the most alike of the centers of its buckets
     star = buckets.where("u > center").select("u", F.col("center").alias("v")).distinct()
-    alike = (
-        star.join(sigs, "u").join(sigs.select(F.col("u").alias("v"), F.col("sig").alias("sig_v")), "v")
-        .withColumn("alike", _similar("sig", "sig_v", functions, least)).where(F.col("alike") >= least)
+    mine = sigs.select("u", "sig", "n")
+    theirs = sigs.select(F.col("u").alias("v"), F.col("sig").alias("sig_v"), F.col("n").alias("n_v"))
+    compared = (
+        star.join(mine, "u").join(theirs, "v").where(F.least("n", "n_v") * 100 >= F.greatest("n", "n_v") * percent)
+        .withColumn("alike", _similar("sig", "sig_v", functions)).where(F.col("alike") >= least)
     )
+    alike = cut_lineage(compared.select("u", "v", "alike"))
     nearest = cut_lineage(alike.groupBy("u").agg(F.max_by("v", F.struct("alike", -F.col("v"))).alias("v")))
-    crowded = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 2").select("key")
     wanted = (
-        nearest.select("u").unionByName(nearest.select(F.col("v").alias("u")))
-        .unionByName(alike.select("u")).unionByName(alike.select(F.col("v").alias("u")))
-        .unionByName(buckets.join(crowded, "key").select("u")).distinct()
+        alike.select("u").unionByName(alike.select(F.col("v").alias("u")))
+        .unionByName(crowded.select("u")).distinct()
     )
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,11 +325,14 @@ def near_duplicate_groups(
     links = cut_lineage(_confirm(nearest, sets, percent))
     roots = cut_lineage(connected_components(links, [], "u", "v"))
     for best in (True, False):
-        open_pairs = _open_pairs(buckets, roots, sigs, functions, least, best, block)
-        if best:
-            top = Window.partitionBy("u").orderBy(F.desc("alike"), "v")
-            open_pairs = open_pairs.withColumn("_r", F.row_number().over(top)).where("_r = 1")
-        more = cut_lineage(_confirm(cut_lineage(open_pairs.select("u", "v")), sets, percent))
+        open_pairs = _open_pairs(crowded, roots, sigs, bands, rows, least, percent, best, block)
+        if not best:
+            other = roots.withColumnsRenamed({"node": "v", "root": "root_v"})
+            star_pairs = alike.join(roots.withColumnRenamed("node", "u"), "u", "left").join(other, "v", "left")
+            apart = F.coalesce("root", "u") != F.coalesce("root_v", "v")
+            ends = [F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")]
+            open_pairs = open_pairs.unionByName(star_pairs.where(apart).select(*ends)).distinct()
+        more = cut_lineage(_confirm(cut_lineage(open_pairs), sets, percent))
         if more.limit(1).count():
             links = links.unionByName(more)
             roots = cut_lineage(connected_components(links, [], "u", "v"))
