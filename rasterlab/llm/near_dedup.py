@@ -23,7 +23,7 @@ from rasterlab.llm.common import packed, small_batches
 from rasterlab.session import cut_lineage
 
 _BATCH_BYTES = 1_000_000
-_CELLS = 128
+_CELLS = 256
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
