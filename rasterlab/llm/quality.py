@@ -6,7 +6,7 @@ the raw corpus. A document's score is the mean log ratio of its n-grams.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterlab.llm.common import SPACES, let, packed, words
@@ -91,40 +91,71 @@ def _mean_ratio(hashes: Column, ratios: Column, buckets: int) -> Column:
     return F.when(F.size(hashes) > 0, total / (2 * F.size(hashes)))
 
 
+def best_cut(scores: DataFrame, lost_trusted: float, slices: int = 256) -> DataFrame:
+    """One row with the threshold ``s`` for scores of labelled documents (``s``, ``good`` or not).
+
+    A threshold errs by each good score under it and each bad one that is not. Of those that lose
+    at most the share ``lost_trusted`` of the good, it is the one with the fewest errors, of equal
+    ones the lowest; without bad scores, the highest. It is null without good scores.
+
+    Distinct scores are counted in slices between sketch quantiles, so no task holds them all.
+    """
+    counts = cut_lineage(scores.groupBy("s").agg(
+        F.sum(F.col("good").cast("long")).alias("g"), F.sum((~F.col("good")).cast("long")).alias("b")
+    ))
+    bounds = counts.agg(F.percentile_approx("s", [k / slices for k in range(1, slices)], 10_000).alias("q"))
+    placed = counts.withColumn("_q", bounds.scalar()).select(
+        "s", "g", "b", F.size(F.filter("_q", lambda q: q <= F.col("s"))).alias("slice")
+    )
+    totals = placed.groupBy("slice").agg(F.sum("g").alias("_g"), F.sum("b").alias("_b"))
+    # at most as many rows as slices
+    upto, every = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(F.lit(0))
+    starts = totals.select(
+        "slice", *[F.coalesce(F.sum(f"_{c}").over(upto), F.lit(0)).alias(f"{c}_start") for c in "gb"],
+        *[F.sum(f"_{c}").over(every).alias(f"{c}_all") for c in "gb"],
+    )
+    inside = Window.partitionBy("slice").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    under = placed.select("s", "slice", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"{c}_inside") for c in "gb"])
+    cuts = under.join(starts, "slice").select(
+        "s", "g_all", "b_all", *[(F.col(f"{c}_start") + F.col(f"{c}_inside")).alias(f"{c}_under") for c in "gb"]
+    )
+    errors = F.col("g_under") + F.col("b_all") - F.col("b_under")
+    order = F.struct(F.when(F.col("b_all") > 0, errors).otherwise(-F.col("g_under")), F.col("s"))
+    allowed = cuts.where((F.col("g_all") > 0) & (F.col("g_under") <= F.floor(F.col("g_all") * F.lit(lost_trusted))))
+    return allowed.agg(F.min_by("s", order).alias("s"))
+
+
 def judge_quality(
     docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", trusted_rows: int = 20_000,
-    buckets: int = 65_536, lost_trusted: float = 0.001, margin: float = 0.05, width: int = 8,
+    buckets: int = 65_536, lost_trusted: float = 0.001, width: int = 8,
     min_words: int = 20, max_repeat_percent: int = 30,
 ) -> DataFrame:
     """Adds rule counts, the verdict of the rules, the score and the final verdict to each document.
 
-    ``labels`` has a row for each labelled document: its id and ``quality``, 1 for trusted ones.
-    At most ``trusted_rows`` of them are used (those with the smallest id hashes): one half gives
-    the trusted multinomial, the other half the threshold. The raw multinomial counts all
-    documents. ``score`` is the mean log ratio over a document's words and pairs. The threshold is
-    ``margin`` below the score that a share ``lost_trusted`` of the second half stays under; the
-    same threshold holds for every document, and a score equal to it is kept.
+    ``labels`` has a row for each labelled document: its id and ``quality``, 1 for trusted ones
+    and 0 for bad ones; ids labelled both ways count as bad. At most ``trusted_rows`` trusted ones
+    are used (those with the smallest id hashes): one half gives the trusted multinomial, the
+    other half is held out. The raw multinomial counts all documents. ``score`` is the mean log
+    ratio over a document's words and pairs. The threshold is the one that errs least between the
+    held-out and the bad documents which pass the rules, of those that lose at most the share
+    ``lost_trusted`` of the former, see ``best_cut``. The same threshold holds for every document,
+    and a score equal to it is kept.
 
     Null and empty texts have no words: zero counts, no score, rules failed, not kept. Rows that
     share a doc_id, or have none, are judged one by one; only the labels are looked up by id.
-    Without trusted documents there is no threshold and the rules alone decide. Columns of the
+    Without held-out documents there is no threshold and the rules alone decide. Columns of the
     added names are replaced.
+
+    Each document is scored once: rows, counts and scores are written to the shared folder.
     """
     docs = docs.drop(*ADDED)
-    trusted = (
-        labels.where((F.col("quality") == 1) & F.col(doc_id).isNotNull())
-        .select(F.col(doc_id).alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(trusted_rows)
+    known = labels.where(F.col("quality").isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(
+        (F.min("quality") == 1).alias("good")
     )
+    trusted = known.where("good").select("_id").orderBy(F.xxhash64("_id"), "_id").limit(trusted_rows)
     trusted = cut_lineage(trusted.withColumn("_fit", F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(2)) == 0))
     ratios = cut_lineage(log_ratios(docs, trusted.where("_fit"), text, doc_id, buckets))
-    second = F.broadcast(trusted.where("not _fit"))
-    known = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text")).join(second, F.col("_doc") == F.col("_id"), "left_semi")
     value = F.col("_text")
-    # the table of ratios is one value of the plan: the optimizer puts it where _ratios is used
-    scores = known.select("_text", ratios.scalar().alias("_ratios")).select(
-        let(_hashes(value), lambda h: _mean_ratio(h, F.col("_ratios"), buckets)).alias("s")
-    )
-    threshold = cut_lineage(scores.agg((F.percentile("s", lost_trusted) - margin).alias("s")))
     filled = F.coalesce(value, F.lit(""))
     judged = let(
         words(value),
@@ -138,8 +169,8 @@ def judge_quality(
         ),
     )
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent)
-    over = (F.col("score") >= F.col("_cut")) | F.col("_cut").isNull()
-    return (
+    # the table of ratios is one value of the plan: the optimizer puts it where _ratios is used
+    scored = cut_lineage(
         docs.select(packed(docs), F.col(text).alias("_text"), ratios.scalar().alias("_ratios"))
         .select("_row", "_text", judged.alias("_judged"))
         .select(
@@ -150,9 +181,15 @@ def judge_quality(
             _duplicate_lines(filled).alias("n_dup_lines"),
             F.col("_judged.n_repeat_words").alias("n_repeat_words"),
             F.col("_judged.score").alias("score"),
-            threshold.scalar().alias("_cut"),
         )
         .withColumn("base_failed", failed)
+    )
+    held = trusted.where("not _fit").select("_id", F.lit(True).alias("good")).unionByName(known.where("not good"))
+    passed = scored.where("not base_failed").select(F.col("_row")[doc_id].alias("_doc"), F.col("score").alias("s"))
+    threshold = cut_lineage(best_cut(passed.join(held, F.col("_doc") == F.col("_id")), lost_trusted))
+    over = (F.col("score") >= F.col("_cut")) | F.col("_cut").isNull()
+    return (
+        scored.withColumn("_cut", threshold.scalar())
         .withColumn("kept", ~F.col("base_failed") & F.coalesce(over, F.lit(False)))
         .select("_row.*", *ADDED)
     )
