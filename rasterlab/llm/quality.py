@@ -133,10 +133,11 @@ def judge_quality(
     """Adds rule counts, the verdict of the rules, the score and the final verdict to each document.
 
     ``labels`` has a row for each labelled document: its id and ``quality``, 1 for trusted ones
-    and 0 for bad ones; ids labelled both ways count as bad. At most ``trusted_rows`` trusted ones
-    are used (those with the smallest id hashes): one half gives the trusted multinomial, the
-    other half is held out. The raw multinomial counts all documents. ``score`` is the mean log
-    ratio over a document's words and pairs. The threshold is the one that errs least between the
+    and 0 for bad ones; ids labelled both ways count as bad. Other labels, such as ``toxic``, are
+    not looked at: a toxic document of quality 1 is trusted. The trusted multinomial is fitted on
+    half of a sample of ``trusted_rows`` trusted documents (those with the smallest id hashes); all
+    others are held out. The raw multinomial counts all documents. ``score`` is the mean log ratio
+    over a document's words and pairs. The threshold is the one that errs least between the
     held-out and the bad documents which pass the rules, of those that lose at most the share
     ``lost_trusted`` of the former, see ``best_cut``. The same threshold holds for every document,
     and a score equal to it is kept.
@@ -152,9 +153,9 @@ def judge_quality(
     known = labels.where(F.col("quality").isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(
         (F.min("quality") == 1).alias("good")
     )
-    trusted = known.where("good").select("_id").orderBy(F.xxhash64("_id"), "_id").limit(trusted_rows)
-    trusted = cut_lineage(trusted.withColumn("_fit", F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(2)) == 0))
-    ratios = cut_lineage(log_ratios(docs, trusted.where("_fit"), text, doc_id, buckets))
+    sample = known.where("good").select("_id").orderBy(F.xxhash64("_id"), "_id").limit(trusted_rows)
+    fit = cut_lineage(sample.where(F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(2)) == 0))
+    ratios = cut_lineage(log_ratios(docs, fit, text, doc_id, buckets))
     value = F.col("_text")
     filled = F.coalesce(value, F.lit(""))
     judged = let(
@@ -184,7 +185,7 @@ def judge_quality(
         )
         .withColumn("base_failed", failed)
     )
-    held = trusted.where("not _fit").select("_id", F.lit(True).alias("good")).unionByName(known.where("not good"))
+    held = known.join(fit, "_id", "left_anti")
     passed = scored.where("not base_failed").select(F.col("_row")[doc_id].alias("_doc"), F.col("score").alias("s"))
     threshold = cut_lineage(best_cut(passed.join(held, F.col("_doc") == F.col("_id")), lost_trusted))
     over = (F.col("score") >= F.col("_cut")) | F.col("_cut").isNull()

@@ -42,3 +42,14 @@ def test_junk_goes_and_trusted_documents_stay(spark):
     assert not any(r.base_failed for r in got.values())
     kept = lambda q: [got[i].kept for i, _, x in rows if x == q]
     assert sum(kept(0)) <= 3 and sum(kept(1)) >= 198
+
+
+def test_all_labelled_rows_outside_the_sample_count(spark):
+    """Trusted documents of another kind that no small sample has; toxic ones are trusted."""
+    rng = random.Random(7)
+    rows = [(k, text(rng, 400, 0), 1, 0) for k in range(300)] + [(300 + k, text(rng, 400, 3), 1, 1) for k in range(30)]
+    rows += [(400 + k, text(rng, 400, 80), 0, 0) for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int, toxic int")
+    labels = df.select("doc_id", "quality", "toxic")
+    got = {r.doc_id: r.kept for r in quality.judge_quality(df.select("doc_id", "text"), labels, trusted_rows=6).collect()}
+    assert all(got[i] == (q == 1) for i, _, q, _ in rows)
