@@ -38,13 +38,11 @@ def op1_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.shuffle_to_shards(table(spark, sf_dir, "documents"), shards=16)
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = table(spark, sf_dir, "documents").select(
-        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32")
-    )
-    return sharding.shuffle_to_shards(rows, shards=16).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"),
+    return rows.select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
 
 

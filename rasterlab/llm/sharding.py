@@ -14,13 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rasterlab.llm.common import packed
-from rasterlab.session import cut_lineage, shared_folder
+from rasterlab.llm.common import packed, small_batches
+from rasterlab.session import cut_lineage
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
@@ -62,55 +61,59 @@ def communication_matrix(counts: list[int], shards: int, seed: int) -> np.ndarra
     return matrix
 
 
-def shuffle_to_shards(df: DataFrame, shards: int = 16, seed: int = 0, block_rows: int = 4096) -> DataFrame:
+def shuffle_to_shards(
+    df: DataFrame, shards: int = 16, seed: int = 0, block_rows: int = 4096, block_bytes: int = 32_000_000
+) -> DataFrame:
     """All rows of ``df`` with ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 in a shard).
 
     Shard sizes are at most one apart. Rows are told apart by place, not by value: nulls, ties
     and repeated rows are rows like any other, and an empty table gives an empty one. Columns
     called ``shard`` or ``slot`` are replaced.
 
-    The input is checkpointed, so that its partitions stay what they were when they were counted
-    even if executors are lost. A shard is dealt to blocks of about ``block_rows`` rows by a
-    random 63-bit key and sorted in them, so no task holds a whole shard.
+    The input is written once with each row's partition and place in it, so that these stay what
+    they were when they were counted. A shard is dealt to blocks by a random 63-bit key and sorted
+    in them; blocks have about ``block_rows`` rows, or fewer so that their strings and binaries
+    have about ``block_bytes``. No task holds a whole shard. Block sizes are counted from places
+    alone; whole rows are exchanged once.
     """
     spark = df.sparkSession
+    small_batches(spark)
     plain = df.drop("shard", "slot")
-    df = plain.select(packed(plain))
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    fixed = df.checkpoint()
-    found = {r[0]: r[1] for r in fixed.groupBy(F.spark_partition_id()).count().collect()}
-    parts = fixed.rdd.getNumPartitions()
-    matrix = communication_matrix([found.get(i, 0) for i in range(parts)], shards, seed)
-    total = int(matrix.sum())
-    blocks = max(1, -(-total // (shards * block_rows)))
+    sized = [F.coalesce(F.octet_length(plain[f"`{f.name}`"]), F.lit(0)).cast("long") for f in plain.schema.fields
+             if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    fixed = cut_lineage(plain.select(packed(plain), F.monotonically_increasing_id().alias("_at"), sum(sized, F.lit(0).cast("long")).alias("_size")))
+    part = F.shiftright("_at", 33).cast("int")
+    found = {r[0]: (r[1], r[2]) for r in fixed.groupBy(part).agg(F.count(F.lit(1)), F.sum("_size")).collect()}
+    parts = max(found, default=-1) + 1
+    matrix = communication_matrix([found.get(i, (0, 0))[0] for i in range(parts)], shards, seed)
+    total, size = int(matrix.sum()), sum(x[1] for x in found.values())
+    blocks = max(1, -(-total // (shards * block_rows)), -(-size // (shards * block_bytes)))
     dealt = spark.sparkContext.broadcast(matrix)
 
     def permute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        rng = np.random.default_rng([seed, 2, part])
-        labels = rng.permutation(np.repeat(np.arange(shards, dtype=np.int32), dealt.value[part]))
-        at = 0
+        of, labels, keys = -1, np.zeros(0, np.int32), np.zeros(0, np.int64)
         for batch in batches:
-            n = batch.num_rows
-            added = [
-                pa.array(labels[at : at + n], pa.int32()),
-                pa.array(rng.integers(0, 2**63 - 1, n), pa.int64()),
-                pa.array((part << 33) + np.arange(at, at + n), pa.int64()),
-            ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "shard", "_key", "_at"])
-            at += n
-
-    fields = [*df.schema.fields, T.StructField("shard", T.IntegerType())]
-    fields += [T.StructField("_key", T.LongType()), T.StructField("_at", T.LongType())]
-    placed = fixed.mapInArrow(permute, T.StructType(fields)).withColumn(
-        "_block", F.floor(F.col("_key") / F.lit(float(2**63)) * blocks).cast("int")
-    )
-    placed = cut_lineage(placed)
-    sizes = placed.groupBy("shard", "_block").agg(F.count(F.lit(1)).alias("_n"))
+            at = batch.column("_at").to_numpy()
+            shard, key = np.zeros(len(at), np.int32), np.zeros(len(at), np.int64)
+            for p in np.unique(at >> 33).tolist():
+                if p != of:
+                    rng = np.random.default_rng([seed, 2, p])
+                    labels = rng.permutation(np.repeat(np.arange(shards, dtype=np.int32), dealt.value[p]))
+                    of, keys = p, rng.integers(0, 2**63 - 1, len(labels))
+                mine = at >> 33 == p
+                shard[mine], key[mine] = labels[at[mine] & (2**33 - 1)], keys[at[mine] & (2**33 - 1)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(shard, pa.int32()), pa.array(key, pa.int64())], [*batch.schema.names, "shard", "_key"]
+            )
+
+    def placed(rows: DataFrame) -> DataFrame:
+        schema = T.StructType([*rows.schema.fields]).add("shard", T.IntegerType()).add("_key", T.LongType())
+        return rows.mapInArrow(permute, schema).withColumn("_block", F.floor(F.col("_key") / F.lit(float(2**63)) * blocks).cast("int"))
+
+    sizes = placed(fixed.select("_at")).groupBy("shard", "_block").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("shard", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    starts = cut_lineage(sizes.select("shard", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")))
     inside = Window.partitionBy("shard", "_block").orderBy("_key", "_at")
-    ranked = placed.withColumn("_rank", F.row_number().over(inside) - 1)
+    ranked = placed(fixed.select("_row", "_at")).withColumn("_rank", F.row_number().over(inside) - 1)
     out = ranked.join(starts, ["shard", "_block"]).withColumn("slot", (F.col("_start") + F.col("_rank")).cast("long"))
     return out.select("_row.*", "shard", "slot")
