@@ -45,4 +45,43 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id"""
 
-ORACLES = {"op1_tensored_minhash": OP1, "op7_suffix_automaton": OP7, "op8_shared_lines": OP8}
+OP11 = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || doc_id::VARCHAR) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS us,
+      [('0x' || substr(h, 8 * k + 1, 8))::BIGINT FOR k IN range(4)] AS d FROM t),
+c AS (SELECT *, len(us)::BIGINT AS n, least(d[1] % (len(us) + 1), d[2] % (len(us) + 1)) AS a, greatest(d[1] % (len(us) + 1), d[2] % (len(us) + 1)) AS b,
+      CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR d[3] % 100 >= 50 THEN 'plain'
+           WHEN d[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(us[:a], '') AS pre, array_to_string(us[a + 1:b], '') AS mid, array_to_string(us[b + 1:], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE t END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p"""
+
+
+def _kmeans(k: int = 16, rounds: int = 3) -> str:
+    """Plain assignment and update steps, one pair of tables for each round."""
+    steps = ["""
+v AS (SELECT vec_id, [floor(64 * x::DOUBLE)::BIGINT FOR x IN embedding] AS x FROM embeddings
+      WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = 64),
+e AS (SELECT vec_id, unnest(x) AS x, unnest(range(64)) AS i FROM v),
+c0 AS (SELECT c, unnest(x) AS x, unnest(range(64)) AS i FROM (SELECT x, row_number() OVER (ORDER BY sha256('1:' || vec_id::VARCHAR)) - 1 AS c FROM v) WHERE c < %d)""" % k]
+    for r in range(rounds + 1):
+        steps.append(f"""
+d{r} AS (SELECT vec_id, c, sum((e.x - m.x) * (e.x - m.x))::BIGINT AS d FROM e JOIN c{r} m USING (i) GROUP BY ALL),
+a{r} AS (SELECT vec_id, arg_min(c, (d, c)) AS c, min(d) AS d FROM d{r} GROUP BY vec_id)""")
+        if r < rounds:
+            steps.append(f"""
+m{r} AS (SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n FROM e JOIN a{r} USING (vec_id) GROUP BY ALL),
+c{r + 1} AS (SELECT c, i, coalesce((s - ((s % n) + n) % n) // n, o.x) AS x FROM c{r} o LEFT JOIN m{r} USING (c, i))""")
+    return "WITH" + ",".join(steps) + f""",
+h AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS h FROM c{rounds} GROUP BY c)
+SELECT vec_id, c::INT AS cluster, d AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, h AS centroid_sha256
+FROM a{rounds} JOIN h USING (c)"""
+
+
+OP13 = _kmeans()
+
+ORACLES = {
+    "op1_tensored_minhash": OP1, "op7_suffix_automaton": OP7, "op8_shared_lines": OP8, "op11_fill_in_middle": OP11, "op13_shallot_clusters": OP13,
+}

@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterlab.llm import decontamination, line_dedup, lm_scoring, near_dedup, packing, quality, secret_scan, sharding, suffix_dedup, url_filter
+from rasterlab.llm import (
+    centroid_clusters,
+    decontamination,
+    fill_middle,
+    line_dedup,
+    lm_scoring,
+    near_dedup,
+    packing,
+    quality,
+    secret_scan,
+    sharding,
+    suffix_dedup,
+    toxicity,
+    url_filter,
+)
 from rasterlab.llm.common import table
 from rasterlab.llm.oracles import ORACLES  # noqa: F401
 
@@ -101,3 +115,25 @@ def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").cast("long").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
+
+
+@query
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("fim_text", 256).alias("output_sha256"),
+        F.sha2(fill_middle.restored(F.col("fim_text"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+@query
+def op12_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return toxicity.score_toxicity(docs, labels).select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op13_shallot_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clusters = centroid_clusters.cluster_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return clusters.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")

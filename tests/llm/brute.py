@@ -148,3 +148,35 @@ def base_scores(docs):
     return out, n
 
 
+UNIT = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
+
+
+def fill_in_middle(i, t):
+    """op11: n, form, prefix_chars, middle_chars, output"""
+    t = t or ""
+    units = UNIT.findall(t)
+    h = [int(sha(f"42:{'' if i is None else i}")[8 * k : 8 * k + 8], 16) for k in range(4)]
+    a, b = sorted((h[0] % (len(units) + 1), h[1] % (len(units) + 1)))
+    p, m, s = "".join(units[:a]), "".join(units[a:b]), "".join(units[b:])
+    if not t or any(x in t for x in ("<P>", "<S>", "<M>")) or h[2] % 100 >= 50:
+        return len(units), "plain", None, None, t
+    if h[3] % 100 < 80:
+        return len(units), "spm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}"
+    return len(units), "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}"
+
+
+def clusters(vectors, dims=64, k=16, rounds=3):
+    """op13: {vec_id: (cluster, distance, cluster_inertia, inertia, centroid_sha256)}"""
+    from math import floor, isfinite
+
+    xs = {i: [floor(64 * float(c)) for c in v] for i, v in vectors if v is not None and len(v) == dims and all(c is not None and isfinite(c) for c in v)}
+    at = [xs[i] for i in sorted(xs, key=lambda i: sha(f"1:{i}"))[:k]]
+    for r in range(rounds + 1):
+        near = {i: min((sum((p - q) ** 2 for p, q in zip(x, c)), n) for n, c in enumerate(at)) for i, x in xs.items()}
+        for n in range(len(at)) if r < rounds else ():
+            own = [xs[i] for i in xs if near[i][1] == n]
+            at[n] = [sum(c) // len(own) for c in zip(*own)] if own else at[n]
+    inertia = Counter()
+    for d, n in near.values():
+        inertia[n] += d
+    return {i: (n, d, inertia[n], sum(inertia.values()), sha(",".join(map(str, at[n])))) for i, (d, n) in near.items()}

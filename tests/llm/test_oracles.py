@@ -10,7 +10,7 @@ from rasterlab.llm.oracles import ORACLES
 @pytest.fixture(scope="module")
 def con(sf_dir):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         con.sql(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     return con
 
@@ -39,3 +39,14 @@ def test_leaks(con, docs):
 def test_lines(con, docs):
     got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in rows(con, "op8_shared_lines")}
     assert got == {i: (n, d, brute.sha(t)) for i, (n, d, t) in brute.lines(docs).items()}
+
+
+def test_middles(con, docs):
+    got = {r["doc_id"]: (r["n"], r["form"], r["prefix_chars"], r["middle_chars"], r["output_sha256"]) for r in rows(con, "op11_fill_in_middle")}
+    want = {i: brute.fill_in_middle(i, t) for i, t in docs}
+    assert got == {i: (*w[:4], brute.sha(w[4])) for i, w in want.items()}
+
+
+def test_clusters(con):
+    got = {r["vec_id"]: (r["cluster"], r["distance"], r["cluster_inertia"], r["inertia"], r["centroid_sha256"]) for r in rows(con, "op13_shallot_clusters")}
+    assert got == brute.clusters(con.sql("select vec_id, embedding from embeddings").fetchall())

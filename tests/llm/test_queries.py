@@ -113,3 +113,22 @@ def test_op10(spark, sf_dir, docs):
         assert r.offset == used.get(r.sequence_id, 0)
         used[r.sequence_id] = r.offset + r.length
     assert max(used.values()) <= 2048 and sum(used.values()) > 0.95 * 2048 * len(used)
+
+
+def test_op11(spark, sf_dir, docs):
+    got = {r.doc_id: (r.n, r.form, r.prefix_chars, r.middle_chars, r.output_sha256, r.restored_sha256) for r in rows("op11_fill_in_middle", spark, sf_dir)}
+    want = {i: brute.fill_in_middle(i, t) for i, t in docs}
+    assert got == {i: (*want[i][:4], brute.sha(want[i][4]), brute.sha(t or "")) for i, t in docs}
+    assert {w[1] for w in want.values()} == {"plain", "spm", "psm"}
+
+
+def test_op12(spark, sf_dir, docs):
+    got = {r.doc_id: r for r in rows("op12_compression_toxicity", spark, sf_dir)}
+    assert set(got) == {i for i, _ in docs}
+    for i, r in got.items():
+        assert r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5)
+
+
+def test_op13(spark, sf_dir):
+    got = {r.vec_id: (r.cluster, r.distance, r.cluster_inertia, r.inertia, r.centroid_sha256) for r in rows("op13_shallot_clusters", spark, sf_dir)}
+    assert got == brute.clusters(read(sf_dir, "embeddings", "vec_id, embedding"))
