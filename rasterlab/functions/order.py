@@ -1,8 +1,9 @@
 """Exact ranks and quantiles of groups of any size.
 
-``percentile`` and ordered windows put one group into one task.  Here a group whose
-distinct values make up a large share of the table is first cut into slices of
-nearly equal size, so the sort behind a rank never meets more than a slice:
+``percentile`` and ordered windows put one group into one task.  Quantiles are selected by radix
+instead (``functions/select.py``).  For ranks, a group whose distinct values make up a large share
+of the table is first cut into slices of nearly equal size, so the sort behind a rank never meets
+more than a slice:
 
 1. rows collapse to distinct values with their counts (map-side combined), written once;
 2. if every group fits a task, a plain window per group finishes the work; otherwise the few dominant groups get 1,023 cut points from a mergeable sketch;
@@ -12,7 +13,7 @@ nearly equal size, so the sort behind a rank never meets more than a slice:
 The cut points only balance the work, so their error never reaches the result.
 
 A plan whose whole input is a few megabytes by Catalyst's statistics takes the built-in
-aggregate instead; both ways give the same numbers.
+aggregate or a plain window instead; both ways give the same bits.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rasterlab.functions.select import quantiles_by_radix
 from rasterlab.session import cut_lineage
 
 _STEPS = [512, 256, 128, 64, 32, 16, 8, 4, 2, 1]
@@ -138,32 +140,38 @@ def pick(placed: DataFrame, keys: Sequence[str], value: str, places: Mapping[str
 
 
 def quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probs: Mapping[str, float],
-    hot_values: int = _HOT_VALUES,
-    small: bool | None = None,
+    df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], small: bool | None = None
 ) -> DataFrame:
-    """Linearly interpolated quantiles, one column per name, plus ``_n``."""
-    if fits_one_task(df) if small is None else small:
-        v = F.col(value).cast("double")
-        both = df.groupBy(*keys).agg(
-            F.count(v).alias("_n"), F.percentile(v, F.array(*[F.lit(float(p)) for p in probs.values()])).alias("_q")
-        )
-        return both.select(*keys, "_n", *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)])
-    places: dict[str, Column] = {}
-    for name, p in probs.items():
-        at = (F.col("_n") - 1) * F.lit(float(p))
-        places[f"_lo_{name}"] = F.floor(at)
-        places[f"_hi_{name}"] = F.ceil(at)
-    picked = pick(positions(df, keys, value, hot_values, small=False), keys, value, places)
-    out = []
-    for name, p in probs.items():
-        at = (F.col("_n") - 1) * F.lit(float(p))
-        low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        out.append((low + (high - low) * (at - F.floor(at))).cast("double").alias(name))
-    return picked.select(*keys, "_n", *out)
+    """Linearly interpolated quantiles, one column per name, plus ``_n``.
+
+    Radix selection, or the built-in aggregate where everything the plan reads fits a task; both
+    give the same bits.
+    """
+    if not (fits_one_task(df) if small is None else small):
+        return quantiles_by_radix(df, keys, value, probs)
+    v = F.col(value).cast("double")
+    both = df.groupBy(*keys).agg(
+        F.count(v).alias("_n"), F.percentile(v, F.array(*[F.lit(float(p)) for p in probs.values()])).alias("_q")
+    ).where("_n > 0")
+    return both.select(*keys, "_n", *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)])
+
+
+def levels(
+    df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], weight: str | None = None, small: bool | None = None
+) -> DataFrame:
+    """Quantiles of pixel values, one column per name; groups without values have no row.
+
+    Whole numbers are camera counts: the built-in aggregate keeps at most 65,536 counters of a
+    group. Real values (corrected pixels, fitted surfaces) are as many as pixels and are selected.
+    """
+    whole = df.schema[value].dataType.typeName() in ("byte", "short", "integer", "long")
+    if not whole and not (fits_one_task(df) if small is None else small):
+        return quantiles_by_radix(df, keys, value, probs, weight).drop("_n")
+    times = F.col(weight) if weight else F.lit(1)
+    v = F.col(value).cast("double")
+    q = F.percentile(v, F.array(*[F.lit(float(p)) for p in probs.values()]), times)
+    return df.where(v.isNotNull() & (times > 0)).groupBy(*keys).agg(q.alias("_q")).select(
+        *keys, *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)])
 
 
 def medians(

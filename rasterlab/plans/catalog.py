@@ -12,5 +12,6 @@ from rasterlab.plans import (  # noqa: F401
     queries_summary,
     queries_tables,
     queries_tracking,
+    queries_windows,
 )
 from rasterlab.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -18,7 +18,7 @@ def skewed(spark):
 @pytest.mark.parametrize("small", [True, False])
 def test_quantiles_match_linear_interpolation(skewed, small):
     pdf, df = skewed
-    got = quantiles(df, ["k"], "v", {"q1": 0.25, "p95": 0.95}, hot_values=16, small=small).toPandas().set_index("k")
+    got = quantiles(df, ["k"], "v", {"q1": 0.25, "p95": 0.95}, small=small).toPandas().set_index("k")
     for k, g in pdf.groupby("k"):
         assert got.loc[k, "_n"] == len(g)
         assert got.loc[k, "q1"] == pytest.approx(np.percentile(g.v, 25))
