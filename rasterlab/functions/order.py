@@ -156,6 +156,11 @@ def quantiles(
     return both.select(*keys, "_n", *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)])
 
 
+def whole_numbers(df: DataFrame, value: str) -> bool:
+    """Whether a column's type holds whole numbers only, as camera counts are."""
+    return df.schema[value].dataType.typeName() in ("byte", "short", "integer", "long")
+
+
 def levels(
     df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], weight: str | None = None, small: bool | None = None
 ) -> DataFrame:
@@ -164,8 +169,7 @@ def levels(
     Whole numbers are camera counts: the built-in aggregate keeps at most 65,536 counters of a
     group. Real values (corrected pixels, fitted surfaces) are as many as pixels and are selected.
     """
-    whole = df.schema[value].dataType.typeName() in ("byte", "short", "integer", "long")
-    if not whole and not (fits_one_task(df) if small is None else small):
+    if not whole_numbers(df, value) and not (fits_one_task(df) if small is None else small):
         return quantiles_by_radix(df, keys, value, probs, weight).drop("_n")
     times = F.col(weight) if weight else F.lit(1)
     v = F.col(value).cast("double")

@@ -1,8 +1,8 @@
 """Background estimates per image and per cell.
 
 Input masks are expected after quality control, so pixels of rejected cells count as
-background.  Pixel values are integer camera counts: a percentile over them keeps at
-most 65,536 counters per group, whatever the number of pixels.
+background.  Medians and percentiles go by the type of the pixels (``order.levels``): camera
+counts keep at most 65,536 counters per group, corrected pixels are selected by radix.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterlab.functions.joins import attach
-from rasterlab.functions.order import fits_one_task, medians
+from rasterlab.functions.order import fits_one_task, levels, medians, whole_numbers
 from rasterlab.operators.spatial import (
     cell_surroundings,
     image_size,
@@ -38,14 +38,14 @@ def global_background(px: DataFrame, keys: Sequence[str] = IMAGE, statistic: str
     """One statistic and the population std of the label-0 pixels; 0 and 0 where there are none."""
     if statistic == "mode":
         return mode_background(px, keys)
-    stat = {
-        "mean": F.avg(_bg()),
-        "percentile5": F.percentile(_bg(), 0.05),
-    }.get(statistic, F.median(_bg()))
-    return px.groupBy(*keys).agg(
-        F.coalesce(stat, F.lit(0.0)).alias("background"),
-        F.coalesce(F.stddev_pop(_bg()), F.lit(0.0)).alias("bg_std"),
-    )
+    prob = 0.05 if statistic == "percentile5" else 0.5
+    spread = F.coalesce(F.stddev_pop(_bg()), F.lit(0.0)).alias("bg_std")
+    if statistic == "mean" or whole_numbers(px, "value"):
+        stat = F.avg(_bg()) if statistic == "mean" else F.percentile(_bg(), prob)
+        return px.groupBy(*keys).agg(F.coalesce(stat, F.lit(0.0)).alias("background"), spread)
+    level = levels(px.where("label = 0"), keys, "value", {"background": prob})
+    return px.groupBy(*keys).agg(spread).join(level, list(keys), "left").select(
+        *keys, F.coalesce("background", F.lit(0.0)).alias("background"), "bg_std")
 
 
 def mode_background(px: DataFrame, keys: Sequence[str] = IMAGE) -> DataFrame:
@@ -78,14 +78,10 @@ def mode_background(px: DataFrame, keys: Sequence[str] = IMAGE) -> DataFrame:
 def legacy_background(px: DataFrame, keys: Sequence[str] = IMAGE, method: str = "median") -> DataFrame:
     """As :func:`global_background`, but images with < 1 % background use their own 5th percentile."""
     scarce = F.count(_bg()) < 0.01 * F.count(F.lit(1))
-    own = F.percentile(F.col("value").cast("double"), 0.05)
-    if method == "mode":
-        few = px.groupBy(*keys).agg(scarce.alias("_scarce"), own.alias("_own"))
-        return mode_background(px, keys).join(few, list(keys)).select(
-            *keys, F.when(F.col("_scarce"), F.col("_own")).otherwise(F.col("background")).alias("background")
-        )
-    stat = {"mean": F.avg(_bg()), "percentile5": F.percentile(_bg(), 0.05)}.get(method, F.median(_bg()))
-    return px.groupBy(*keys).agg(F.when(scarce, own).otherwise(stat).alias("background"))
+    few = px.groupBy(*keys).agg(scarce.alias("_scarce")).join(levels(px, keys, "value", {"_own": 0.05}), list(keys))
+    return global_background(px, keys, method).join(few, list(keys)).select(
+        *keys, F.when(F.col("_scarce"), F.col("_own")).otherwise(F.col("background")).alias("background")
+    )
 
 
 def legacy_auto(px: DataFrame, keys: Sequence[str] = IMAGE) -> DataFrame:
@@ -119,13 +115,8 @@ def corner_background(px: DataFrame, keys: Sequence[str] = IMAGE, fraction: floa
     right = (F.col("_cw") == 0) | (x >= F.col("_w") - F.col("_cw"))
     times = sum(((a & b).cast("int") for a, b in
                  [(top, left), (top, right), (bottom, left), (bottom, right)]), F.lit(0))
-    return (
-        attach(px, size, keys)
-        .withColumn("_times", times)
-        .where("_times > 0")
-        .groupBy(*keys)
-        .agg(F.percentile(F.col("value").cast("double"), 0.5, F.col("_times")).alias("background"))
-    )
+    corners = attach(px, size, keys).withColumn("_times", times).where("_times > 0")
+    return levels(corners, keys, "value", {"background": 0.5}, "_times")
 
 
 def coverage(px: DataFrame, keys: Sequence[str] = IMAGE) -> DataFrame:
@@ -176,9 +167,7 @@ def annular_ring(px: DataFrame, keys: Sequence[str] = IMAGE, ring_width: int = 5
     t = tiles(px.select(*keys, "y", "x", "label", "value"), keys, halo=outer)
     t = square_max(t, keys, "label", {"_outer": outer, "_inner": gap})
     ring = core_only(t).where("label = 0 and _outer > 0 and _inner = 0")
-    local = ring.groupBy(*keys, F.col("_outer").cast("bigint").alias("label")).agg(
-        F.median(F.col("value").cast("double")).alias("_ring")
-    )
+    local = levels(ring.withColumn("label", F.col("_outer").cast("bigint")), [*keys, "label"], "value", {"_ring": 0.5})
     whole = global_background(px, keys)
     return (
         _cell_list(px, keys).join(local, [*keys, "label"], "left").join(whole, keys)
@@ -201,8 +190,11 @@ def voronoi(px: DataFrame, keys: Sequence[str] = IMAGE) -> DataFrame:
         limit = F.when(F.col(f"_c{d}") >= 100, d * d).otherwise(limit)
     usable = attach(free, counts.select(*keys, limit.alias("_limit")), keys).where(F.col("d2") >= F.col("_limit"))
     value = F.col("value").cast("double")
-    local = usable.groupBy(*keys, F.col("nearest").alias("label")).agg(F.median(value).alias("_local"))
-    whole = usable.groupBy(*keys).agg(F.median(value).alias("_whole"), F.stddev_pop(value).alias("_std"))
+    local = levels(usable.withColumn("label", F.col("nearest")), [*keys, "label"], "value", {"_local": 0.5})
+    if whole_numbers(px, "value"):
+        whole = usable.groupBy(*keys).agg(F.median(value).alias("_whole"), F.stddev_pop(value).alias("_std"))
+    else:
+        whole = usable.groupBy(*keys).agg(F.stddev_pop(value).alias("_std")).join(levels(usable, keys, "value", {"_whole": 0.5}), keys)
     return (
         _cell_list(px, keys).join(local, [*keys, "label"], "left").join(whole, keys, "left")
         .select(*keys, "label", F.coalesce("_local", "_whole", F.lit(0.0)).alias("background"),
@@ -217,9 +209,8 @@ def rolling_ball(px: DataFrame, keys: Sequence[str] = IMAGE, radius: int = 50) -
     """
     keys = list(keys)
     surface = opened_surface(px.select(*keys, "y", "x", "label", "value"), keys, radius)
-    local = surface.where("label > 0").groupBy(*keys, F.col("label").cast("bigint").alias("label")).agg(
-        F.median("surface").alias("background")
-    )
+    inside = surface.where("label > 0").withColumn("label", F.col("label").cast("bigint"))
+    local = levels(inside, [*keys, "label"], "surface", {"background": 0.5})
     spread = surface.where("label = 0").groupBy(*keys).agg(F.stddev_pop("surface").alias("bg_std"))
     return local.join(spread, keys, "left").fillna(0.0, ["bg_std"])
 
@@ -250,7 +241,7 @@ def polynomial_surface(px: DataFrame, keys: Sequence[str] = IMAGE, order: int =
         return out
 
     sums = placed.where("label = 0").groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.median("value").alias("_med"),
+        F.count(F.lit(1)).alias("_n"),
         F.array(*[F.sum(mono(p, q)) for p, q in powers]).alias("_s"),
         F.array(*[F.sum(F.col("value") * mono(p, q)) for p, q in terms]).alias("_r"),
     )
@@ -261,7 +252,9 @@ def polynomial_surface(px: DataFrame, keys: Sequence[str] = IMAGE, order: int =
         pick = np.array([[at[p1 + p2, q1 + q2] for p2, q2 in terms] for p1, q1 in terms])
         return pd.Series([np.linalg.lstsq(np.asarray(a)[pick], np.asarray(b), rcond=None)[0] for a, b in zip(s, r)])
 
-    fit = sums.select(*keys, "_n", "_med", F.when(F.col("_n") >= 50, solve("_s", "_r")).alias("_k"))
+    # of images with fewer than 50 values only
+    rest = attach(px.where("label = 0"), sums.where("_n < 50").select(*keys), keys).groupBy(*keys).agg(F.median("value").alias("_med"))
+    fit = sums.select(*keys, F.when(F.col("_n") >= 50, solve("_s", "_r")).alias("_k")).join(rest, keys, "left")
     value = sum((F.col("_k")[i] * mono(p, q) for i, (p, q) in enumerate(terms)), F.lit(0.0))
     surface = attach(placed, fit, keys, "left").withColumn(
         "_surface", F.when(F.col("_k").isNotNull(), value).otherwise(F.coalesce("_med", F.lit(0.0)))
@@ -278,9 +271,8 @@ def polynomial_surface(px: DataFrame, keys: Sequence[str] = IMAGE, order: int =
 
 def median_filter_background(px: DataFrame, keys: Sequence[str] = IMAGE, size: int = 50) -> DataFrame:
     """Median over background of a wide median filter: the older stand-in for a rolling ball."""
-    return median_filtered_background(px.select(*keys, "y", "x", "label", "value"), keys, size).groupBy(*keys).agg(
-        F.median("surface").alias("background")
-    )
+    surface = median_filtered_background(px.select(*keys, "y", "x", "label", "value"), keys, size)
+    return levels(surface, keys, "surface", {"background": 0.5})
 
 
 def surroundings(px: DataFrame, keys: Sequence[str] = IMAGE, steps: int = 5, box: int = 50) -> DataFrame:
@@ -290,7 +282,7 @@ def surroundings(px: DataFrame, keys: Sequence[str] = IMAGE, steps: int = 5, box
     """
     keys = list(keys)
     value = F.col("value").cast("double")
-    near = cell_surroundings(px, keys, steps).groupBy(*keys, "label").agg(F.median(value).alias("background"))
+    near = levels(cell_surroundings(px, keys, steps), [*keys, "label"], "value", {"background": 0.5})
     centre = px.where("label > 0").groupBy(*keys, F.col("label").cast("bigint").alias("label")).agg(
         F.floor(F.avg("y")).alias("_cy"), F.floor(F.avg("x")).alias("_cx")
     )
@@ -362,9 +354,9 @@ def estimate(
     if manual is not None:
         return same_everywhere(F.lit(float(manual)), F.lit(0.0), "manual")
     if negative_control is not None:
-        v = F.col("value").cast("double")
-        level = negative_control.agg(F.median(v), F.stddev_pop(v)).first()
-        return same_everywhere(F.lit(level[0]), F.lit(level[1]), "negative_control")
+        level = levels(negative_control, [], "value", {"m": 0.5}).first()
+        spread = negative_control.agg(F.stddev_pop(F.col("value").cast("double"))).first()
+        return same_everywhere(F.lit(level and level[0]).cast("double"), F.lit(spread[0]).cast("double"), "negative_control")
     if method != "auto" and method not in _REASONS:
         raise ValueError(f"unknown background method: {method}")
 
@@ -393,21 +385,20 @@ def estimate(
     }
     images_out, cells_out = [], []
 
-    crowded = px.join(plan.where("scarce"), keys) if any(s for _, s in chosen) else None
-    low = None if crowded is None else crowded.groupBy(*keys).agg(
-        F.percentile(F.col("value").cast("double"), 0.01).alias("background"),
-        F.coalesce(F.stddev_pop(_bg()), F.lit(0.0)).alias("bg_std"),
-        F.concat(F.first("method"), F.lit("_fallback_p1")).alias("method_used"),
-        F.concat(F.first("reason"), F.lit(_SCARCE)).alias("method_reason"),
-        F.lit(True).alias("low_confidence"),
-    )
-    if low is not None:
+    low = None
+    if any(s for _, s in chosen):
+        crowded = attach(px, plan.where("scarce").select(*keys), keys)
+        spread = crowded.groupBy(*keys).agg(F.coalesce(F.stddev_pop(_bg()), F.lit(0.0)).alias("bg_std"))
+        low = levels(crowded, keys, "value", {"background": 0.01}).join(spread, keys).join(plan, keys).select(
+            *keys, "background", "bg_std", F.concat("method", F.lit("_fallback_p1")).alias("method_used"),
+            F.concat("reason", F.lit(_SCARCE)).alias("method_reason"), F.lit(True).alias("low_confidence"),
+        )
         images_out.append(low)
         cells_out.append(cells.join(low.select(*keys, "background", "bg_std"), keys))
 
     for name in sorted({m for m, s in chosen if not s}):
         mine = plan.where((F.col("method") == name) & ~F.col("scarce"))
-        part = px if len(chosen) == 1 else px.join(mine.select(*keys), keys, "left_semi")
+        part = px if len(chosen) == 1 else attach(px, mine.select(*keys), keys)
         text = F.when(F.col("reason") == "", F.lit(_REASONS[name].format(**params))).otherwise(F.col("reason"))
         if name == "global_roi":
             level = global_background(part, keys, global_statistic)

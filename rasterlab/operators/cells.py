@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterlab.functions.joins import attach
-from rasterlab.functions.order import medians, quantiles
+from rasterlab.functions.order import levels, medians, quantiles
 from rasterlab.schema import IMAGE, METRIC_SUFFIX
 
 # Full scale of the integer image types, and the share of it that counts as saturated.
@@ -237,11 +237,9 @@ def background_above_cells(
 ) -> DataFrame:
     """Median cell pixel per image and whether the background estimate exceeds it.
 
-    Pixel values are integer camera counts, so the median keeps at most 65,536 counters.
+    An image without cells has no median and counts as not exceeded.
     """
-    signal = px.groupBy(*keys).agg(
-        F.median(F.when(F.col("label") > 0, F.col("value").cast("double"))).alias("cell_median")
-    )
-    return signal.join(backgrounds.select(*keys, "background"), list(keys)).withColumn(
+    signal = levels(px.where("label > 0"), keys, "value", {"cell_median": 0.5})
+    return backgrounds.select(*keys, "background").join(signal, list(keys), "left").select(*keys, "cell_median", "background").withColumn(
         "above_cells", F.coalesce(F.col("background") > F.col("cell_median"), F.lit(False))
     )

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterlab.functions.joins import attach
-from rasterlab.functions.order import quantiles
+from rasterlab.functions.order import levels, quantiles
 from rasterlab.schema import IMAGE
 
 FLAT_FLOOR = 0.01
@@ -21,21 +21,6 @@ FLAT_FLOOR = 0.01
 CHANNEL_COLOURS = [(0.0, 1.0, 1.0), (0.0, 1.0, 0.0), (1.0, 0.0, 0.6), (1.0, 1.0, 0.0), (1.0, 0.4, 0.0)]
 
 
-def pixel_quantiles(
-    px: DataFrame, keys: Sequence[str], probs: dict[str, float], integer_pixels: bool = True, value: str = "value"
-) -> DataFrame:
-    """Quantiles of pixel values per group.
-
-    Integer camera counts have at most 65,536 distinct values, so the built-in aggregate is
-    bounded; corrected (real-valued) pixels go through the sliced ordering.
-    """
-    if not integer_pixels:
-        return quantiles(px, keys, value, probs).drop("_n")
-    q = F.percentile(F.col(value).cast("double"), F.array(*[F.lit(float(p)) for p in probs.values()]))
-    return px.groupBy(*keys).agg(q.alias("_q")).select(
-        *keys, *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)])
-
-
 def _one_shape(frames: DataFrame, frame: str) -> Column:
     """True if all frames have the same height and width."""
     shapes = frames.groupBy(frame).agg(F.max("y").alias("h"), F.max("x").alias("w"))
@@ -104,8 +89,8 @@ def correct(px: DataFrame, dark: DataFrame | None = None, flat: DataFrame | None
     return out.withColumn("value", F.greatest("value", F.lit(0.0))).select(*px.columns)
 
 
-def _limits(px: DataFrame, keys: Sequence[str], low: float, high: float, integer_pixels: bool) -> DataFrame:
-    q = pixel_quantiles(px, keys, {"_lo": low, "_hi": high}, integer_pixels)
+def _limits(px: DataFrame, keys: Sequence[str], low: float, high: float) -> DataFrame:
+    q = levels(px, keys, "value", {"_lo": low, "_hi": high})
     v = F.col("value").cast("double")
     ends = px.groupBy(*keys).agg(F.min(v).alias("_min"), F.max(v).alias("_max"))
     narrow = F.col("_hi") <= F.col("_lo")
@@ -118,7 +103,7 @@ def _limits(px: DataFrame, keys: Sequence[str], low: float, high: float, integer
 
 def normalise(
     px: DataFrame, keys: Sequence[str] = IMAGE, low: float = 0.01, high: float = 0.99,
-    legacy: bool = False, integer_pixels: bool = True,
+    legacy: bool = False,
 ) -> DataFrame:
     """Adds ``norm``: value scaled to [0, 1] between two percentiles of its image.
 
@@ -128,16 +113,16 @@ def normalise(
     scaled = (F.col("value") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
     norm = F.when(F.col("_min") == F.col("_max"), flat).otherwise(
         F.least(F.greatest(scaled, F.lit(0.0)), F.lit(1.0)))
-    return attach(px, _limits(px, keys, low, high, integer_pixels), keys).withColumn("norm", norm).drop(
+    return attach(px, _limits(px, keys, low, high), keys).withColumn("norm", norm).drop(
         "_lo", "_hi", "_min", "_max")
 
 
-def auto_contrast(px: DataFrame, keys: Sequence[str] = IMAGE, integer_pixels: bool = True) -> DataFrame:
+def auto_contrast(px: DataFrame, keys: Sequence[str] = IMAGE) -> DataFrame:
     """Adds ``gray`` 0..255: 0.35 % saturation at each end; flat images are black."""
     scaled = (F.col("value") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
     gray = F.when(F.col("_hi") <= F.col("_lo"), 0).otherwise(
         F.floor(F.least(F.greatest(scaled, F.lit(0.0)), F.lit(1.0)) * 255)).cast("int")
-    return attach(px, _limits(px, keys, 0.0035, 0.9965, integer_pixels), keys).withColumn("gray", gray).drop(
+    return attach(px, _limits(px, keys, 0.0035, 0.9965), keys).withColumn("gray", gray).drop(
         "_lo", "_hi", "_min", "_max")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rasterlab.functions.order import levels
 from rasterlab.operators import background as bg
 from rasterlab.plans import views
 from rasterlab.plans.registry import query, rounded
@@ -32,6 +33,19 @@ def b1_global_roi(spark, sf_dir):
     return rounded(out)
 
 
+REAL = "value / (1 + sqrt(y + 1) / 7) + x / 3.0::DOUBLE"
+
+
+@query("b1_real_values", "raster", f"""
+ v AS (SELECT condition, image_set, {REAL} AS v FROM raster WHERE label = 0)
+SELECT condition, image_set, round(quantile_cont(v, 0.05), 6) AS p5_bg, round(median(v), 6) AS median_bg, round(quantile_cont(v, 0.95), 6) AS p95_bg FROM v GROUP BY ALL""")
+def b1_real_values(spark, sf_dir):
+    """Uneven light makes every pixel a value of its own; always by radix selection."""
+    px = views.raster(spark, sf_dir).withColumn("value", F.expr(REAL.replace("3.0::DOUBLE", "3.0d")))
+    found = levels(px.where("label = 0"), ["condition", "image_set"], "value", {"p5_bg": 0.05, "median_bg": 0.5, "p95_bg": 0.95}, small=False)
+    return rounded(found)
+
+
 @query("b2_global_mode", "raster", f"""{MODE}
 SELECT condition, image_set, round(lo + (bin + 0.5) * (hi - lo) / 256, 6) AS background, round(bg_std, 6) AS bg_std
 FROM peak WHERE rn = 1""")

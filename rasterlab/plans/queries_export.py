@@ -247,6 +247,33 @@ def z1_full_quantification(spark, sf_dir):
         "is_saturated", "is_dim", "background_method", "is_outlier_area", "is_outlier_A", "is_outlier_B"))
 
 
+# calibration frames of the mosaic's own shape; corrected pixels are real numbers
+CALIBRATED = """
+ frames AS (SELECT y, x, (value % 64)::DOUBLE AS d, (1000 + value % 200)::DOUBLE AS f FROM mosaic WHERE image_set < 3),
+ masters AS (SELECT y, x, median(d) AS dark, median(f) AS f FROM frames GROUP BY ALL),
+ cm AS (SELECT m.* EXCLUDE (value), greatest((value - dark) / greatest(f / (SELECT median(f) FROM masters), 0.01::DOUBLE), 0) AS value FROM markers m JOIN masters USING (y, x)),
+"""
+
+
+def calibrated(spark, sf_dir):
+    from rasterlab.operators.pixels import master_dark, master_flat
+
+    frames = views.mosaic(spark, sf_dir).where("image_set < 3")
+    dark = master_dark(frames.selectExpr("image_set AS frame_no", "y", "x", "value % 64 AS value"))
+    flat = master_flat(frames.selectExpr("image_set AS frame_no", "y", "x", "1000 + value % 200 AS value"))
+    return dark, flat
+
+
+@query("z1_calibrated", "mosaic markers", CALIBRATED + Z1.replace("FROM markers m ", "FROM cm m "))
+def z1_calibrated(spark, sf_dir):
+    dark, flat = calibrated(spark, sf_dir)
+    out = analyses.quantify(views.markers(spark, sf_dir), ["A", "B"], thresholds={"max_area": 12}, dark=dark, flat=flat,
+                            background="global_roi", nuclear_markers=["A"])
+    return rounded(out.select(
+        "Condition", "ImageSet", "CellID", "Area", "A_CTCF", "B_CTCF", "B_MeanIntensity", "A_Background", "A_CTCF_sigma",
+        "is_saturated", "is_dim", "background_method", "is_outlier_area", "is_outlier_A", "is_outlier_B"))
+
+
 @query("z1_auto_background")
 def z1_auto_background(spark, sf_dir):
     return rounded(analyses.quantify(views.markers(spark, sf_dir), ["A", "B"], pixel_size_um=0.5))
