@@ -25,7 +25,10 @@ from rasterlab.llm.common import small_batches
 _PLAIN = re.compile("[\\x21-\\x7E\\u00C0-\\u00D6\\u00D8-\\u00F6\\u00F8-\\u00FF]+")
 #: Pre-tokens of the vocabulary file (fixed by it), for such chunks in lower case.
 _PRETOKEN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\\u00DF-\\u00F6\\u00F8-\\u00FF]+|[0-9]|[^a-z0-9\\u00DF-\\u00F6\\u00F8-\\u00FF]+")
-_CACHED = 1_000_000
+#: Bytes that the tables of a worker may take, and what an entry takes beside its own bytes.
+_CACHED, _ENTRY = 128_000_000, 120
+#: Shorter chunks and pre-tokens are met most often.
+_SHORT = 8
 
 _LOADED: dict = {}
 
@@ -34,7 +37,7 @@ class WordTokenizer:
     """A tokenizer that never joins characters across white space, with its results by chunk.
 
     ``encode`` gives the same ids as the tokenizer itself, as little-endian unsigned 32-bit
-    numbers. The two tables only save time and start anew when they are full.
+    numbers. The two tables only save time; when they are full all but short entries go.
     """
 
     def __init__(self, path: str):
@@ -43,8 +46,26 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the tables; a worker that waits for its next task holds the vocabulary alone."""
         self.chunks: dict[bytes, bytes] = {}
         self.pretokens: dict[str, bytes] = {}
+        self.size = 0
+
+    def _make_room(self, bytes_: int) -> None:
+        if self.size + bytes_ <= _CACHED:
+            return
+        chunks, pretokens = self.chunks, self.pretokens
+        self.forget()
+        for mine, old in ((self.chunks, chunks), (self.pretokens, pretokens)):
+            for k, v in old.items():
+                if len(k) <= _SHORT:
+                    mine[k] = v
+                    self.size += len(k) + len(v) + _ENTRY
+            if 2 * self.size > _CACHED:
+                self.forget()
 
     @staticmethod
     def load(path: str) -> WordTokenizer:
@@ -65,12 +86,10 @@ class WordTokenizer:
                 self.pretokens.update(zip(part, (x.tobytes() for x in np.split(ids, cuts))))
             else:
                 self.pretokens.update((p, self._ids(p)) for p in part)
+            self.size += sum(len(p) + len(self.pretokens[p]) + _ENTRY for p in part)
 
     def _learn(self, chunks: set[bytes]) -> None:
-        if len(self.chunks) + len(chunks) > _CACHED:
-            self.chunks = {}
-        if len(self.pretokens) > _CACHED:
-            self.pretokens = {}
+        self._make_room(sum(map(len, chunks)) * 2 + _ENTRY * len(chunks))
         cut = {}
         for chunk in chunks:
             t = chunk.decode("utf-8", "surrogatepass")
@@ -82,6 +101,7 @@ class WordTokenizer:
         self._learn_pretokens(list({p for ps in cut.values() for p in ps if p not in known}))
         known = self.pretokens
         self.chunks.update((c, b"".join([known[p] for p in ps])) for c, ps in cut.items())
+        self.size += sum(len(c) + len(self.chunks[c]) + _ENTRY for c in chunks)
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of each text; no more than a few megabytes of text are split at once."""
@@ -179,6 +199,12 @@ def pack(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = WordTokenizer.load(tokenizer)
+        try:
+            yield from packed(batches, coder)
+        finally:  # the worker outlives the task
+            coder.forget()
+
+    def packed(batches: Iterator[pa.RecordBatch], coder: WordTokenizer) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], "<u4").tobytes()
         sequence = (TaskContext.get().partitionId()) << 33
         waiting: list[tuple] = []  # pieces: key, start, length, ids, doc_tokens, loss
