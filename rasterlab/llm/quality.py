@@ -51,10 +51,14 @@ def _repeated_words(hashes: Column, width: int) -> Column:
     return F.when(n <= width, F.lit(0).cast("long")).otherwise(counted)
 
 
-def _ngrams(hashes: Column, buckets: int) -> Column:
-    """Buckets of all words and of all pairs of neighbours (the last word with the text's end)."""
+def _parts(hashes: Column, buckets: int) -> tuple[Column, Column]:
+    """Buckets of all words, and of all pairs of neighbours (the last word with the text's end)."""
     pairs = F.zip_with(hashes, F.slice(hashes, 2, F.size(hashes)), lambda a, b: F.pmod(F.xxhash64(a, b, F.lit(2)), F.lit(buckets)))
-    return F.concat(F.transform(hashes, lambda a: F.pmod(a, F.lit(buckets))), pairs)
+    return F.transform(hashes, lambda a: F.pmod(a, F.lit(buckets))), pairs
+
+
+def _ngrams(hashes: Column, buckets: int) -> Column:
+    return F.concat(*_parts(hashes, buckets))
 
 
 def _hashes(text: Column) -> Column:
@@ -86,8 +90,8 @@ def _ngrams_of(text: Column, buckets: int) -> Column:
 
 
 def _mean_ratio(hashes: Column, ratios: Column, buckets: int) -> Column:
-    grams = _ngrams(hashes, buckets)
-    total = F.aggregate(grams, F.lit(0.0), lambda s, b: s + F.get(ratios, b.cast("int")))
+    """Words and pairs are summed one after the other, so that no array holds both."""
+    total = sum(F.aggregate(part, F.lit(0.0), lambda s, b: s + F.get(ratios, b.cast("int"))) for part in _parts(hashes, buckets))
     return F.when(F.size(hashes) > 0, total / (2 * F.size(hashes)))
 
 
@@ -158,30 +162,20 @@ def judge_quality(
     ratios = cut_lineage(log_ratios(docs, fit, text, doc_id, buckets))
     value = F.col("_text")
     filled = F.coalesce(value, F.lit(""))
-    judged = let(
-        words(value),
-        lambda w: let(
-            F.transform(w, lambda x: F.xxhash64(x)),
-            lambda h: F.struct(
-                F.size(h).cast("long").alias("n_words"),
-                _repeated_words(h, width).alias("n_repeat_words"),
-                _mean_ratio(h, F.col("_ratios"), buckets).alias("score"),
-            ),
-        ),
-    )
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent)
     # the table of ratios is one value of the plan: the optimizer puts it where _ratios is used
     scored = cut_lineage(
         docs.select(packed(docs), F.col(text).alias("_text"), ratios.scalar().alias("_ratios"))
-        .select("_row", "_text", judged.alias("_judged"))
+        # hashes become a column: eight bytes a word while the rest is worked out, and no words
+        .select("_row", "_text", "_ratios", _hashes(value).alias("_h"))
         .select(
             "_row",
-            F.col("_judged.n_words").alias("n_words"),
+            F.size("_h").cast("long").alias("n_words"),
             (F.length(filled).cast("long") - _bytes_of(filled, SPACES)).alias("word_chars"),
             _bytes_of(filled, SYMBOLS).alias("n_symbols"),
             _duplicate_lines(filled).alias("n_dup_lines"),
-            F.col("_judged.n_repeat_words").alias("n_repeat_words"),
-            F.col("_judged.score").alias("score"),
+            _repeated_words(F.col("_h"), width).alias("n_repeat_words"),
+            _mean_ratio(F.col("_h"), F.col("_ratios"), buckets).alias("score"),
         )
         .withColumn("base_failed", failed)
     )
