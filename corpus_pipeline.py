@@ -19,39 +19,71 @@ from rasterlab.session import cut_lineage
 ORACLE_SQL = None
 
 
-def _with_text(docs: DataFrame, text: str, columns: list[str]) -> DataFrame:
-    """The columns of documents with another text, and n_chars counted anew."""
-    new = {"text": F.col(text), "n_chars": F.length(text).cast("long")}
-    return docs.select(*[new[c].alias(c) if c in new else F.col(c) for c in columns])
+def _narrow(docs: DataFrame) -> DataFrame:
+    """doc_id and text, and all other columns as one, which no helper column of an operator can clash with."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), F.struct(*rest).alias("of")).alias("rest") if rest else F.lit(0).alias("rest"))
+
+
+def _wide(kept: DataFrame, columns: list[str], text: str = "text") -> DataFrame:
+    """The columns of documents again; with another text, ``n_chars`` is counted anew."""
+    new = {"doc_id": F.col("doc_id"), "text": F.col(text)}
+    if text != "text":
+        new["n_chars"] = F.length(F.col(text)).cast("long")
+    return kept.select(*[(new[c] if c in new else F.col("rest.of")[c]).alias(c) for c in columns])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that neither the rules nor the likelihood ratio reject."""
-    judged = quality.judge_quality(docs, table(spark, sf_dir, "labels"))
-    return judged.where("kept").select(*docs.columns)
+    """Keeps documents that neither the rules nor the likelihood ratio reject.
+
+    Null and empty texts have no words and go. Every row is judged by itself: repeated rows stay
+    or go together, a null id only has no label, and a score equal to the threshold stays. An
+    empty table stays empty. Other columns, whatever their names, come through unchanged.
+    """
+    judged = quality.judge_quality(_narrow(docs), table(spark, sf_dir, "labels"))
+    return _wide(judged.where("kept"), docs.columns)
 
 
 def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines of at least three documents but for one; a document left without words goes."""
-    kept = line_dedup.drop_shared_lines(docs)
-    changed = _with_text(kept.where((F.col("n_dropped") == 0) | F.col("kept_text").rlike("[^ \\t\\n\\x0B\\f\\r]")), "kept_text", docs.columns)
-    return changed
+    """Drops lines of at least three documents but for one; a document left without words goes.
+
+    The largest doc_id keeps a line. Documents that lose nothing stay as they are, null and empty
+    texts too. Rows with one id are one document to the count of a line, rows without an id lose
+    none. Other columns come through unchanged, but for n_chars.
+    """
+    kept = line_dedup.drop_shared_lines(_narrow(docs))
+    changed = kept.where((F.col("n_dropped") == 0) | F.col("kept_text").rlike("[^ \\t\\n\\x0B\\f\\r]"))
+    whole = F.when(F.col("n_dropped") == 0, F.col("text")).otherwise(F.col("kept_text"))
+    return _wide(changed.withColumn("kept_text", whole), docs.columns, "kept_text")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near duplicates (five words, similarity 0.8)."""
-    return near_dedup.link_near_duplicates(docs, shingle=5).where("kept").select(*docs.columns)
+    """Keeps the smallest doc_id of each group of near duplicates (five words, similarity 0.8 or more).
+
+    Texts without words, null ones too, are like no other and stay; so do rows without an id. All
+    rows with the kept id stay. Other columns come through unchanged.
+    """
+    return _wide(near_dedup.link_near_duplicates(_narrow(docs), shingle=5).where("kept"), docs.columns)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes passages of test items; documents that are mostly such passages go."""
-    found = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return _with_text(found.where("not over_limit"), "clean_text", docs.columns)
+    """Removes passages of test items; documents that are mostly such passages go.
+
+    Every row is searched by itself; null and empty texts hold no passage and stay. Documents
+    without a passage keep their text to the last character. Items without words, or a benchmark
+    without items, remove nothing. Other columns come through unchanged, but for n_chars.
+    """
+    found = decontamination.decontaminate(_narrow(docs), table(spark, sf_dir, "benchmark"))
+    return _wide(found.where("not over_limit"), docs.columns, "clean_text")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of 2048 tokens."""
-    return packing.pack(docs, tokenizer_path())
+    """Packs what is left into sequences of 2048 tokens, a row for each piece of a document.
+
+    A null or empty text is its end id alone. Every row is packed by itself, repeated ones too; ties
+    go to the piece read first. An empty table gives no pieces. Other columns are not read.
+    """
+    return packing.pack(docs.select("doc_id", "text"), tokenizer_path())
 
 
 STAGES = [
