@@ -15,10 +15,12 @@ from rasterlab.functions.grouped import stream_groups
 from rasterlab.operators.components import components
 from rasterlab.operators.spatial import image_size
 from rasterlab.operators.tables import labels_at, relabel_sequential
-from rasterlab.operators.tiling import core_only, four_neighbours, tiles
+from rasterlab.operators.tiling import TILE, core_only, four_neighbours, tiles
 from rasterlab.schema import IMAGE
+from rasterlab.session import cut_lineage
 
 UNDO_DEPTH = 20
+_NOBODY = 1 << 62
 _SIDES = ("left", "right", "up", "down")
 _CROSS = ((0, 0), (0, 1), (0, -1), (1, 0), (-1, 0))
 
@@ -172,12 +174,11 @@ def fill_holes(px: DataFrame, keys: Sequence[str] = IMAGE, max_hole_size: int |
 
 
 def dilate(
-    px: DataFrame, keys: Sequence[str] = IMAGE, iterations: int = 1, only: DataFrame | None = None
+    px: DataFrame, keys: Sequence[str] = IMAGE, iterations: int = 1, only: DataFrame | None = None, tile: int = TILE
 ) -> DataFrame:
     """Grows cells into background, smallest label first, each finishing its steps before the next.
 
-    One step needs only the four neighbours.  More steps depend on the order of the cells, but
-    only among cells whose reach connects, so each such cluster is one group.
+    One step needs only the four neighbours; for more see :func:`_settled`.
     """
     keys = list(keys)
     source = F.col("label")
@@ -193,33 +194,59 @@ def dilate(
         near = F.least(*[F.when(F.col(f"_n_{s}") > 0, F.col(f"_n_{s}")) for s in _SIDES])
         return _with_label(t, F.when(source == 0, F.coalesce(near, F.lit(0))).otherwise(source), px_cols)
 
-    t = px.withColumn("_reach", F.when(F.col("_grow"), 1).otherwise(0))
-    t = tiles(t, keys, halo=iterations)
-    for _ in range(iterations):
-        t = four_neighbours(t, keys, "_reach")
-        t = t.withColumn("_reach", F.greatest("_reach", *[f"_n_{s}" for s in _SIDES])).drop(*[f"_n_{s}" for s in _SIDES])
-    t = core_only(t)
-    parts = components(t.where("_reach > 0").select(*keys, "y", "x", "label", "_grow"), keys)
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        y, x = (pdf.y - pdf.y.min() + 1).to_numpy(), (pdf.x - pdf.x.min() + 1).to_numpy()
-        mask = np.full((y.max() + 2, x.max() + 2), -1, dtype=np.int64)  # -1 outside the reach
-        mask[y, x] = pdf.label.to_numpy()
-        for label in np.unique(pdf.label[pdf._grow]):
-            ys, xs = y[pdf.label == label], x[pdf.label == label]
-            for _ in range(iterations):
-                ny = np.concatenate([ys + dy for dy, _ in _CROSS[1:]])
-                nx = np.concatenate([xs + dx for _, dx in _CROSS[1:]])
-                free = mask[ny, nx] == 0
-                ys, xs = ny[free], nx[free]
-                mask[ys, xs] = label
-        return pdf[[*keys, "y", "x"]].assign(_new=mask[y, x])
-
-    schema = T.StructType([parts.schema[c] for c in (*keys, "y", "x")] + [T.StructField("_new", T.LongType())])
-    grown = stream_groups(parts, [*keys, "component"], kernel, schema)
+    # owner and steps as one number, so that the least number is the smallest label, then the nearest
+    start = F.when(F.col("_grow"), source.cast("bigint") * (iterations + 1)).otherwise(_NOBODY)
+    state = px.select(*keys, "y", "x", (source == 0).alias("_free"), start.alias("_value"))
+    owned = _settled(state, keys, iterations, tile)
+    grown = owned.where(F.col("_free") & (F.col("_value") < _NOBODY)).select(
+        *keys, "y", "x", F.floor(F.col("_value") / (iterations + 1)).alias("_new"))
     return _with_label(px.join(grown, [*keys, "y", "x"], "left"), F.coalesce("_new", "label"), px_cols)
 
 
+def _settled(state: DataFrame, keys: Sequence[str], steps: int, tile: int = TILE) -> DataFrame:
+    """Owners of free pixels: rows (keys, y, x, _free, _value), ``_value`` = label * (steps + 1) + steps taken.
+
+    A free pixel belongs to the smallest label that a neighbour passes on, which it does if it has
+    taken fewer than ``steps`` steps itself. These rules have one solution, the one of growing the
+    labels in order: the smallest label's pixels depend on no other, and so on. Rounds solve the
+    rules in every tile and its halo, with the rim of the halo as the round before has left it, and
+    end when no pixel changes. A round settles all chains of labels shorter than the halo, so few
+    rounds do, however many cells touch; a task holds one tile.
+    """
+    keys, group, halo = list(keys), [*keys, "_ty", "_tx"], 2 * steps
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        y0, x0 = int(pdf._ty.iat[0]) * tile - halo, int(pdf._tx.iat[0]) * tile - halo
+        y, x = pdf.y.to_numpy() - y0 + 1, pdf.x.to_numpy() - x0 + 1
+        size = tile + 2 * halo
+        value = np.full((size + 2, size + 2), _NOBODY, dtype=np.int64)
+        value[y, x] = pdf._value.to_numpy()
+        free = np.zeros(value.shape, dtype=bool)
+        free[y, x] = pdf._free.to_numpy()
+        rim = np.ones(value.shape, dtype=bool)
+        rim[2:-2, 2:-2] = False
+        open_ = free & ~rim
+        while True:
+            passed = np.where((value < _NOBODY) & (value % (steps + 1) < steps), value + 1, _NOBODY)
+            best = np.minimum(np.minimum(passed[:-2, 1:-1], passed[2:, 1:-1]), np.minimum(passed[1:-1, :-2], passed[1:-1, 2:]))
+            after = value.copy()
+            after[1:-1, 1:-1] = np.where(open_[1:-1, 1:-1], best, value[1:-1, 1:-1])
+            if (after == value).all():
+                break
+            value = after
+        core = pdf[pdf._core.to_numpy()]
+        new = value[core.y.to_numpy() - y0 + 1, core.x.to_numpy() - x0 + 1]
+        return core[[*keys, "y", "x", "_free"]].assign(_value=new, _before=core._value)
+
+    fields = [state.schema[c] for c in (*keys, "y", "x", "_free")]
+    schema = T.StructType([*fields, T.StructField("_value", T.LongType()), T.StructField("_before", T.LongType())])
+    while True:
+        after = cut_lineage(stream_groups(tiles(state, keys, halo, tile), group, solve, schema))
+        state = after.drop("_before")
+        if after.where("_value <> _before").isEmpty():
+            return state
+
+
 def erode(
     px: DataFrame, keys: Sequence[str] = IMAGE, iterations: int = 1, only: DataFrame | None = None
 ) -> DataFrame:

@@ -138,7 +138,19 @@ def m8_dilate_once(spark, sf_dir):
     return m.dilate(mosaic(spark, sf_dir)).select(*PLACE)
 
 
-@query("m8_dilate_more")
+# owner * 4 + steps, recomputed everywhere from the neighbours until it stays (40 sweeps are plenty)
+SWEEPS = """
+ s(sweep, image_set, y, x, label, v) AS (
+   SELECT 0, image_set, y, x, label, CASE WHEN label > 0 THEN label * 4 ELSE 1000000000 END FROM mosaic
+   UNION ALL
+   SELECT sweep + 1, image_set, y, x, label,
+          CASE WHEN label > 0 THEN v ELSE least(coalesce(lag(p) OVER r, 1000000000), coalesce(lead(p) OVER r, 1000000000), coalesce(lag(p) OVER c, 1000000000), coalesce(lead(p) OVER c, 1000000000)) END
+   FROM (SELECT *, CASE WHEN v < 1000000000 AND v % 4 < 3 THEN v + 1 ELSE 1000000000 END AS p FROM s) WHERE sweep < 40
+   WINDOW r AS (PARTITION BY image_set, y ORDER BY x), c AS (PARTITION BY image_set, x ORDER BY y))"""
+
+
+@query("m8_dilate_more", "mosaic", f"""{SWEEPS}
+SELECT m.condition, image_set, y, x, CAST(CASE WHEN v < 1000000000 THEN v // 4 ELSE 0 END AS INT) AS label FROM s JOIN mosaic m USING (image_set, y, x) WHERE sweep = 40""")
 def m8_dilate_more(spark, sf_dir):
     return m.dilate(mosaic(spark, sf_dir), iterations=3).select(*PLACE)
 

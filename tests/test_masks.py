@@ -53,6 +53,48 @@ def test_dilation_in_label_order(spark, steps):
     assert np.array_equal(grid(m.dilate(pixels(spark, mask), iterations=steps)), want)
 
 
+def in_order(mask, steps, only=None):
+    """Cells grown one after the other."""
+    want = mask.copy()
+    for k in np.unique(mask[mask > 0]) if only is None else only:
+        cell = mask == k
+        for _ in range(steps):
+            pad = np.pad(cell, 1)
+            grown = pad[:-2, 1:-1] | pad[2:, 1:-1] | pad[1:-1, :-2] | pad[1:-1, 2:]
+            cell = grown & (want == 0)
+            want[cell] = k
+    return want
+
+
+@pytest.mark.parametrize("case", ["crowded", "chain", "spiral"])
+def test_dilation_across_tiles(spark, case):
+    """Confluent cells, a chain of labels that each take the way of the next, and one long way round."""
+    rng = np.random.default_rng(5)
+    mask = np.zeros((50, 60), dtype=int)
+    if case == "crowded":
+        at = rng.permutation(50 * 60)[:500]
+        mask.ravel()[at] = rng.permutation(500) + 1
+        steps = 4
+    elif case == "chain":
+        mask[1, 2::3] = np.arange(1, 21)  # one row; rows above and below are closed but for gaps
+        mask[0], mask[2] = 99, 98
+        steps = 2
+    else:
+        mask[::2] = 50
+        mask[0::4, -1] = mask[2::4, 0] = 0
+        mask[1, 0] = 3
+        steps = 150
+    got = grid(m.dilate(pixels(spark, mask), iterations=steps, tile=16))
+    assert np.array_equal(got, in_order(mask, steps))
+
+
+def test_dilation_of_some_cells_in_steps(spark):
+    mask = blobs(np.random.default_rng(8), n=9)
+    ids = spark.createDataFrame(pd.DataFrame({"condition": "c", "image_set": [0, 0], "label": [5, 2]}))
+    got = grid(m.dilate(pixels(spark, mask), iterations=3, only=ids, tile=16))
+    assert np.array_equal(got, in_order(mask, 3, only=[2, 5]))
+
+
 def test_subset_edits_leave_other_cells(spark):
     mask = blobs(np.random.default_rng(8), n=6)
     ids = spark.createDataFrame(pd.DataFrame({"condition": "c", "image_set": [0], "label": [2]}))
