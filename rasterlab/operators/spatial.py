@@ -14,7 +14,7 @@ from rasterlab.functions.joins import attach
 from rasterlab.operators.tiling import core_only, four_neighbours, tiles
 from rasterlab.schema import IMAGE
 
-_ROW_BLOCK = 16
+_ROW_BLOCK = 32
 
 
 def extended(df: DataFrame, *fields: T.StructField, drop: Sequence[str] = ()) -> T.StructType:
@@ -37,30 +37,66 @@ def outline(px: DataFrame, keys: Sequence[str] = IMAGE, thick: bool = False) ->
     return core_only(t)
 
 
+def lower_envelope(g: np.ndarray, owner: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place of each row the least ``(x - i)^2 + g[i]`` over the known i, and its owner.
+
+    Every known i is a parabola. Of two, the right one wins from some whole x on and for good (equal
+    values go to the smaller owner), so a stack per row holds the winners with the x from which each
+    wins. All rows take a step to the right together; each place is pushed and popped at most once,
+    which makes the work linear in the width. Unknown rows give -1 twice.
+    """
+    rows, width = g.shape
+    every = np.arange(rows)
+    place = np.zeros((rows, width), dtype=np.int64)  # stacks of parabolas ...
+    start = np.full((rows, width), width, dtype=np.int64)  # ... and where they begin to win
+    size = np.zeros(rows, dtype=np.int64)
+    for q in range(width):
+        new = every[known[:, q]]
+        begin = np.zeros(rows, dtype=np.int64)
+        look = new[size[new] > 0]
+        while len(look):
+            top = size[look] - 1
+            i = place[look, top]
+            c = g[look, q] + q * q - g[look, i] - i * i
+            half = 2 * (q - i)
+            wins_ties = owner[look, q] < owner[look, i]
+            from_ = np.where(wins_ties, -(-c // half), c // half + 1)
+            begin[look] = np.maximum(from_, 0)
+            beaten = from_ <= start[look, top]
+            look = look[beaten]
+            size[look] -= 1
+            begin[look] = 0
+            look = look[size[look] > 0]
+        new = new[begin[new] < width]
+        place[new, size[new]], start[new, size[new]] = q, begin[new]
+        size[new] += 1
+    start[np.arange(width)[None] >= size[:, None]] = width
+    # one sorted list of starts for all rows
+    step = width + 1
+    starts = (start + every[:, None] * step).ravel()
+    x = np.arange(width)
+    at = np.searchsorted(starts, (x[None] + every[:, None] * step).ravel(), side="right") - 1
+    found = np.repeat(size > 0, width)
+    i = place.ravel()[np.where(found, at, 0)].reshape(rows, width)
+    found = found.reshape(rows, width)
+    best = (x[None] - i) ** 2 + g[every[:, None], i]
+    return np.where(found, best, -1), np.where(found, owner[every[:, None], i], -1)
+
+
 def _nearest_in_rows(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Row pass of the exact distance transform: widen the search until no pixel can improve."""
+    """Row pass of the exact distance transform for a block of rows."""
     y0, x0 = pdf.y.min(), pdf.x.min()
     shape = (pdf.y.max() - y0 + 1, pdf.x.max() - x0 + 1)
-    far = np.iinfo(np.int64).max // 4
-    column = np.full(shape, far, dtype=np.int64)
-    owner = np.full(shape, np.iinfo(np.int64).max, dtype=np.int64)
-    at = (pdf.y.to_numpy() - y0, pdf.x.to_numpy() - x0)
-    known = pdf._g.notna().to_numpy()
-    column[at[0][known], at[1][known]] = pdf._g.to_numpy()[known]
-    owner[at[0][known], at[1][known]] = pdf._l.to_numpy()[known]
-    best, who = column.copy(), owner.copy()
-    k = 1
-    while k < shape[1] and k * k <= best[at].max():
-        for here, there in ((np.s_[:, :-k], np.s_[:, k:]), (np.s_[:, k:], np.s_[:, :-k])):
-            d, o = column[there] + k * k, owner[there]
-            better = (d < best[here]) | ((d == best[here]) & (o < who[here]))
-            best[here] = np.where(better, d, best[here])
-            who[here] = np.where(better, o, who[here])
-        k += 1
-    d2, nearest = best[at], who[at]
-    found = d2 < far
+    column, owner, known = np.zeros(shape, np.int64), np.zeros(shape, np.int64), np.zeros(shape, bool)
+    y, x = pdf.y.to_numpy() - y0, pdf.x.to_numpy() - x0
+    have = pdf._g.notna().to_numpy()
+    known[y[have], x[have]] = True
+    column[y[have], x[have]] = pdf._g.to_numpy()[have]
+    owner[y[have], x[have]] = pdf._l.to_numpy()[have]
+    best, who = lower_envelope(column, owner, known)
+    d2, nearest = best[y, x], who[y, x]
     return pdf.drop(columns=["_g", "_l", "_yb"]).assign(
-        d2=pd.arrays.IntegerArray(d2, ~found), nearest=pd.arrays.IntegerArray(nearest, ~found)
+        d2=pd.arrays.IntegerArray(d2, d2 < 0), nearest=pd.arrays.IntegerArray(nearest, d2 < 0)
     )
 
 
@@ -68,8 +104,8 @@ def nearest_label(px: DataFrame, keys: Sequence[str] = IMAGE) -> DataFrame:
     """Squared distance ``d2`` to the closest cell pixel and its label ``nearest``.
 
     The separable exact distance transform: a running scan down and up each image column,
-    then a widening search along rows.  Work per partition is bounded by one column or a
-    block of rows, no candidate pairs are formed, and no distance limit is set.  Equal
+    then the lower envelope of parabolas along each row.  Work is linear in the pixels and a
+    group is one column or a block of rows; no candidate pairs are formed, and no distance limit is set.  Equal
     distances go to the smallest label; images without cells get NULL.
     """
     keys = list(keys)
