@@ -20,16 +20,17 @@ ORACLE_SQL = None
 
 
 def _narrow(docs: DataFrame) -> DataFrame:
-    """doc_id and text, and all other columns as one, which no helper column of an operator can clash with."""
+    """doc_id and text, and the rest as one column, which no helper column of an operator can clash with."""
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
-    return docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), F.struct(*rest).alias("of")).alias("rest") if rest else F.lit(0).alias("rest"))
+    return docs.select("doc_id", "text", F.struct(F.col("text").isNull().alias("no_text"), *([F.struct(*rest).alias("of")] if rest else [])).alias("rest"))
 
 
 def _wide(kept: DataFrame, columns: list[str], text: str = "text") -> DataFrame:
-    """The columns of documents again; with another text, ``n_chars`` is counted anew."""
+    """The columns of documents again; with another text, ``n_chars`` is counted anew and null stays null."""
     new = {"doc_id": F.col("doc_id"), "text": F.col(text)}
     if text != "text":
-        new["n_chars"] = F.length(F.col(text)).cast("long")
+        new["text"] = F.when(~F.col("rest.no_text"), F.col(text))
+        new["n_chars"] = F.length(new["text"]).cast("long")
     return kept.select(*[(new[c] if c in new else F.col("rest.of")[c]).alias(c) for c in columns])
 
 
@@ -53,8 +54,7 @@ def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """
     kept = line_dedup.drop_shared_lines(_narrow(docs))
     changed = kept.where((F.col("n_dropped") == 0) | F.col("kept_text").rlike("[^ \\t\\n\\x0B\\f\\r]"))
-    whole = F.when(F.col("n_dropped") == 0, F.col("text")).otherwise(F.col("kept_text"))
-    return _wide(changed.withColumn("kept_text", whole), docs.columns, "kept_text")
+    return _wide(changed, docs.columns, "kept_text")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
