@@ -108,20 +108,20 @@ def add_cells(px: DataFrame, polygons: DataFrame, keys: Sequence[str] = IMAGE) -
 
 
 def grow_from_seeds(
-    px: DataFrame, seeds: DataFrame, keys: Sequence[str] = IMAGE, tolerance: float = 0.3
+    px: DataFrame, seeds: DataFrame, keys: Sequence[str] = IMAGE, tolerance: float = 0.3, tile: int = TILE
 ) -> DataFrame:
     """Grows a new cell from each background seed (keys, seq, y, x) through similar intensities.
 
     The region is the 4-connected set around the seed whose values differ from it by at most
-    ``tolerance`` times its value; only background pixels of it are written.
+    ``tolerance`` times its value; only background pixels of it are written, and where regions
+    meet the smallest seq writes.
+
+    Regions flood tile by tile (see :func:`_flooded`): a pixel meets only the seeds that reach its tile.
     """
     keys = list(keys)
-    start = seeds.join(px, [*keys, "y", "x"]).where("label = 0").select(
-        *keys, "seq", F.col("value").alias("_v0"), F.col("y").alias("_sy"), F.col("x").alias("_sx"))
-    close = px.join(start, keys).where(F.abs(F.col("value") - F.col("_v0")) <= F.col("_v0") * tolerance)
-    parts = components(close.select(*keys, "seq", "y", "x", "label", "_sy", "_sx"), [*keys, "seq"])
-    own = parts.where("y = _sy and x = _sx").select(*keys, "seq", "component")
-    region = parts.join(own, [*keys, "seq", "component"], "left_semi").where("label = 0")
+    start = seeds.select(*keys, "seq", "y", "x").join(px, [*keys, "y", "x"]).where("label = 0").select(
+        *keys, "seq", F.col("value").cast("double").alias("_v0"), "y", "x")
+    region = _flooded(px.select(*keys, "y", "x", "label", F.col("value").cast("double").alias("value")), start, keys, tolerance, tile)
     # a seed that writes nothing takes no label, so labels count the seeds that do
     first = region.groupBy(*keys, "y", "x").agg(F.min("seq").alias("seq"))
     order = Window.partitionBy(*keys).orderBy("seq")
@@ -131,6 +131,85 @@ def grow_from_seeds(
     return _with_label(px.join(written, [*keys, "y", "x"], "left"), F.coalesce("_new", "label"), px.columns)
 
 
+def _flooded(px: DataFrame, start: DataFrame, keys: Sequence[str], tolerance: float, tile: int) -> DataFrame:
+    """Background pixels that seeds (keys, seq, _v0, y, x) reach, with the smallest seq of a round and tile.
+
+    A round floods every tile that a front has entered, each seed by itself, and writes three kinds of
+    rows: background pixels reached, reached pixels on the tile's rim, and the places beyond the rim
+    where the seed goes on. Places already reached are dropped, so a region is flooded once in each
+    tile it connects in, and the rounds end when no front crosses a seam. A task holds a tile and
+    the fronts that enter it.
+    """
+    keys = list(keys)
+    group = [*keys, "_ty", "_tx"]
+    pixel, beyond, rim = 0, 1, 2
+    schema = T.StructType([
+        *[px.schema[k] for k in keys], start.schema["seq"], T.StructField("_v0", T.DoubleType()),
+        T.StructField("y", T.LongType()), T.StructField("x", T.LongType()), T.StructField("_kind", T.IntegerType()),
+    ])
+
+    def at_tile(df: DataFrame) -> DataFrame:
+        return df.withColumns({"_ty": F.floor(F.col("y") / tile).cast("int"), "_tx": F.floor(F.col("x") / tile).cast("int")})
+
+    def flood(fronts: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        if len(own) and len(fronts):
+            y0, x0 = int(own._ty.iat[0]) * tile - 1, int(own._tx.iat[0]) * tile - 1
+            value, label = np.full((tile + 2, tile + 2), np.nan), np.ones((tile + 2, tile + 2), dtype=np.int64)
+            y, x = own.y.to_numpy() - y0, own.x.to_numpy() - x0
+            value[y, x], label[y, x] = own.value.to_numpy(dtype=float), own.label.to_numpy()
+            writer = np.full(label.shape, -1)
+            groups = list(fronts.sort_values("seq").groupby("seq", sort=True))
+            for number, (seq, mine) in enumerate(groups):
+                v0 = float(mine._v0.iat[0])
+                open_ = np.abs(value - v0) <= v0 * tolerance
+                ys, xs = mine.y.to_numpy() - y0, mine.x.to_numpy() - x0
+                reached = np.zeros(open_.shape, dtype=bool)
+                while len(ys):
+                    new = open_[ys, xs] & ~reached[ys, xs]
+                    ys, xs = ys[new], xs[new]
+                    reached[ys, xs] = True
+                    place = np.unique(np.concatenate([(ys + dy) * (tile + 2) + xs + dx for dy, dx in _CROSS[1:]])) if len(ys) else ys
+                    ys, xs = place // (tile + 2), place % (tile + 2)
+                writer[reached & (label == 0) & (writer < 0)] = number
+                edge = np.zeros_like(reached)
+                edge[1], edge[-2], edge[:, 1], edge[:, -2] = True, True, True, True
+                out = np.zeros_like(reached)
+                out[0], out[-1], out[:, 0], out[:, -1] = reached[1], reached[-2], reached[:, 1], reached[:, -2]
+                for kind, mask in ((rim, reached & edge), (beyond, out)):
+                    ys2, xs2 = np.nonzero(mask)
+                    parts.append(pd.DataFrame({"seq": seq, "_v0": v0, "y": ys2 + y0, "x": xs2 + x0, "_kind": kind}))
+            ys2, xs2 = np.nonzero(writer >= 0)
+            order = np.array([seq for seq, _ in groups])
+            parts.append(pd.DataFrame({"seq": order[writer[ys2, xs2]], "_v0": 0.0, "y": ys2 + y0, "x": xs2 + x0, "_kind": pixel}))
+        if not parts:
+            return pd.DataFrame({f.name: pd.Series(dtype=object) for f in schema})
+        found = pd.concat(parts, ignore_index=True)
+        for k in keys:
+            found[k] = own[k].iat[0]
+        return found[schema.fieldNames()]
+
+    tiled = at_tile(px)
+    front, rounds = cut_lineage(start.dropDuplicates([*keys, "seq", "y", "x"])), []
+    while not front.isEmpty():
+        entered = at_tile(front)
+        mine = tiled.join(entered.select(*group).distinct(), group, "left_semi")
+        after = cut_lineage(entered.groupBy(*group).cogroup(mine.groupBy(*group)).applyInPandas(flood, schema=schema))
+        rounds.append(after)
+        known = [r.where(F.col("_kind") == rim).select(*keys, "seq", "y", "x") for r in rounds]
+        reached = known[0]
+        for more in known[1:]:
+            reached = reached.unionByName(more)
+        front = cut_lineage(
+            after.where(F.col("_kind") == beyond).select(*keys, "seq", "_v0", "y", "x").distinct().join(reached, [*keys, "seq", "y", "x"], "left_anti"))
+    if not rounds:
+        return start.limit(0).select(*keys, "seq", "y", "x")
+    every = rounds[0]
+    for more in rounds[1:]:
+        every = every.unionByName(more)
+    return every.where(F.col("_kind") == pixel).select(*keys, "seq", "y", "x")
+
+
 def clean_small_objects(px: DataFrame, keys: Sequence[str] = IMAGE, min_size: int = 50) -> DataFrame:
     """Drops connected groups of cell pixels (touching cells count together) below a size, then relabels."""
     keys = list(keys)

@@ -156,3 +156,26 @@ def test_split_keeps_one_test_pair(spark):
     log = spark.createDataFrame(pd.DataFrame({"condition": "c", "image_set": range(3), "seq": range(3), "action": "upsert"}))
     out = m.train_test_split(m.training_manifest(log)).toPandas()
     assert len(out) == 3 and out.is_test.sum() == 1
+
+
+def test_seeds_across_tiles(spark):
+    """Regions that wind through many tiles and meet; the smallest seq writes, numbers follow the writers."""
+    rng = np.random.default_rng(21)
+    img = np.full((40, 50), 100)
+    img[rng.random(img.shape) < 0.35] = 500
+    img[::8, :-1] = 500
+    img[4::8, 1:] = 500
+    mask = np.zeros(img.shape, dtype=int)
+    mask[10:14, 10:14] = 4
+    free = np.argwhere(mask == 0)
+    seeds = [(7 + 3 * k, *map(int, free[i])) for k, i in enumerate(rng.permutation(len(free))[:25])]
+    want, top = mask.copy(), 4
+    for _, y, x in sorted(seeds):
+        parts = flood(np.abs(img - img[y, x]) <= img[y, x] * 0.3)
+        mine = (parts == parts[y, x]) & (mask == 0) & (want == 0)
+        if mine.any():
+            top += 1
+            want[mine] = top
+    sd = spark.createDataFrame([("c", 0, *s) for s in seeds], "condition string, image_set long, seq long, y int, x int")
+    assert np.array_equal(grid(m.grow_from_seeds(pixels(spark, mask, img), sd, tile=16)), want)
+    assert np.array_equal(grid(m.grow_from_seeds(pixels(spark, mask, img), sd.limit(0), tile=16)), mask)
