@@ -62,6 +62,19 @@ def _base_spans(text: Column) -> Column:
     return F.concat(*found)
 
 
+def _masked(text: Column, spans: Column) -> Column:
+    """The text with spaces in place of the spans, so that all other places stay where they are."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def add(s: Column, x: Column) -> Column:
+        begin = F.greatest(s["at"], x["start"])
+        out = F.concat(s["out"], F.substring(text, s["at"] + 1, begin - s["at"]), F.repeat(F.lit(" "), x["end"] - begin))
+        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), out.alias("out"))
+
+    rest = lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text)))
+    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(F.sort_array(spans), start, add, rest))
+
+
 def _transitions(s: Column) -> Column:
     """Codes of neighbouring characters, from the string's start on; other than ASCII is code 127."""
     codes = F.transform(F.split(s, ""), lambda c: F.least(F.ascii(c), F.lit(_CODES - 1)))
@@ -76,18 +89,19 @@ def train_markov(docs: DataFrame, text: str, doc_id: str, sample_docs: int) -> D
     """One row with an array of log ratios of transition probabilities, random over ordinary.
 
     Labelled samples come from at most ``sample_docs`` documents, those with the smallest id
-    hashes: what the patterns catch is random, words of letters outside of it are ordinary.
+    hashes: what the patterns catch is random, words and plain numbers outside of it are ordinary.
     """
     # ids may repeat or be null; the hash of the id and of the text decides then
     keyed = docs.where(F.col(text).isNotNull()).select(F.xxhash64(F.col(doc_id).cast("string"), F.xxhash64(text)).alias("key"), F.col(text).alias("t"))
     chosen = cut_lineage(keyed.select("key").distinct().orderBy("key").limit(sample_docs))
-    sample = keyed.join(F.broadcast(chosen), "key", "left_semi").select("t")
+    # equal ids with equal texts count once, so that no more than sample_docs texts are read
+    sample = keyed.join(F.broadcast(chosen), "key", "left_semi").dropDuplicates(["key"]).select("t")
     spans = sample.select("t", _base_spans(F.col("t")).alias("s"))
     caught = spans.select(
         F.lit(1).alias("c"), F.explode(F.transform("s", lambda x: F.substring(F.col("t"), x["start"] + 1, x["end"] - x["start"]))).alias("w")
     ).select("c", F.regexp_extract("w", r"([A-Za-z0-9+/_=-]+)$", 1).alias("w")).where(F.length("w") >= 8)
     plain = F.regexp_replace("t", PATTERNS[0][1], " ")
-    ordinary = sample.select(F.lit(0).alias("c"), F.explode(F.regexp_extract_all(plain, F.lit(r"\b([A-Za-z][A-Za-z_-]{3,})\b"), F.lit(1))).alias("w"))
+    ordinary = sample.select(F.lit(0).alias("c"), F.explode(F.regexp_extract_all(plain, F.lit(r"\b([A-Za-z][A-Za-z_-]{3,}|[0-9][0-9/+-]*)\b"), F.lit(1))).alias("w"))
     moves = caught.unionByName(ordinary).select("c", F.explode(_transitions(F.col("w"))).alias("k"))
     counts = moves.groupBy("k").agg(F.sum("c").alias("r"), F.sum(1 - F.col("c")).alias("o"))
     every = docs.sparkSession.range(_CODES * _CODES).join(counts, F.col("id") == F.col("k"), "left")
@@ -124,15 +138,16 @@ def train_markov(docs: DataFrame, text: str, doc_id: str, sample_docs: int) -> D
 
 def find_secrets(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sample_docs: int = 20_000,
-    least_length: int = 20, least_ratio: float = 20.0,
+    least_length: int = 10, least_ratio: float = 12.0,
 ) -> DataFrame:
     """Adds ``spans`` to each document: array of (start, end, kind), by start, then kind.
 
     Kinds assign, access and hex are fixed patterns. Kind markov are maximal runs of
-    ``[A-Za-z0-9+/_=-]`` of at least ``least_length`` characters that touch no span of the others
-    and whose log-likelihood ratio between the models (natural logarithm) is at least
-    ``least_ratio``. Places are code points, the end exclusive. Both models are fitted on a
-    bounded sample, see ``train_markov``; every text is searched whole.
+    ``[A-Za-z0-9+/_=-]`` in what the others leave, ``least_length`` characters or more, whose
+    log-likelihood ratio between the models (natural logarithm) is at least ``least_ratio``. Of
+    runs so short that not every random string can reach it, the ratio decides, not the length.
+    A run beside a span of another kind is judged by what is left of it. Places are code points, the end exclusive. Both models are
+    fitted on a bounded sample, see ``train_markov``; every text is searched whole.
 
     Null and empty texts have no spans. Rows are searched one by one, so ids may repeat or be
     null. A column called ``spans`` is replaced.
@@ -141,18 +156,16 @@ def find_secrets(
     docs = docs.drop("spans")
     ratios = cut_lineage(train_markov(docs, text, doc_id, sample_docs))
     value = F.coalesce(F.col(text), F.lit(""))
-    tokens = F.when(value.rlike(token), _matches(value, token, 0, least_length, len(PATTERNS))).otherwise(F.array().cast(_SPAN))
+    found = docs.select(packed(docs), value.alias("_text"), _base_spans(value).alias("_base"))
+    found = found.select("_row", "_text", "_base", _masked(F.col("_text"), F.col("_base")).alias("_left"), ratios.scalar().alias("_ratios"))
 
     def score(span: Column) -> Column:
-        moves = _transitions(F.substring(F.col("_text"), span["start"] + 1, span["end"] - span["start"]))
+        moves = _transitions(F.substring(F.col("_left"), span["start"] + 1, span["end"] - span["start"]))
         return F.aggregate(moves, F.lit(0.0), lambda s, k: s + F.get(F.col("_ratios"), k))
 
-    found = docs.select(
-        packed(docs), value.alias("_text"), _base_spans(value).alias("_base"), tokens.alias("_tokens"), ratios.scalar().alias("_ratios")
-    )
-    apart = F.filter(
-        "_tokens", lambda t: ~F.exists("_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])) & (score(t) >= least_ratio)
-    )
+    left = F.col("_left")
+    tokens = F.when(left.rlike(token), _matches(left, token, 0, least_length, len(PATTERNS))).otherwise(F.array().cast(_SPAN))
+    apart = F.filter(tokens, lambda t: score(t) >= least_ratio)
     names = F.array(*map(F.lit, KINDS))
     named = F.transform(
         F.sort_array(F.concat("_base", apart)),
