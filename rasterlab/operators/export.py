@@ -113,7 +113,7 @@ def segmentation_input(
     suffix spelling is matched exactly, then in upper, then in lower case.  ``px`` carries ``path``.
     """
     found = match_suffix(wanted.select(*keys, "suffix"), files, keys).join(wanted, [*keys, "suffix"])
-    norm = normalise(px, [*keys, "path"]).join(found.select(*keys, "path", "pos"), [*keys, "path"])
+    norm = attach(normalise(px, [*keys, "path"]), found.select(*keys, "path", "pos"), [*keys, "path"])
     stack = F.transform(F.array_sort(F.collect_list(F.struct("pos", "norm"))), lambda s: s["norm"])
     return norm.groupBy(*keys, "y", "x").agg(stack.alias("channels"))
 

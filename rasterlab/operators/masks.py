@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rasterlab.functions.joins import attach_labels
+from rasterlab.functions.joins import attach, attach_labels
 from rasterlab.functions.grouped import stream_groups
 from rasterlab.operators.components import components
 from rasterlab.operators.spatial import image_size
@@ -127,7 +127,7 @@ def grow_from_seeds(
     order = Window.partitionBy(*keys).orderBy("seq")
     numbers = first.select(*keys, "seq").distinct().join(_top_label(px, keys), keys).select(
         *keys, "seq", (F.col("_top") + F.row_number().over(order)).alias("_new"))
-    written = first.join(numbers, [*keys, "seq"]).select(*keys, "y", "x", "_new")
+    written = attach(first, numbers, [*keys, "seq"]).select(*keys, "y", "x", "_new")
     return _with_label(px.join(written, [*keys, "y", "x"], "left"), F.coalesce("_new", "label"), px.columns)
 
 
@@ -215,7 +215,7 @@ def clean_small_objects(px: DataFrame, keys: Sequence[str] = IMAGE, min_size: in
     keys = list(keys)
     parts = components(px.where("label > 0").select(*keys, "y", "x", "label"), keys)
     big = parts.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_size)
-    kept = parts.join(big, [*keys, "component"], "left_semi").select(*keys, "y", "x", F.lit(True).alias("_kept"))
+    kept = attach(parts, big, [*keys, "component"]).select(*keys, "y", "x", F.lit(True).alias("_kept"))
     cleaned = _with_label(px.join(kept, [*keys, "y", "x"], "left"),
                           F.when(F.col("_kept"), F.col("label")).otherwise(0), px.columns)
     return relabel_sequential(cleaned, keys)
@@ -363,7 +363,7 @@ def smooth_boundaries(px: DataFrame, keys: Sequence[str] = IMAGE, sigma: float =
 
     def grow(s: DataFrame) -> DataFrame:
         inside = (F.col("y") >= 0) & (F.col("x") >= 0) & (F.col("y") < F.col("height")) & (F.col("x") < F.col("width"))
-        return spread(s).distinct().join(size, keys).where(inside).select(*place)
+        return attach(spread(s).distinct(), size, keys).where(inside).select(*place)
 
     def shrink(s: DataFrame) -> DataFrame:
         return spread(s).groupBy(*place).agg(F.count(F.lit(1)).alias("_n")).where("_n = 5").select(*place)
@@ -385,7 +385,7 @@ def merge_masks(a: DataFrame, b: DataFrame, keys: Sequence[str] = IMAGE, mode: s
     place = [*keys, "y", "x"]
     both = a.select(*place, "label").join(b.select(*place, F.col("label").alias("_b")), place)
     if mode in ("union", "mask1_priority"):
-        both = both.join(_top_label(a, keys), keys)
+        both = attach(both, _top_label(a, keys), keys)
         label = F.when(F.col("label") > 0, F.col("label")).when(F.col("_b") > 0, F.col("_b") + F.col("_top")).otherwise(0)
     elif mode == "intersection":
         label = F.when((F.col("label") > 0) & (F.col("_b") > 0), F.col("label")).otherwise(0)

@@ -209,7 +209,7 @@ def kde_2d(df: DataFrame, a: str, b: str, group: str = "Condition", points: int
     # the work per row is large and even, so rows spread by value rather than by condition
     spark = df.sparkSession
     n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    joined = rows.join(kernel, group).repartition(n_parts, "_x", "_y")
+    joined = attach(rows, kernel, group).repartition(n_parts, "_x", "_y")
     schema = f"`{group}` {dict(df.dtypes)[group]}, i int, j int, s double"
     dens = joined.mapInPandas(add_up, schema).groupBy(group, "i", "j").agg(F.sum("s").alias("density"))
     return dens.select(

@@ -43,7 +43,33 @@ def j5_candidate_links(spark, sf_dir):
     return rounded(tr.candidate_links(views.detections(spark, sf_dir), RADIUS))
 
 
-@query("k2_optimal_links")
+# every choice of links of a connected group of cells, cell by cell; the most links win, then the least distance
+BEST_LINKS = """
+ fr AS (SELECT condition, frame, lag(frame) OVER (PARTITION BY condition ORDER BY frame) AS prev_frame FROM (SELECT DISTINCT condition, frame FROM detections)),
+ cand AS (SELECT a.condition, a.frame, fr.prev_frame, a.label, b.label AS prev_label, sqrt((a.cy-b.cy)*(a.cy-b.cy) + (a.cx-b.cx)*(a.cx-b.cx)) AS distance
+   FROM detections a JOIN fr ON fr.condition = a.condition AND fr.frame = a.frame JOIN detections b ON b.condition = a.condition AND b.frame = fr.prev_frame
+   WHERE sqrt((a.cy-b.cy)*(a.cy-b.cy) + (a.cx-b.cx)*(a.cx-b.cx)) < 5),
+ rival AS (SELECT DISTINCT a.condition, a.frame, a.label AS p, b.label AS q FROM cand a JOIN cand b USING (condition, frame, prev_label)),
+ reach(condition, frame, p, q) AS (SELECT * FROM rival
+   UNION SELECT r.condition, r.frame, r.p, s.q FROM reach r JOIN rival s ON s.condition = r.condition AND s.frame = r.frame AND s.p = r.q),
+ grp AS (SELECT condition, frame, p AS label, min(q) AS root FROM reach GROUP BY ALL),
+ ord AS (SELECT *, row_number() OVER (PARTITION BY condition, frame, root ORDER BY label) AS k, count(*) OVER (PARTITION BY condition, frame, root) AS n FROM grp),
+ opt AS (SELECT condition, frame, label, prev_label, distance FROM cand UNION ALL SELECT condition, frame, label, NULL, 1e6 FROM grp),
+ st(condition, frame, root, k, links, cost) AS (
+   SELECT DISTINCT condition, frame, root, 0::BIGINT, []::BIGINT[], 0::DOUBLE FROM ord
+   UNION ALL
+   SELECT s.condition, s.frame, s.root, o.k, list_append(s.links, coalesce(c.prev_label, -1)), s.cost + c.distance
+   FROM st s JOIN ord o ON o.condition = s.condition AND o.frame = s.frame AND o.root = s.root AND o.k = s.k + 1
+     JOIN opt c ON c.condition = o.condition AND c.frame = o.frame AND c.label = o.label
+   WHERE c.prev_label IS NULL OR NOT list_contains(s.links, c.prev_label)),
+ best AS (SELECT st.condition, st.frame, st.root, arg_min(links, cost) AS links FROM st
+   JOIN (SELECT DISTINCT condition, frame, root, n FROM ord) e ON e.condition = st.condition AND e.frame = st.frame AND e.root = st.root AND st.k = e.n GROUP BY ALL),
+ won AS (SELECT condition, frame, root, unnest(links) AS prev_label, unnest(range(1, len(links) + 1)) AS k FROM best)
+SELECT c.condition, c.frame, c.label, c.prev_frame, c.prev_label, round(c.distance, 6) AS distance
+FROM won JOIN ord USING (condition, frame, root, k) JOIN cand c ON c.condition = won.condition AND c.frame = won.frame AND c.label = ord.label AND c.prev_label = won.prev_label"""
+
+
+@query("k2_optimal_links", "detections", BEST_LINKS)
 def k2_optimal_links(spark, sf_dir):
     return rounded(tr.assign_links(tr.candidate_links(views.detections(spark, sf_dir), RADIUS)))
 

@@ -82,7 +82,7 @@ def _decoded(files: DataFrame, planes_of, value: str, value_type: T.DataType, ca
     return files.select("path", "content").mapInPandas(run, schema=schema)
 
 
-def decode_images(files: DataFrame, channel: int | None = None, on_error: str = "skip") -> DataFrame:
+def decode_images(files: DataFrame, channel: int | None = None, on_error: str = "fail") -> DataFrame:
     """Intensity pixels (path, dtype, y, x, value) of one plane per file.
 
     16-bit counts keep their type name; everything else is single precision.
@@ -91,12 +91,12 @@ def decode_images(files: DataFrame, channel: int | None = None, on_error: str =
     return _decoded(files, planes, "value", T.DoubleType(), "float64", on_error).drop("channel")
 
 
-def decode_channels(files: DataFrame, on_error: str = "skip") -> DataFrame:
+def decode_channels(files: DataFrame, on_error: str = "fail") -> DataFrame:
     """Intensity pixels of every channel of each file, with ``channel`` from 0."""
     return _decoded(files, _channels, "value", T.DoubleType(), "float64", on_error)
 
 
-def decode_masks(files: DataFrame, on_error: str = "skip") -> DataFrame:
+def decode_masks(files: DataFrame, on_error: str = "fail") -> DataFrame:
     """Label pixels (path, y, x, label) of mask files."""
     return _decoded(files, _mask, "label", T.IntegerType(), "int32", on_error).drop("channel", "dtype")
 

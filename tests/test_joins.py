@@ -1,4 +1,5 @@
 import re
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -32,6 +33,56 @@ def test_label_joins_spread_background(spark, sf_dir, no_broadcast, name):
     assert any("_own" in k for k in keys)
 
 
+IMAGE_KEYS = {"condition", "image_set", "marker", "path", "frame"}
+PIXEL_QUERIES = [
+    "b3_annular_ring", "b5_voronoi", "b8_plane_fit", "b10_dispatch_auto", "b14_corner_background", "b1_real_values", "m5_grow_from_seed",
+    "m6_clean_small_objects", "m8_dilate_more", "m9_merge_union", "m11_smooth_boundaries", "g7_segmentation_input", "l7_saturated", "x5_normalise",
+    "x9_rgb_composite",
+]
+
+
+def bare_joins(df):
+    """Sort-merge joins of a plan on image keys alone with pixels (y, x) on a side."""
+    found, todo = [], [df._jdf.queryExecution().sparkPlan()]
+    names = lambda seq: {seq.apply(i).name() for i in range(seq.size())}
+    while todo:
+        node = todo.pop()
+        inner = node.children()
+        todo += [inner.apply(i) for i in range(inner.size())]
+        if node.nodeName() == "SortMergeJoin":
+            keys = {re.sub(r"#\d+L?", "", k.strip()) for k in node.leftKeys().mkString(",").split(",")}
+            sides = [names(side.output()) for side in (node.left(), node.right())]
+            if keys <= IMAGE_KEYS and any({"y", "x"} <= s for s in sides):
+                found.append(sorted(keys))
+    return found
+
+
+@pytest.mark.parametrize("name", PIXEL_QUERIES)
+def test_no_join_of_pixels_on_image_keys_alone(spark, sf_dir, no_broadcast, monkeypatch, name):
+    """Also in the tables that a query writes on its way."""
+    seen = []
+    for module in [m for k, m in sys.modules.items() if k.startswith("rasterlab.") and hasattr(m, "cut_lineage")]:
+        cut = module.cut_lineage
+
+        def record(df, cut=cut):
+            seen.extend(bare_joins(df))
+            return cut(df)
+
+        monkeypatch.setattr(module, "cut_lineage", record)
+    assert bare_joins(catalog.QUERIES[name](spark, sf_dir)) + seen == []
+
+
+def test_bare_joins_are_seen(spark, no_broadcast):
+    px = spark.createDataFrame([("c", 0, y, x) for y in range(3) for x in range(3)], "condition string, image_set int, y int, x int")
+    images = px.groupBy("condition", "image_set").agg(F.max("x").alias("w"))
+    assert bare_joins(px.join(images, ["condition", "image_set"])) == [["condition", "image_set"]]
+    assert bare_joins(attach(px, images, ["condition", "image_set"])) == []
+
+
+def test_densities_spread_conditions(spark, sf_dir, no_broadcast):
+    assert any("_salt" in k for k in joins_of(catalog.QUERIES["t6_kde_2d"](spark, sf_dir)))
+
+
 def test_attach_like_a_join(spark, no_broadcast):
     rows = spark.range(1000).select("id", (F.col("id") % 7).alias("k"), F.lit(None).cast("int").alias("n"))
     values = spark.createDataFrame([(k, k * 10) for k in range(5)], "k long, v long")

@@ -35,10 +35,11 @@ def test_scan_folder(spark, tmp_path):
     assert got == {("ctl", "a_w1.tif"), ("ctl", "a_w2.TIFF"), ("drug", "c_w1.tif")}
     (tmp_path / "drug" / "bad.tif").write_bytes(b"nonsense")
     content = images.read_files(spark, str(tmp_path / "drug"), "*.tif")
-    assert images.decode_images(content).count() == 12
+    assert images.decode_images(content, on_error="skip").count() == 12
     assert [r.path.rsplit("/", 1)[1] for r in images.unreadable(content).collect()] == ["bad.tif"]
-    with pytest.raises(Exception, match="cannot decode"):
-        images.decode_images(content, on_error="fail").count()
+    for decode in (images.decode_images, images.decode_channels, images.decode_masks):
+        with pytest.raises(Exception, match="cannot decode"):
+            decode(content).count()
 
 
 def test_files_that_decode_but_do_not_fit(spark):
@@ -46,7 +47,9 @@ def test_files_that_decode_but_do_not_fit(spark):
     np.save(buffer, np.zeros((2, 2, 2, 2, 2)))
     df = spark.createDataFrame([("odd.npy", bytearray(buffer.getvalue()))], "path string, content binary")
     for kind, decode in (("image", images.decode_images), ("channels", images.decode_channels), ("mask", images.decode_masks)):
-        assert decode(df).count() == 0 and images.unreadable(df, kind).count() == 1
+        assert decode(df, on_error="skip").count() == 0 and images.unreadable(df, kind).count() == 1
+        with pytest.raises(Exception, match="cannot decode"):
+            decode(df).count()
 
 
 def test_tiled_files_round_trip(spark):
