@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rasterlab.functions.graph import connected_components
 from rasterlab.functions.joins import attach
 from rasterlab.operators.pixels import label_colours, normalise
 from rasterlab.operators.spatial import image_size
@@ -17,6 +18,7 @@ from rasterlab.operators.tables import match_suffix
 from rasterlab.functions.order import positions
 from rasterlab.operators.tiling import core_only, four_neighbours, tiles
 from rasterlab.schema import IMAGE
+from rasterlab.session import cut_lineage
 
 TILE = 256
 
@@ -141,9 +143,10 @@ def segment(
     array and returns integer labels, which are numbered from 1 in their order.  An image must fit
     into a task, as the model needs all of it.
 
-    With ``tile`` the model gets overlapping tiles instead, whatever the size of an image; an
-    object belongs to the tile holding its centroid.  This is for objects smaller than ``halo``:
-    larger ones are cut.
+    With ``tile`` the model gets overlapping tiles instead, whatever the size of an image, and
+    objects are stitched: labels of neighbouring tiles that share a pixel in the overlap are one
+    object, however many tiles it crosses. Objects are numbered from 1 by their first pixel, row by
+    row. ``halo`` is how much of its surroundings the model needs to label a pixel.
     """
     keys = list(keys)
     params = list(params)
@@ -183,16 +186,22 @@ def _segment_tiles(
         image[:, y, x] = data.T
         labels = np.asarray(model(image, {p: pdf[p].iloc[0] for p in params}))[y, x]
         found = pdf.assign(_local=labels)[labels > 0]
-        centre = found.groupby("_local")[["y", "x"]].transform("mean")
-        mine = (centre.y // tile == found._ty) & (centre.x // tile == found._tx)
-        return found.loc[mine, [*keys, "y", "x", "_ty", "_tx", "_local"]].astype({"_local": "int64"})
+        return found[[*keys, "y", "x", "_ty", "_tx", "_core", "_local"]].astype({"_local": "int64"})
 
-    schema = T.StructType([tiled.schema[c] for c in (*keys, "y", "x", "_ty", "_tx")] + [T.StructField("_local", T.LongType())])
-    found = tiled.groupBy(*keys, "_ty", "_tx").applyInPandas(run, schema=schema)
-    # one number per object: tiles stay below 2^15 a side, labels of a tile below 2^32
+    fields = [tiled.schema[c] for c in (*keys, "y", "x", "_ty", "_tx", "_core")]
+    found = tiled.groupBy(*keys, "_ty", "_tx").applyInPandas(run, schema=T.StructType([*fields, T.StructField("_local", T.LongType())]))
+    # one number per object of a tile: tiles stay below 2^15 a side, labels of a tile below 2^32
     code = F.shiftleft(F.shiftleft(F.col("_ty").cast("bigint"), 15) + F.col("_tx"), 32) + F.col("_local")
-    owned = found.groupBy(*keys, "y", "x").agg(F.min(code).alias("_code"))
-    numbered = positions(owned, keys, "_code").select(*keys, "_code", (F.col("_rank0") + 1).cast("int").alias("_label"))
-    labels = owned.join(numbered, [*keys, "_code"]).select(*keys, "y", "x", "_label")
+    found = cut_lineage(found.select(*keys, "y", "x", "_core", code.alias("_code")))
+    own = found.where("_core").drop("_core")
+    # a pixel links its own tile's object with those that other tiles see there
+    links = own.join(found.where("not _core").select(*keys, "y", "x", F.col("_code").alias("_other")), [*keys, "y", "x"])
+    roots = connected_components(links.select(*keys, "_code", "_other").distinct(), keys, "_code", "_other")
+    joined = attach(own, roots.select(*keys, F.col("node").alias("_code"), "root"), [*keys, "_code"], "left").withColumn(
+        "_code", F.coalesce("root", "_code")).drop("root")
+    place = F.shiftleft(F.col("y").cast("bigint"), 31) + F.col("x")
+    first = cut_lineage(joined.groupBy(*keys, "_code").agg(F.min(place).alias("_first")))
+    numbered = first.join(positions(first, keys, "_first").select(*keys, "_first", (F.col("_rank0") + 1).cast("int").alias("_label")), [*keys, "_first"])
+    labels = attach(joined, numbered.select(*keys, "_code", "_label"), [*keys, "_code"]).select(*keys, "y", "x", "_label")
     return inputs.select(*keys, "y", "x").join(labels, [*keys, "y", "x"], "left").select(
         *keys, "y", "x", F.coalesce("_label", F.lit(0)).alias("label"))

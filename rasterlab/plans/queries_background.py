@@ -253,7 +253,17 @@ def b10_dispatch_global(spark, sf_dir):
     return rounded(images)
 
 
-@query("b12_median_filter")
+@query("b12_median_filter", "raster", """
+ dims AS (SELECT image_set, max(y) + 1 AS h, max(x) + 1 AS w FROM raster GROUP BY ALL),
+ o AS (SELECT unnest(range(-25, 25)) AS o),
+ ys AS (SELECT image_set, y, CASE WHEN y + o < 0 THEN -1 - y - o WHEN y + o >= h THEN 2 * h - 1 - y - o ELSE y + o END AS my
+        FROM (SELECT image_set, h, unnest(range(h)) AS y FROM dims), o),
+ xs AS (SELECT image_set, x, CASE WHEN x + o < 0 THEN -1 - x - o WHEN x + o >= w THEN 2 * w - 1 - x - o ELSE x + o END AS mx
+        FROM (SELECT image_set, w, unnest(range(w)) AS x FROM dims), o),
+ s AS (SELECT b.condition, b.image_set, b.y, b.x, list_sort(list(v.value))[1251] AS surface
+       FROM raster b JOIN ys ON ys.image_set = b.image_set AND ys.y = b.y JOIN xs ON xs.image_set = b.image_set AND xs.x = b.x
+       JOIN raster v ON v.image_set = b.image_set AND v.y = ys.my AND v.x = xs.mx WHERE b.label = 0 GROUP BY ALL)
+SELECT condition, image_set, median(surface::DOUBLE) AS background FROM s GROUP BY ALL""")
 def b12_median_filter(spark, sf_dir):
     return bg.median_filter_background(views.raster(spark, sf_dir))
 

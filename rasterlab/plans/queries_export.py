@@ -196,7 +196,24 @@ def g7_segmentation_input(spark, sf_dir):
     return out.select(*PLACE, F.round(F.col("channels")[0], 6).alias("first"), F.size("channels").alias("n_channels"))
 
 
-@query("g6_segment_images")
+# the model: connected pixels of the first channel above the condition's threshold, numbered row by row
+SEGMENTED = """
+ v AS (SELECT condition, image_set, y, x, value FROM markers WHERE marker = 'B' AND image_set % 4 <> 3),
+ q AS (SELECT condition, image_set, quantile_cont(value::DOUBLE, 0.01) AS lo, quantile_cont(value::DOUBLE, 0.99) AS hi FROM v GROUP BY ALL),
+ lit AS (SELECT v.condition, v.image_set, y, x, y::BIGINT * 2147483648 + x AS code FROM v JOIN q USING (condition, image_set)
+         LEFT JOIN region ON v.condition = 'c' || CAST(r_regionkey AS VARCHAR)
+         WHERE least(greatest((value - lo) / (hi - lo), 0), 1) > coalesce(0.6::DOUBLE + r_regionkey / 20.0::DOUBLE, 0.75::DOUBLE)),
+ reach(condition, image_set, start, y, x) AS (
+   SELECT condition, image_set, code, y, x FROM lit
+   UNION
+   SELECT r.condition, r.image_set, r.start, n.y, n.x FROM reach r CROSS JOIN (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) o(dy, dx)
+     JOIN lit n ON n.condition = r.condition AND n.image_set = r.image_set AND n.y = r.y + o.dy AND n.x = r.x + o.dx),
+ part AS (SELECT condition, image_set, y, x, min(start) AS first FROM reach GROUP BY ALL),
+ num AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY condition, image_set ORDER BY first) AS INT) AS label FROM part)
+SELECT condition, image_set, v.y, v.x, coalesce(label, 0) AS label FROM v LEFT JOIN num USING (condition, image_set, y, x)"""
+
+
+@query("g6_segment_images", "mosaic markers", SEGMENTED)
 def g6_segment_images(spark, sf_dir):
     from rasterlab.sources.files import pending
 
@@ -211,6 +228,19 @@ def g6_segment_images(spark, sf_dir):
     return ex.segment(inputs, bright_regions, params=["threshold"])
 
 
+@query("g6_segment_tiles", "mosaic markers", SEGMENTED)
+def g6_segment_tiles(spark, sf_dir):
+    """The same labels from overlapping tiles, stitched."""
+    px = channel_files(spark, sf_dir)
+    files = px.select("condition", "image_set", "suffix", "path").distinct()
+    regions = views.table(spark, sf_dir, "region").selectExpr(
+        "concat('c', cast(r_regionkey as string)) as condition", "0.6d + r_regionkey / 20d as threshold")
+    todo = px.where("image_set % 4 <> 3").select("condition", "image_set").distinct()
+    settings = t.with_overrides(todo, regions, {"threshold": 0.75})
+    inputs = ex.segmentation_input(px, files, wanted_channels(px)).join(settings, ["condition", "image_set"])
+    return ex.segment(inputs, bright_regions, params=["threshold"], tile=32, halo=4)
+
+
 # ---------------------------------------------------------------- analyses
 
 Z1 = f"""{MOM},

@@ -62,7 +62,23 @@ def q3_perimeter(spark, sf_dir):
         "condition", "image_set", "label", "perimeter", "circularity"))
 
 
-@query("q4_solidity")
+# corners half a pixel around the row ends; a hull edge has every corner on its left, a hull pixel every edge
+HULL = """
+ r AS (SELECT image_set, label, y, min(x) AS lo, max(x) AS hi FROM raster WHERE label > 0 GROUP BY ALL),
+ pt AS (SELECT DISTINCT image_set, label, unnest([2*y, 2*y, 2*y-1, 2*y+1, 2*y-1, 2*y+1]) AS py, unnest([2*lo-1, 2*hi+1, 2*lo, 2*lo, 2*hi, 2*hi]) AS px FROM r),
+ edge AS (SELECT a.image_set, a.label, a.py AS ay, a.px AS ax, b.py AS zy, b.px AS zx
+          FROM pt a JOIN pt b ON b.image_set = a.image_set AND b.label = a.label AND (b.py <> a.py OR b.px <> a.px)
+          JOIN pt c ON c.image_set = a.image_set AND c.label = a.label
+          GROUP BY ALL HAVING min((b.py - a.py) * (c.px - a.px) - (b.px - a.px) * (c.py - a.py)) >= 0),
+ box AS (SELECT image_set, label, min(y) AS y0, max(y) AS y1, min(lo) AS x0, max(hi) AS x1 FROM r GROUP BY ALL),
+ spot AS (SELECT image_set, label, y, unnest(range(x0, x1 + 1)) AS x FROM (SELECT *, unnest(range(y0, y1 + 1)) AS y FROM box)),
+ hull AS (SELECT s.image_set, s.label, s.y, s.x FROM spot s JOIN edge e USING (image_set, label)
+          GROUP BY ALL HAVING min((zy - ay) * (2 * s.x - ax) - (zx - ax) * (2 * s.y - ay)) >= 0),
+ n AS (SELECT image_set, label, count(*) AS h FROM hull GROUP BY ALL)
+SELECT condition, image_set, label, round(count(*) / any_value(h)::DOUBLE, 6) AS solidity FROM raster JOIN n USING (image_set, label) GROUP BY ALL"""
+
+
+@query("q4_solidity", "raster", HULL)
 def q4_solidity(spark, sf_dir):
     return rounded(mo.solidity(views.raster(spark, sf_dir)))
 

@@ -91,3 +91,24 @@ def test_inference_in_tiles_matches_whole(spark):
     assert whole.max() == tiled.max() == want.max()
     pairs = {(a, b) for a, b in zip(tiled[mask], want[mask])}
     assert len(pairs) == want.max() and not tiled[~mask].any()
+
+
+def test_stitched_tiles_label_like_the_whole_image(spark):
+    """Objects that cross many tiles, touch at tile corners, or wind in and out of a tile."""
+    from pyspark.sql import functions as F
+    from tests.helpers import grid
+
+    from rasterlab.plans.queries_export import bright_regions
+
+    rng = np.random.default_rng(12)
+    img = (rng.random((70, 90)) < 0.62).astype(float)
+    img[3, :] = 1.0
+    img[::6, 5:80] = 1.0
+    img[40:60, 20] = 1.0
+    px = pixels(spark, np.zeros(img.shape), img).select("condition", "image_set", "y", "x", F.array("value").alias("channels"), F.lit(0.5).alias("threshold"))
+    whole = grid(ex.segment(px, bright_regions, params=["threshold"]))
+    assert whole.max() > 20
+    for tile, halo in ((32, 1), (16, 3)):
+        assert np.array_equal(grid(ex.segment(px, bright_regions, params=["threshold"], tile=tile, halo=halo)), whole)
+    none = px.withColumn("threshold", F.lit(2.0))
+    assert grid(ex.segment(none, bright_regions, params=["threshold"], tile=32, halo=1)).max() == 0
