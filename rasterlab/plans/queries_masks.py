@@ -87,15 +87,16 @@ def m4_add_polygons(spark, sf_dir):
 
 
 GROWN = f"""{POINTS},
+ mz AS MATERIALIZED (SELECT image_set, y, x, value FROM mosaic),
  last_ AS (SELECT image_set, y, max(event_id) AS seq, arg_max(x, (event_id, x)) AS x FROM pts GROUP BY ALL),
- seeds AS (SELECT image_set, seq, y, x, value AS v0 FROM last_ JOIN mosaic USING (image_set, y, x) WHERE label = 0),
+ seeds AS MATERIALIZED (SELECT image_set, seq, y, x, value AS v0 FROM last_ JOIN mosaic USING (image_set, y, x) WHERE label = 0),
  reg(image_set, seq, y, x) AS (
    SELECT image_set, seq, y, x FROM seeds
    UNION
-   SELECT r.image_set, r.seq, m.y, m.x FROM reg r JOIN seeds s ON s.image_set = r.image_set AND s.seq = r.seq
-     CROSS JOIN (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) o(dy, dx)
-     JOIN mosaic m ON m.image_set = r.image_set AND m.y = r.y + o.dy AND m.x = r.x + o.dx
-   WHERE abs(m.value - s.v0) <= s.v0 * 0.3::DOUBLE),
+   SELECT m.image_set, r.seq, m.y, m.x
+   FROM (SELECT image_set, seq, y + unnest([0, 0, 1, -1]) AS y, x + unnest([1, -1, 0, 0]) AS x FROM reg) r
+     JOIN mz m ON m.image_set = r.image_set AND m.y = r.y AND m.x = r.x
+     JOIN seeds s ON s.image_set = r.image_set AND s.seq = r.seq AND abs(m.value - s.v0) <= s.v0 * 0.3::DOUBLE),
  got AS (SELECT image_set, y, x, min(seq) AS seq FROM reg JOIN mosaic USING (image_set, y, x) WHERE label = 0 GROUP BY ALL),
  num AS (SELECT image_set, seq, top + row_number() OVER (PARTITION BY image_set ORDER BY seq) AS new
          FROM (SELECT DISTINCT image_set, seq FROM got) JOIN (SELECT image_set, max(label) AS top FROM mosaic GROUP BY ALL) USING (image_set))
