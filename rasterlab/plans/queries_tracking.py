@@ -64,17 +64,22 @@ BEST_LINKS = """
    WHERE c.prev_label IS NULL OR NOT list_contains(s.links, c.prev_label)),
  best AS (SELECT st.condition, st.frame, st.root, arg_min(links, cost) AS links FROM st
    JOIN (SELECT DISTINCT condition, frame, root, n FROM ord) e ON e.condition = st.condition AND e.frame = st.frame AND e.root = st.root AND st.k = e.n GROUP BY ALL),
- won AS (SELECT condition, frame, root, unnest(links) AS prev_label, unnest(range(1, len(links) + 1)) AS k FROM best)
-SELECT c.condition, c.frame, c.label, c.prev_frame, c.prev_label, round(c.distance, 6) AS distance
-FROM won JOIN ord USING (condition, frame, root, k) JOIN cand c ON c.condition = won.condition AND c.frame = won.frame AND c.label = ord.label AND c.prev_label = won.prev_label"""
+ won AS (SELECT condition, frame, root, unnest(links) AS prev_label, unnest(range(1, len(links) + 1)) AS k FROM best),
+ links AS (SELECT c.condition, c.frame, c.label, c.prev_frame, c.prev_label, round(c.distance, 6) AS distance
+   FROM won JOIN ord USING (condition, frame, root, k)
+   JOIN cand c ON c.condition = won.condition AND c.frame = won.frame AND c.label = ord.label AND c.prev_label = won.prev_label)"""
 
 
-@query("k2_optimal_links", "detections", BEST_LINKS)
+@query("k2_optimal_links", "detections", f"{BEST_LINKS} SELECT * FROM links")
 def k2_optimal_links(spark, sf_dir):
     return rounded(tr.assign_links(tr.candidate_links(views.detections(spark, sf_dir), RADIUS)))
 
 
-@query("k3_track_ids")
+@query("k3_track_ids", "detections", f"""{BEST_LINKS},
+ chain(condition, frame, label, f0, l0) AS (
+   SELECT condition, frame, label, frame, label FROM detections d ANTI JOIN links USING (condition, frame, label)
+   UNION ALL SELECT l.condition, l.frame, l.label, c.f0, c.l0 FROM chain c JOIN links l ON l.condition = c.condition AND l.prev_frame = c.frame AND l.prev_label = c.label)
+SELECT condition, frame, label, dense_rank() OVER (PARTITION BY condition ORDER BY f0, l0) - 1 AS track_id FROM chain""")
 def k3_track_ids(spark, sf_dir):
     return tr.track(views.detections(spark, sf_dir), RADIUS).select("condition", "frame", "label", "track_id")
 
