@@ -6,7 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,7 +16,7 @@ from rasterlab.operators.pixels import label_colours, normalise
 from rasterlab.operators.spatial import image_size
 from rasterlab.operators.tables import match_suffix
 from rasterlab.functions.order import positions
-from rasterlab.operators.tiling import core_only, four_neighbours, tiles
+from rasterlab.operators.tiling import along_x, core_only, four_neighbours, tiles
 from rasterlab.schema import IMAGE
 from rasterlab.session import cut_lineage
 
@@ -39,6 +39,85 @@ def contour_vertices(px: DataFrame, keys: Sequence[str] = IMAGE) -> DataFrame:
         *keys, "label", "_v.cy", "_v.cx")
 
 
+#: Sides of a pixel in walking order round a cell, with the step outwards and the step onwards.
+_WALK = (("up", (-1, 0), (0, 1)), ("right", (0, 1), (1, 0)), ("down", (1, 0), (0, -1)), ("left", (0, -1), (-1, 0)))
+
+
+def _contour_steps(px: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Every contour point with the next one: rows (keys, label, node, next), next null at an open end.
+
+    A point is a side of a cell's pixel that faces another label. Going round with the cell on the
+    right, the next point lies in the square of four pixels ahead: the same pixel's next side if the
+    pixel ahead is not the cell's (so that diagonal neighbours are not joined), else that pixel's
+    same side, else the side of the pixel across.
+    """
+    t = four_neighbours(tiles(px.select(*keys, "y", "x", "label"), keys, halo=1), keys, "label", outside=None)
+    wx = along_x(keys)
+    t = t.withColumns({f"{c}_{side}": move(c, 1).over(wx) for c in ("_n_up", "_n_down") for side, move in (("left", F.lag), ("right", F.lead))})
+    t = core_only(t).where("label > 0")
+    at = {
+        (0, -1): F.col("_n_left"), (0, 1): F.col("_n_right"), (-1, 0): F.col("_n_up"), (1, 0): F.col("_n_down"),
+        (-1, -1): F.col("_n_up_left"), (-1, 1): F.col("_n_up_right"), (1, -1): F.col("_n_down_left"), (1, 1): F.col("_n_down_right"),
+    }
+
+    def code(dy: int, dx: int, side: int):
+        """A number for a side of the pixel (dy, dx) away: place, then side."""
+        place = F.shiftleft((F.col("y") + dy).cast("bigint"), 31) + (F.col("x") + dx)
+        return place * 4 + side
+
+    points = []
+    for k, (_, out, on) in enumerate(_WALK):
+        across = (out[0] + on[0], out[1] + on[1])
+        ahead, over = at[on], at[across]
+        mine = lambda c: c == F.col("label")
+        following = (
+            F.when(ahead.isNull(), F.lit(None))
+            .when(~mine(ahead), code(0, 0, (k + 1) % 4))
+            .when(~mine(over), code(*on, k))
+            .otherwise(code(*across, (k + 3) % 4))
+        )
+        there = at[out].isNotNull() & ~mine(at[out])
+        points.append(F.when(there, F.struct(code(0, 0, k).alias("node"), following.cast("bigint").alias("next"))))
+    return t.select(*keys, "label", F.explode(F.array_compact(F.array(*points))).alias("p")).select(*keys, "label", "p.node", "p.next")
+
+
+def contour_rings(px: DataFrame, keys: Sequence[str] = IMAGE) -> DataFrame:
+    """Contours that can be drawn: rows (keys, label, ring, position, cy, cx).
+
+    The points of :func:`contour_vertices` in walking order, the cell on the right; ``ring`` 0 is the
+    longest contour of a cell (of equal ones that of the uppermost, then leftmost point), then the
+    others, holes among them; ``position`` counts from its first point. A contour that meets the
+    image's edge is open and starts where no point leads to it. Nothing is gathered per cell: rings
+    are connected components and positions come from pointer jumping, which doubles the way known to
+    each point in every round.
+    """
+    keys = list(keys)
+    per = [*keys, "label"]
+    steps = cut_lineage(_contour_steps(px, keys))
+    roots = connected_components(steps.where("next is not null").select(*keys, "node", "next"), keys, "node", "next")
+    rung = cut_lineage(attach(steps, roots.select(*keys, "node", "root"), [*keys, "node"], "left").withColumn("_ring", F.coalesce("root", "node")).drop("root"))
+    # a ring begins at its smallest point, an open contour at the point without one before it
+    led = rung.where("next is not null").select(*keys, F.col("next").alias("node"), F.lit(True).alias("_led"))
+    heads = rung.join(led, [*keys, "node"], "left").groupBy(*per, "_ring").agg(
+        F.count(F.lit(1)).alias("_n"), F.coalesce(F.min(F.when(F.col("_led").isNull(), F.col("node"))), F.min("node")).alias("_head"))
+    known = attach(rung, heads, [*per, "_ring"])
+    # the way to the end of the contour, cut before its head: so many steps so far, and the point they lead to
+    way = cut_lineage(known.select(
+        *per, "_ring", "_n", "node", F.when(F.col("next") != F.col("_head"), F.col("next")).alias("_to")
+    ).withColumn("_steps", F.col("_to").isNotNull().cast("bigint")))
+    while not way.where("_to is not null").isEmpty():
+        ahead = way.select(*keys, F.col("node").alias("_to"), F.col("_to").alias("_far"), F.col("_steps").alias("_more"))
+        way = cut_lineage(way.join(ahead, [*keys, "_to"], "left").select(
+            *per, "_ring", "_n", "node", F.col("_far").alias("_to"), (F.col("_steps") + F.coalesce("_more", F.lit(0))).alias("_steps")))
+    order = Window.partitionBy(*per).orderBy(F.desc("_n"), "_ring")
+    numbered = heads.select(*per, "_ring", (F.row_number().over(order) - 1).alias("ring"))
+    side, place = F.col("node") % 4, F.floor(F.col("node") / 4)
+    shift = lambda axis: F.element_at(F.array(*[F.lit(out[axis] / 2) for _, out, _ in _WALK]), (side + 1).cast("int"))
+    return attach(way, numbered, [*per, "_ring"]).select(
+        *per, "ring", (F.col("_n") - 1 - F.col("_steps")).alias("position"),
+        (F.shiftright(place, 31) + shift(0)).alias("cy"), (place.bitwiseAND(F.lit((1 << 31) - 1)) + shift(1)).alias("cx"))
+
+
 def roi_metadata(px: DataFrame, keys: Sequence[str] = IMAGE) -> DataFrame:
     """Region table: CellID, name, area and centroid to two decimals."""
     return px.where("label > 0").groupBy(*keys, "label").agg(

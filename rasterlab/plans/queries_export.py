@@ -128,6 +128,29 @@ def g1_contour_vertices(spark, sf_dir):
     return ex.contour_vertices(views.mosaic(spark, sf_dir))
 
 
+_SIDE = "SELECT condition, image_set, label, (y::BIGINT * 2147483648 + x) * 4 + {k} AS node, y + {dy} AS cy, x + {dx} AS cx, CASE WHEN {on} IS NULL THEN NULL WHEN {on} <> label THEN (y::BIGINT * 2147483648 + x) * 4 + {turn} WHEN {over} <> label THEN ((y::BIGINT + {oy}) * 2147483648 + x + {ox}) * 4 + {k} ELSE ((y::BIGINT + {ay}) * 2147483648 + x + {ax}) * 4 + {back} END AS next FROM nb2 WHERE label > 0 AND {out} <> label"
+_SIDES = " UNION ALL ".join(_SIDE.format(**dict(zip("k dy dx out on over turn oy ox ay ax back".split(), v))) for v in [
+    (0, "-0.5::DOUBLE", "0.0::DOUBLE", "n", "e", "ne", 1, 0, 1, -1, 1, 3), (1, "0.0::DOUBLE", "0.5::DOUBLE", "e", "s", "se", 2, 1, 0, 1, 1, 0),
+    (2, "0.5::DOUBLE", "0.0::DOUBLE", "s", "w", "sw", 3, 0, -1, 1, -1, 1), (3, "0.0::DOUBLE", "-0.5::DOUBLE", "w", "n", "nw", 0, -1, 0, -1, -1, 2)])
+
+
+@query("g1_contour_rings", "mosaic", f"""
+ nb AS (SELECT condition, image_set, y, x, label, lag(label) OVER r AS w, lead(label) OVER r AS e, lag(label) OVER c AS n, lead(label) OVER c AS s FROM mosaic
+        WINDOW r AS (PARTITION BY image_set, y ORDER BY x), c AS (PARTITION BY image_set, x ORDER BY y)),
+ nb2 AS (SELECT *, lag(n) OVER r AS nw, lead(n) OVER r AS ne, lag(s) OVER r AS sw, lead(s) OVER r AS se FROM nb WINDOW r AS (PARTITION BY image_set, y ORDER BY x)),
+ v AS MATERIALIZED ({_SIDES}),
+ walk(image_set, label, head, node, pos, next) AS (
+   SELECT image_set, label, node, node, 0::BIGINT, next FROM v
+   UNION ALL SELECT w.image_set, w.label, w.head, v.node, w.pos + 1, v.next FROM walk w JOIN v ON v.image_set = w.image_set AND v.node = w.next AND v.node <> w.head),
+ way AS (SELECT image_set, label, head, count(*) AS n, min(node) AS low, bool_or(next IS NOT DISTINCT FROM head) AS closed FROM walk GROUP BY ALL),
+ heads AS (SELECT *, row_number() OVER (PARTITION BY image_set, label ORDER BY n DESC, low) - 1 AS ring FROM way ANTI JOIN (SELECT image_set, next AS head FROM v) b
+           ON NOT way.closed AND b.image_set = way.image_set AND b.head = way.head WHERE NOT closed OR head = low)
+SELECT v.condition, v.image_set, v.label, CAST(ring AS INT) AS ring, pos AS position, cy, cx
+FROM heads h JOIN walk w USING (image_set, label, head) JOIN v ON v.image_set = w.image_set AND v.node = w.node""")
+def g1_contour_rings(spark, sf_dir):
+    return ex.contour_rings(views.mosaic(spark, sf_dir))
+
+
 @query("g1_contour_summary", "mosaic", """
  v AS (SELECT m.condition, m.image_set, m.label AS "CellID", count(*) AS n_vertices FROM mosaic m, (VALUES (0,1),(0,-1),(1,0),(-1,0)) d(dy,dx)
        JOIN mosaic s ON s.image_set = m.image_set AND s.y = m.y + dy AND s.x = m.x + dx WHERE m.label > 0 AND s.label <> m.label GROUP BY ALL),
