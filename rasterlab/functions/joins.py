@@ -14,12 +14,16 @@ def attach(rows: DataFrame, per_group: DataFrame, keys: str | Sequence[str], how
     """Joins values of each group (one row per key) to its rows; ``how`` is inner or left.
 
     The key is salted by a hash of the other columns and the values are copied to every salt. Where
-    the values are not small enough to be broadcast, a group is spread over many tasks.
+    the values are not small enough to be broadcast, a group is spread over many tasks. The copies
+    are a join, whose size the planner knows: of an explode it counts the rows before it, and would
+    send 64 times a table just below the broadcast limit through the driver. Meant for groups of
+    many rows; groups of a few rows are joined plainly.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     others = [c for c in rows.columns if c not in keys]
     salt = F.pmod(F.xxhash64(*others), F.lit(_SALTS)).cast("int") if others else F.lit(0)
-    copies = per_group.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    salts = per_group.sparkSession.range(_SALTS).select(F.col("id").cast("int").alias("_salt"))
+    copies = per_group.crossJoin(F.broadcast(salts))
     return rows.withColumn("_salt", salt).join(copies, [*keys, "_salt"], how).drop("_salt")
 
 

@@ -95,12 +95,12 @@ def contour_rings(px: DataFrame, keys: Sequence[str] = IMAGE) -> DataFrame:
     per = [*keys, "label"]
     steps = cut_lineage(_contour_steps(px, keys))
     roots = connected_components(steps.where("next is not null").select(*keys, "node", "next"), keys, "node", "next")
-    rung = cut_lineage(attach(steps, roots.select(*keys, "node", "root"), [*keys, "node"], "left").withColumn("_ring", F.coalesce("root", "node")).drop("root"))
+    rung = cut_lineage(steps.join(roots.select(*keys, "node", "root"), [*keys, "node"], "left").withColumn("_ring", F.coalesce("root", "node")).drop("root"))
     # a ring begins at its smallest point, an open contour at the point without one before it
     led = rung.where("next is not null").select(*keys, F.col("next").alias("node"), F.lit(True).alias("_led"))
     heads = rung.join(led, [*keys, "node"], "left").groupBy(*per, "_ring").agg(
         F.count(F.lit(1)).alias("_n"), F.coalesce(F.min(F.when(F.col("_led").isNull(), F.col("node"))), F.min("node")).alias("_head"))
-    known = attach(rung, heads, [*per, "_ring"])
+    known = rung.join(heads, [*per, "_ring"])
     # the way to the end of the contour, cut before its head: so many steps so far, and the point they lead to
     way = cut_lineage(known.select(
         *per, "_ring", "_n", "node", F.when(F.col("next") != F.col("_head"), F.col("next")).alias("_to")
@@ -113,7 +113,7 @@ def contour_rings(px: DataFrame, keys: Sequence[str] = IMAGE) -> DataFrame:
     numbered = heads.select(*per, "_ring", (F.row_number().over(order) - 1).alias("ring"))
     side, place = F.col("node") % 4, F.floor(F.col("node") / 4)
     shift = lambda axis: F.element_at(F.array(*[F.lit(out[axis] / 2) for _, out, _ in _WALK]), (side + 1).cast("int"))
-    return attach(way, numbered, [*per, "_ring"]).select(
+    return way.join(numbered, [*per, "_ring"]).select(
         *per, "ring", (F.col("_n") - 1 - F.col("_steps")).alias("position"),
         (F.shiftright(place, 31) + shift(0)).alias("cy"), (place.bitwiseAND(F.lit((1 << 31) - 1)) + shift(1)).alias("cx"))
 
