@@ -276,11 +276,11 @@ def _segment_tiles(
     # a pixel links its own tile's object with those that other tiles see there
     links = own.join(found.where("not _core").select(*keys, "y", "x", F.col("_code").alias("_other")), [*keys, "y", "x"])
     roots = connected_components(links.select(*keys, "_code", "_other").distinct(), keys, "_code", "_other")
-    joined = attach(own, roots.select(*keys, F.col("node").alias("_code"), "root"), [*keys, "_code"], "left").withColumn(
+    joined = own.join(roots.select(*keys, F.col("node").alias("_code"), "root"), [*keys, "_code"], "left").withColumn(
         "_code", F.coalesce("root", "_code")).drop("root")
     place = F.shiftleft(F.col("y").cast("bigint"), 31) + F.col("x")
     first = cut_lineage(joined.groupBy(*keys, "_code").agg(F.min(place).alias("_first")))
     numbered = first.join(positions(first, keys, "_first").select(*keys, "_first", (F.col("_rank0") + 1).cast("int").alias("_label")), [*keys, "_first"])
-    labels = attach(joined, numbered.select(*keys, "_code", "_label"), [*keys, "_code"]).select(*keys, "y", "x", "_label")
+    labels = joined.join(numbered.select(*keys, "_code", "_label"), [*keys, "_code"]).select(*keys, "y", "x", "_label")
     return inputs.select(*keys, "y", "x").join(labels, [*keys, "y", "x"], "left").select(
         *keys, "y", "x", F.coalesce("_label", F.lit(0)).alias("label"))
