@@ -215,7 +215,7 @@ def clean_small_objects(px: DataFrame, keys: Sequence[str] = IMAGE, min_size: in
     keys = list(keys)
     parts = components(px.where("label > 0").select(*keys, "y", "x", "label"), keys)
     big = parts.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_size)
-    kept = attach(parts, big, [*keys, "component"]).select(*keys, "y", "x", F.lit(True).alias("_kept"))
+    kept = parts.join(big, [*keys, "component"]).select(*keys, "y", "x", F.lit(True).alias("_kept"))
     cleaned = _with_label(px.join(kept, [*keys, "y", "x"], "left"),
                           F.when(F.col("_kept"), F.col("label")).otherwise(0), px.columns)
     return relabel_sequential(cleaned, keys)

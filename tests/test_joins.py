@@ -106,7 +106,7 @@ def test_attach_counts_its_copies(spark):
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
 
 
-@pytest.mark.parametrize("name", ["g1_contour_rings", "g6_segment_tiles"])
+@pytest.mark.parametrize("name", ["g1_contour_rings", "g6_segment_tiles", "m6_clean_small_objects"])
 def test_small_groups_are_not_copied(spark, sf_dir, no_broadcast, monkeypatch, name):
     """Values of points, objects and rings are as many as pixels: joined once each, not 64 times."""
     seen = []
