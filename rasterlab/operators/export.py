@@ -134,17 +134,24 @@ def contour_summary(px: DataFrame, keys: Sequence[str] = IMAGE) -> DataFrame:
     return roi_metadata(px, keys).join(counts, [*keys, "CellID"], "left").fillna(0, ["n_vertices"])
 
 
-def _levels(px: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _levels(px: DataFrame, keys: Sequence[str], size: tuple[int, int] | None) -> DataFrame:
     """Adds image size and ``_top``, the number of the full-resolution level."""
     longest = F.greatest("width", "height", F.lit(1)).cast("double")
-    return attach(px, image_size(px, keys), keys).withColumn("_top", F.ceil(F.log2(longest)).cast("int"))
+    if size is None:
+        sized = attach(px, image_size(px, keys), keys)
+    else:
+        sized = px.withColumns({"height": F.lit(size[0]), "width": F.lit(size[1])})
+    return sized.withColumn("_top", F.ceil(F.log2(longest)).cast("int"))
 
 
-def mask_pyramid(px: DataFrame, keys: Sequence[str] = IMAGE, tile: int = TILE) -> DataFrame:
+def mask_pyramid(
+    px: DataFrame, keys: Sequence[str] = IMAGE, tile: int = TILE, size: tuple[int, int] | None = None
+) -> DataFrame:
     """Label pixels of every pyramid level, nearest sampling, with tile numbers and colours.
 
     Each source pixel lists only the levels that sample it (about 1.3), so the table is
-    exploded once and nothing is shuffled but the image size.
+    exploded once and nothing is shuffled but the image size.  ``size`` (height, width) is that of
+    the camera, where pixels of an image may be missing; else the pixels' extent is taken.
     """
     def sampled(c: str, n: str):
         # target i takes source floor((i + 1/2) n / m), so a source serves at most one target
@@ -159,20 +166,23 @@ def mask_pyramid(px: DataFrame, keys: Sequence[str] = IMAGE, tile: int = TILE) -
         F.sequence(F.lit(0), F.col("_top")),
         lambda lv: F.struct(lv.alias("level"), sampled("y", "height")(lv).alias("y"), sampled("x", "width")(lv).alias("x")))
     kept = F.filter(levels, lambda s: s["y"].isNotNull() & s["x"].isNotNull())
-    out = _levels(px.select(*keys, "y", "x", "label"), keys).select(*keys, "label", F.explode(kept).alias("_s")).select(
+    out = _levels(px.select(*keys, "y", "x", "label"), keys, size).select(*keys, "label", F.explode(kept).alias("_s")).select(
         *keys, "_s.level", "_s.y", "_s.x", "label")
     return label_colours(out).withColumns({
         "tile_y": F.floor(F.col("y") / tile).cast("int"), "tile_x": F.floor(F.col("x") / tile).cast("int")})
 
 
-def image_pyramid(px: DataFrame, keys: Sequence[str] = IMAGE, tile: int = TILE) -> DataFrame:
+def image_pyramid(
+    px: DataFrame, keys: Sequence[str] = IMAGE, tile: int = TILE, size: tuple[int, int] | None = None
+) -> DataFrame:
     """Normalised image at every pyramid level as box means 0..255, with tile numbers.
 
     Blocks of a level are the source pixels sharing ``x div scale``; leftovers join the last
     block.  Sums are taken map-side, so levels beyond the finest add little to the exchange.
+    ``size`` is as in :func:`mask_pyramid`.
     """
     norm = normalise(px.select(*keys, "y", "x", "value"), keys)
-    n = _levels(norm.select(*keys, "y", "x", "norm"), keys).withColumn(
+    n = _levels(norm.select(*keys, "y", "x", "norm"), keys, size).withColumn(
         "level", F.explode(F.sequence(F.lit(0), F.col("_top")))
     ).withColumn("_scale", F.pow(F.lit(2.0), F.col("_top") - F.col("level")))
 

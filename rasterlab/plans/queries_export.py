@@ -166,7 +166,7 @@ def g1_contour_summary(spark, sf_dir):
 SELECT m.condition, m.image_set, CAST(a.level AS INT) AS level, CAST(a.i AS INT) AS y, CAST(b.i AS INT) AS x, label, CAST(a.i // 256 AS INT) AS tile_y, CAST(b.i // 256 AS INT) AS tile_x
 FROM mosaic m JOIN sr a ON a.src = m.y JOIN sr b ON b.src = m.x AND b.level = a.level""")
 def g4_mask_pyramid(spark, sf_dir):
-    return ex.mask_pyramid(views.mosaic(spark, sf_dir)).select(*PLACE, "level", "label", "tile_y", "tile_x")
+    return ex.mask_pyramid(views.mosaic(spark, sf_dir), size=views.MOSAIC_SIZE).select(*PLACE, "level", "label", "tile_y", "tile_x")
 
 
 @query("g5_image_pyramid", "mosaic", """
