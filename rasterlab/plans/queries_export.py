@@ -177,7 +177,7 @@ SELECT condition, image_set, CAST(level AS INT) AS level, CAST(least(y // sc, to
        CAST(floor(round(avg(norm) * 255, 6)) AS INT) AS gray, CAST(0 AS INT) AS tile_y, CAST(0 AS INT) AS tile_x
 FROM n, sz GROUP BY condition, image_set, level, least(y // sc, top), least(x // sc, top)""")
 def g5_image_pyramid(spark, sf_dir):
-    return ex.image_pyramid(views.mosaic(spark, sf_dir))
+    return ex.image_pyramid(views.mosaic(spark, sf_dir), size=views.MOSAIC_SIZE)
 
 
 # ---------------------------------------------------------------- segmentation
