@@ -34,6 +34,7 @@ _CUTS = "cast(split('" + " ".join(str(i / 1024) for i in range(1, 1024)) + "', '
 _MAX_HOT_GROUPS = 4096
 _HOT_VALUES = 1 << 20
 _SMALL_INPUT = 64 << 20
+_SPLIT = float((1 << 27) + 1)
 
 
 def _slice_of(value: Column, cuts: Column) -> Column:
@@ -156,6 +157,32 @@ def quantiles(
     return both.select(*keys, "_n", *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)])
 
 
+def quantiles_of_counts(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
+    """Quantiles of camera counts (below 2^26), one column per name, without a rounding in between.
+
+    ``low * (1 - share) + high * share`` with the first product exact, as SQL engines with fused
+    multiplication give it. The built-in aggregate rounds it and may differ in the last bit; where a
+    level falls on a whole number, a rounding down shows it. A window holds the distinct counts of a group.
+    """
+    keys = list(keys)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_w"))
+    at = {name: (F.col("_n") - 1).cast("double") * F.lit(float(p)) for name, p in probs.items()}
+    places = {f"_{end}{i}": round_(p) for i, p in enumerate(at.values()) for end, round_ in (("a", F.floor), ("b", F.ceil))}
+    picked = pick(_placed_in_groups(counts, keys, value), keys, value, places)
+    low, high = ([F.col(f"_{end}{i}").cast("double") for i in range(len(at))] for end in "ab")
+    out = []
+    for i, (name, p) in enumerate(at.items()):
+        share = p - F.floor(p)
+        rest = 1.0 - share
+        # two halves of the weight, so that each product with a count is exact
+        front = rest * _SPLIT - (rest * _SPLIT - rest)
+        a, b, c = low[i] * front, low[i] * (rest - front), high[i] * share
+        total = a + c
+        lost = (a - (total - (total - a))) + (c - (total - a))
+        out.append((total + (lost + b)).alias(name))
+    return picked.select(*keys, *out)
+
+
 def whole_numbers(df: DataFrame, value: str) -> bool:
     """Whether a column's type holds whole numbers only, as camera counts are."""
     return df.schema[value].dataType.typeName() in ("byte", "short", "integer", "long")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterlab.functions.joins import attach
-from rasterlab.functions.order import levels, quantiles
+from rasterlab.functions.order import levels, quantiles, quantiles_of_counts, whole_numbers
 from rasterlab.schema import IMAGE
 
 FLAT_FLOOR = 0.01
@@ -90,7 +90,8 @@ def correct(px: DataFrame, dark: DataFrame | None = None, flat: DataFrame | None
 
 
 def _limits(px: DataFrame, keys: Sequence[str], low: float, high: float) -> DataFrame:
-    q = levels(px, keys, "value", {"_lo": low, "_hi": high})
+    of = quantiles_of_counts if whole_numbers(px, "value") else levels
+    q = of(px, keys, "value", {"_lo": low, "_hi": high})
     v = F.col("value").cast("double")
     ends = px.groupBy(*keys).agg(F.min(v).alias("_min"), F.max(v).alias("_max"))
     narrow = F.col("_hi") <= F.col("_lo")
