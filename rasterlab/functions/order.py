@@ -32,7 +32,7 @@ _CUTS = "cast(split('" + " ".join(str(i / 1024) for i in range(1, 1024)) + "', '
 # A group is sliced when it holds more than 1/4096 of all distinct values, which
 # bounds the broadcast cut table to 4,096 rows of 1,023 numbers (32 MB).
 _MAX_HOT_GROUPS = 4096
-_HOT_VALUES = 1 << 20
+HOT_VALUES = 1 << 20
 _SMALL_INPUT = 64 << 20
 _SPLIT = float((1 << 27) + 1)
 
@@ -70,7 +70,7 @@ def _placed_in_groups(counts: DataFrame, keys: Sequence[str], value: str) -> Dat
 
 
 def positions(
-    df: DataFrame, keys: Sequence[str], value: str, hot_values: int = _HOT_VALUES, small: bool | None = None
+    df: DataFrame, keys: Sequence[str], value: str, hot_values: int = HOT_VALUES, small: bool | None = None
 ) -> DataFrame:
     """Distinct ``(keys, value)`` rows with their place in the order of ``value``.
 
@@ -125,6 +125,30 @@ def positions(
     )
 
 
+def sliced(
+    counts: DataFrame, keys: Sequence[str], value: str, hot_values: int = HOT_VALUES, small: bool | None = None
+) -> DataFrame:
+    """Adds ``_slice``: values of later slices are higher, and equal values share one.
+
+    For a table that is cheap to read again, with few groups. Groups of at most ``hot_values`` rows
+    stay whole, larger ones get up to 1,024 slices of nearly equal size.
+    """
+    keys = list(keys)
+    whole = counts.withColumn("_slice", F.lit(0))
+    if fits_one_task(counts) if small is None else small:
+        return whole
+    sizes = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d"))
+    widest, total = sizes.agg(F.max("_d"), F.sum("_d")).first()
+    most = max(hot_values, (total or 0) / _MAX_HOT_GROUPS)
+    if (widest or 0) <= most:
+        return whole
+    cuts = cut_lineage(
+        counts.join(F.broadcast(sizes.where(F.col("_d") > most).select(*keys)), keys, "left_semi")
+        .groupBy(*keys).agg(F.expr(f"percentile_approx(`{value}`, {_CUTS}, 10000)").alias("_cuts")))
+    found = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(_slice_of(F.col(value), F.col("_cuts")))
+    return counts.join(F.broadcast(cuts), keys, "left").withColumn("_slice", found).drop("_cuts")
+
+
 def pick(placed: DataFrame, keys: Sequence[str], value: str, places: Mapping[str, Column]) -> DataFrame:
     """The value at each zero-based place (an expression over ``_n``) of every group."""
     holds = {

@@ -7,12 +7,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterlab.functions.joins import attach
 from rasterlab.functions import special
-from rasterlab.functions.order import medians, pick, positions, to_long
+from rasterlab.functions.order import HOT_VALUES, fits_one_task, pick, positions, sliced, to_long
+from rasterlab.session import cut_lineage
 
 # exp(-z^2 / 2) is exactly 0 in double precision beyond this many bandwidths
 _REACH = 38.7
@@ -23,21 +24,63 @@ def stars(p: Column) -> Column:
     return F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("ns")
 
 
-def rank_sums(df: DataFrame, metrics: Sequence[str], group: str = "Condition") -> DataFrame:
+def rank_sums(
+    df: DataFrame, metrics: Sequence[str], group: str = "Condition", with_medians: bool = False,
+    hot_values: int = HOT_VALUES, small: bool | None = None,
+) -> DataFrame:
     """Per metric and group: ``n``, mid-rank sum ``r``, and over all groups ``total`` and ``ties`` = sum(t^3 - t).
 
-    Ranks run over the whole table.  They are placed on distinct values by the sliced
-    ordering, so no task sorts a whole metric.
+    Ranks run over the whole table.  The table is read once, for counts of (metric, value, group);
+    a task ranks one slice of a metric's values, and per slice and group a few sums are left, to
+    which the rows below the slice are added.  ``with_medians`` adds each group's ``median``, looked
+    up among the counts of the slice that holds it.
     """
-    long = to_long(df, [group], metrics)
-    per_group = long.groupBy("metric", "value", group).agg(F.count(F.lit(1)).alias("_c"))
-    placed = positions(long, ["metric"], "value")
-    rank = F.col("_before") + (F.col("_w") + 1) / 2
-    t = F.col("_w").cast("double")
-    sums = per_group.join(placed, ["metric", "value"]).groupBy("metric", group).agg(
-        F.sum("_c").alias("n"), F.sum(F.col("_c") * rank).alias("r"))
-    ties = placed.groupBy("metric").agg(F.max("_n").alias("total"), F.sum(t * t * t - t).alias("ties"))
-    return sums.join(ties, "metric")
+    long = to_long(df, [group], metrics).where("value is not null")
+    counts = long.groupBy("metric", "value", group).agg(F.count(F.lit(1)).alias("_c"))
+    small = fits_one_task(df) if small is None else small
+    if not small:
+        counts = cut_lineage(counts)
+    part = Window.partitionBy("metric", "_slice")
+    upto, t = F.col("_upto"), F.col("_t").cast("double")
+    ranked = sliced(counts, ["metric"], "value", hot_values, small).withColumns({
+        "_upto": F.sum("_c").over(part.orderBy("value").rangeBetween(Window.unboundedPreceding, Window.currentRow)),
+        "_t": F.sum("_c").over(Window.partitionBy("metric", "_slice", "value")),
+    })
+    parts = ranked.groupBy("metric", "_slice", group).agg(
+        F.sum("_c").alias("_n"), F.sum(F.col("_c") * (upto - F.col("_t") + (F.col("_t") + 1) / 2)).alias("_r"),
+        F.sum(F.col("_c") * (t * t - 1)).alias("_ties"), F.min("value").alias("_low"), F.max("value").alias("_high"))
+    if not small:
+        parts = cut_lineage(parts)  # at most 1,024 rows of a metric and group
+    earlier = Window.partitionBy("metric").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.groupBy("metric", "_slice").agg(F.sum("_n").alias("_rows")).select(
+        "metric", "_slice", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"))
+    sums = parts.join(starts, ["metric", "_slice"]).groupBy("metric", group).agg(
+        F.sum("_n").alias("n"), F.sum(F.col("_r") + F.col("_start") * F.col("_n")).alias("r"))
+    over_all = parts.groupBy("metric").agg(F.sum("_n").alias("total"), F.sum("_ties").alias("ties"))
+    out = sums.join(over_all, "metric")
+    return out.join(_medians_of_counts(counts, parts, group), ["metric", group]) if with_medians else out
+
+
+def _medians_of_counts(counts: DataFrame, parts: DataFrame, group: str) -> DataFrame:
+    """Median of each metric and group, with the bits of ``percentile``; ``parts`` says which values lie around it."""
+    by = Window.partitionBy("metric", group)
+    place = (F.col("_all") - 1) * F.lit(0.5)
+    ends = {"_a": F.floor(place), "_b": F.ceil(place)}
+    placed = parts.withColumns({
+        "_all": F.sum("_n").over(by),
+        "_g0": F.coalesce(F.sum("_n").over(by.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+    })
+    holds = {k: (F.col("_g0") <= at) & (at < F.col("_g0") + F.col("_n")) for k, at in ends.items()}
+    around = placed.where(holds["_a"] | holds["_b"]).groupBy("metric", group).agg(
+        F.min("_low").alias("_from"), F.max("_high").alias("_to"), F.min("_g0").alias("_g0"), F.max("_all").alias("_all"))
+    near = counts.join(around, ["metric", group]).where(F.col("value").between(F.col("_from"), F.col("_to")))
+    last = F.col("_g0") + F.sum("_c").over(by.orderBy("value"))
+    placed = near.withColumn("_last", last)
+    low, high = (F.max(F.when((F.col("_last") - F.col("_c") <= at) & (at < F.col("_last")), F.col("value"))).alias(k)
+                 for k, at in ends.items())
+    found = placed.groupBy("metric", group, "_all").agg(low, high)
+    between = (F.ceil(place) - place) * F.col("_a") + (place - F.floor(place)) * F.col("_b")
+    return found.select("metric", group, F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(between).alias("median"))
 
 
 def mann_whitney(
@@ -53,9 +96,7 @@ def mann_whitney(
         df = df.join(F.broadcast(first_two), group, "left_semi")
     else:
         df = df.where(F.col(group).isin(*pair))
-    s = rank_sums(df, metrics, group)
-    mid = medians(to_long(df, [group], metrics), [group, "metric"], "value")
-    s = s.join(mid, [group, "metric"])
+    s = rank_sums(df, metrics, group, with_medians=True)
     lo, hi = F.min(F.struct(group, "n", "r", "median")), F.max(F.struct(group, "n", "r", "median"))
     both = s.groupBy("metric").agg(lo.alias("a"), hi.alias("b"), F.first("total").alias("total"),
                                    F.first("ties").alias("ties"))
