@@ -36,6 +36,7 @@ from rasterlab.schema import IMAGE, METRIC_SUFFIX
 from rasterlab.session import cut_lineage
 
 RATIO_METRICS = ("Red_CTCF", "GFP_CTCF", "ratio")
+RATIO_PARTS = ("clean", "summary", "two_groups", "all_groups", "correlation")
 
 # Keyword lists of the ratio study, in priority order.
 RATIO_KEYWORDS = {
@@ -148,8 +149,13 @@ def timelapse(px: DataFrame, radius: float = 50) -> tuple[DataFrame, DataFrame]:
     return tracks, track_ctcf(tracks, px)
 
 
-def ratio_study(table: DataFrame, keywords: Mapping[str, Sequence[str]] | None = None) -> dict[str, DataFrame]:
-    """Two-marker ratio study of a result table: column roles, cleaning, outliers, summary, tests."""
+def ratio_study(
+    table: DataFrame, keywords: Mapping[str, Sequence[str]] | None = None, parts: Sequence[str] = RATIO_PARTS
+) -> dict[str, DataFrame]:
+    """Two-marker ratio study of a result table: column roles, cleaning, outliers, summary, tests.
+
+    ``parts`` names the tables wanted; large tables are ranked only for the test that applies.
+    """
     names = roles_of(table.columns, keywords or RATIO_KEYWORDS)
     renamed = table.select(*[
         F.col(found).alias(role) for role, found in
@@ -158,14 +164,15 @@ def ratio_study(table: DataFrame, keywords: Mapping[str, Sequence[str]] | None =
     clean = clean_ratio(renamed, area="Area" if names["area"] else None)
     kept = remove_iqr_outliers(clean, RATIO_METRICS)
     # two conditions get the two-sample test, more of them the test over all
-    conditions = kept.agg(F.countDistinct("Condition").alias("n")).scalar()
-    return {
-        "clean": kept,
-        "summary": ratio_summary(kept),
-        "two_groups": mann_whitney(kept, RATIO_METRICS).where(conditions == 2),
-        "all_groups": kruskal_wallis(kept, RATIO_METRICS).where(conditions > 2),
-        "correlation": pearson(kept, "Red_CTCF", "GFP_CTCF"),
+    conditions = kept.agg(F.countDistinct("Condition")).first()[0] if {"two_groups", "all_groups"} & set(parts) else 0
+    tables = {
+        "clean": lambda: kept,
+        "summary": lambda: ratio_summary(kept),
+        "two_groups": lambda: mann_whitney(kept if conditions == 2 else kept.limit(0), RATIO_METRICS),
+        "all_groups": lambda: kruskal_wallis(kept if conditions > 2 else kept.limit(0), RATIO_METRICS),
+        "correlation": lambda: pearson(kept, "Red_CTCF", "GFP_CTCF"),
     }
+    return {part: tables[part]() for part in parts}
 
 
 def roles_of(columns: Sequence[str], keywords: Mapping[str, Sequence[str]]) -> dict[str, str | None]:

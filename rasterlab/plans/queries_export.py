@@ -376,13 +376,13 @@ SELECT Condition AS "Condition", count(*) AS "N_cells", round(avg(Red_CTCF), 6)
        round(avg(GFP_CTCF), 6) AS "Green_mean", round(median(GFP_CTCF), 6) AS "Green_median", round(avg(ratio), 6) AS "Ratio_mean",
        round(median(ratio), 6) AS "Ratio_median", round(stddev_samp(ratio), 6) AS "Ratio_std" FROM f3 GROUP BY Condition""")
 def z5_ratio_study(spark, sf_dir):
-    return rounded(analyses.ratio_study(views.ratio(spark, sf_dir))["summary"])
+    return rounded(analyses.ratio_study(views.ratio(spark, sf_dir), parts=["summary"])["summary"])
 
 
 @query("z5_ratio_tests", "ratio", f"""{IQR3}, {LONG.replace("FROM clean", "FROM f3")}
 {KRUSKAL_P}""")
 def z5_ratio_tests(spark, sf_dir):
-    return rounded(analyses.ratio_study(views.ratio(spark, sf_dir))["all_groups"])
+    return rounded(analyses.ratio_study(views.ratio(spark, sf_dir), parts=["all_groups"])["all_groups"])
 
 
 @query("z7_both_segmentations", "mosaic markers", """
