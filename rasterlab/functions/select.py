@@ -18,6 +18,8 @@ from rasterlab.functions.joins import attach
 from rasterlab.session import cut_lineage
 
 _MANTISSA = 52
+# Up to this many wanted ranks are copied to every salt; more of them are joined plainly.
+_SALTED_RANKS = 4096
 
 
 def ordered_code(value: Column) -> Column:
@@ -69,11 +71,14 @@ def quantiles_by_radix(
              for i, c in enumerate(names) for j, end in enumerate((F.floor, F.ceil))]
     wanted = cut_lineage(counts.groupBy("_g").agg(F.sum("_w").alias("_n")).select("_g", "_n", F.explode(F.array(*ranks)).alias("r")).select("_g", "_n", "r.*"))
     below, found = ["_g"], []
+    n_wanted = None
     for shift in (48, 32, 16, 0):
         part = counts
         if found:
-            part = attach(counts.withColumn("_up", F.shiftright("_code", shift + 16)), wanted.select("_g", "_up").distinct(), ["_g", "_up"])
+            # of few groups each may hold many values; many groups hold few, and AQE splits one that does not
+            join = attach if n_wanted <= _SALTED_RANKS else DataFrame.join
             below = ["_g", "_up"]
+            part = join(counts.withColumn("_up", F.shiftright("_code", shift + 16)), wanted.select(*below).distinct(), below)
         cells = part.groupBy(*below, F.shiftright("_code", shift).alias("_cell")).agg(
             F.sum("_w").alias("_c"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
         earlier = Window.partitionBy(*below).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
@@ -83,7 +88,8 @@ def quantiles_by_radix(
             "_g", "_n", "want", (F.col("_rank") - F.col("_before")).alias("_rank"), F.col("_cell").alias("_up"), "_low", "_high"))
         found.append(hit.where("_low = _high"))
         wanted = hit.where("_low <> _high").drop("_low", "_high")
-        if wanted.isEmpty():
+        n_wanted = wanted.count()
+        if n_wanted == 0:
             break
     every = found[0]
     for more in found[1:]:
