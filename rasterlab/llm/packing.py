@@ -25,6 +25,9 @@ from rasterlab.llm.common import small_batches
 _PLAIN = re.compile("[\\x21-\\x7E\\u00C0-\\u00D6\\u00D8-\\u00F6\\u00F8-\\u00FF]+")
 #: Pre-tokens of the vocabulary file (fixed by it), for such chunks in lower case.
 _PRETOKEN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\\u00DF-\\u00F6\\u00F8-\\u00FF]+|[0-9]|[^a-z0-9\\u00DF-\\u00F6\\u00F8-\\u00FF]+")
+#: Texts of such chunks and ASCII white space, and their pre-tokens in lower case.
+_PLAIN_TEXT = re.compile("[\\x09-\\x0D\\x20-\\x7E\\u00C0-\\u00D6\\u00D8-\\u00F6\\u00F8-\\u00FF]*")
+_PRETOKEN_OF_TEXT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\\u00DF-\\u00F6\\u00F8-\\u00FF]+|[0-9]|[^\\x09-\\x0D\\x20a-z0-9\\u00DF-\\u00F6\\u00F8-\\u00FF]+")
 #: Bytes that the tables of a worker may take, and what an entry takes beside its own bytes.
 _CACHED, _ENTRY = 128_000_000, 120
 #: Shorter chunks and pre-tokens are met most often.
@@ -83,7 +86,8 @@ class WordTokenizer:
             ids, of = np.array(found.ids, "<u4"), np.array(found.word_ids)
             cuts = np.flatnonzero(np.diff(of)) + 1
             if len(cuts) + 1 == len(part):
-                self.pretokens.update(zip(part, (x.tobytes() for x in np.split(ids, cuts))))
+                raw, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
+                self.pretokens.update(zip(part, [raw[a:b] for a, b in zip([0, *ends], ends)]))
             else:
                 self.pretokens.update((p, self._ids(p)) for p in part)
             self.size += sum(len(p) + len(self.pretokens[p]) + _ENTRY for p in part)
@@ -104,26 +108,37 @@ class WordTokenizer:
         self.size += sum(len(c) + len(self.chunks[c]) + _ENTRY for c in chunks)
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Ids of each text; no more than a few megabytes of text are split at once."""
+        """Ids of each text; no more than a few megabytes of text are split at once.
+
+        Plain texts are cut into pre-tokens as a whole, others chunk by chunk.
+        """
         at = 0
         while at < len(texts):
             split, size = [], 0
-            while at < len(texts) and size < 4_000_000:
-                t = (texts[at] or "").encode("utf-8", "surrogatepass")
-                split.append(t.split())
+            while at < len(texts) and size < 2_000_000:
+                t = texts[at] or ""
+                plain = _PLAIN_TEXT.fullmatch(t) is not None
+                split.append((plain, _PRETOKEN_OF_TEXT.findall(t.lower()) if plain else t.encode("utf-8", "surrogatepass").split()))
                 size += len(t) + 1
                 at += 1
-            new = {c for chunks in split for c in chunks}
-            new.difference_update(self.chunks)
+            needed = {c for plain, parts in split if not plain for c in parts}
+            new = needed - self.chunks.keys()
             if new:
                 # when the table starts anew, chunks met before are needed again
                 held = self.chunks
                 self._learn(new)
                 if held is not self.chunks:
-                    self._learn({c for chunks in split for c in chunks} - self.chunks.keys())
-            get = self.chunks
-            for chunks in split:
-                yield b"".join([get[c] for c in chunks])
+                    self._learn(needed - self.chunks.keys())
+            of_chunks = self.chunks  # stays whole when the tables start anew
+            pieces = set().union(*[parts for plain, parts in split if plain])
+            new = pieces.difference(self.pretokens)
+            if new:
+                self._make_room(sum(map(len, new)) * 2 + _ENTRY * len(new))
+                self._learn_pretokens(list(pieces.difference(self.pretokens)))
+            of_pieces = self.pretokens
+            for plain, parts in split:
+                get = of_pieces if plain else of_chunks
+                yield b"".join([get[c] for c in parts])
 
 
 def cut(tokens: int, prompt: int, limits: tuple[int, int, int]) -> list[tuple[int, int, int]]:

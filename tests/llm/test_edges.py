@@ -272,3 +272,18 @@ def test_packing_under_three_limits(spark):
     assert all(t <= 64 and s <= 3 and loss <= 32 for t, s, loss in bins.values())
     assert sum(r.loss_tokens for r in out) == sum(len(t.split()) + 1 for _, _, t in rows)
     assert sum(r.length for r in out) == sum(len(p.split()) + len(t.split()) + 1 for _, p, t in rows)
+
+
+def test_ids_of_plain_and_other_texts(monkeypatch):
+    """Whole plain texts and chunks of others have the tokenizer's ids, also when the tables start anew; plain ones fill no chunk table."""
+    texts = ["It's 42,000 CAFÉ-like\tßtraße\x0b!!''re\x1f don'T", None, "", " \n ", "naïve œuvre’s “quote” 12", "a\x1cb 漢字 x", "pªq × ÀÉÎ'LL"]
+    rng = random.Random(3)
+    texts += ["".join(rng.choice("abcXYZéÀ's09 ,.\n\t-_'") for _ in range(400)) for _ in range(40)]
+    for cached, parts in ((packing._CACHED, (texts[:9], texts[9:])), (2000, (texts[7:20], texts[20:]))):
+        monkeypatch.setattr(packing, "_CACHED", cached)
+        coder = packing.WordTokenizer(tokenizer_path())
+        for part in 2 * parts:
+            want = [coder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in part]
+            assert [np.frombuffer(b, "<u4").tolist() for b in coder.encode(part)] == want
+    coder = packing.WordTokenizer(tokenizer_path())
+    assert len(list(coder.encode(texts[7:]))) == 40 and not coder.chunks
