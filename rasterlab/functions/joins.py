@@ -40,3 +40,12 @@ def attach_labels(px: DataFrame, per_cell: DataFrame, keys: Sequence[str], label
     joined = px.withColumn("_own", _own_label(label, places)).join(cells, [*keys, "_own"], "left").drop("_own")
     added = [c for c in cells.columns if c not in (*keys, "_own")]
     return joined.select(*px.columns, *added)
+
+
+def attach_pixels(px: DataFrame, values: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Joins values of single pixels (one row per key, y, x) to pixels; ``how`` is left or inner.
+
+    Sorted and merged, which spills: a written table of pixels takes a few bytes a row in its file, so
+    the planner would broadcast millions of rows and every executor would hold all of them.
+    """
+    return px.join(values.hint("merge"), [*keys, "y", "x"], how)

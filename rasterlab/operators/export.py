@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rasterlab.functions.graph import connected_components
-from rasterlab.functions.joins import attach
+from rasterlab.functions.joins import attach, attach_pixels
 from rasterlab.operators.pixels import label_colours, normalise
 from rasterlab.operators.spatial import image_size
 from rasterlab.operators.tables import match_suffix
@@ -292,5 +292,5 @@ def _segment_tiles(
     first = cut_lineage(joined.groupBy(*keys, "_code").agg(F.min(place).alias("_first")))
     numbered = first.join(positions(first, keys, "_first").select(*keys, "_first", (F.col("_rank0") + 1).cast("int").alias("_label")), [*keys, "_first"])
     labels = joined.join(numbered.select(*keys, "_code", "_label"), [*keys, "_code"]).select(*keys, "y", "x", "_label")
-    return inputs.select(*keys, "y", "x").join(labels, [*keys, "y", "x"], "left").select(
+    return attach_pixels(inputs.select(*keys, "y", "x"), labels, keys).select(
         *keys, "y", "x", F.coalesce("_label", F.lit(0)).alias("label"))

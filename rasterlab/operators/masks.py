@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rasterlab.functions.joins import attach, attach_labels
+from rasterlab.functions.joins import attach, attach_labels, attach_pixels
 from rasterlab.functions.grouped import stream_groups
 from rasterlab.operators.components import components
 from rasterlab.operators.spatial import image_size
@@ -104,7 +104,7 @@ def add_cells(px: DataFrame, polygons: DataFrame, keys: Sequence[str] = IMAGE) -
         F.min(F.when(~F.col("overwrite"), F.col("_new"))).alias("_first"),
     )
     label = F.coalesce("_over", F.when(F.col("label") == 0, F.coalesce("_first", F.lit(0))), "label")
-    return _with_label(px.join(per_pixel, [*keys, "y", "x"], "left"), label, px.columns)
+    return _with_label(attach_pixels(px, per_pixel, keys), label, px.columns)
 
 
 def grow_from_seeds(
@@ -128,7 +128,7 @@ def grow_from_seeds(
     numbers = first.select(*keys, "seq").distinct().join(_top_label(px, keys), keys).select(
         *keys, "seq", (F.col("_top") + F.row_number().over(order)).alias("_new"))
     written = attach(first, numbers, [*keys, "seq"]).select(*keys, "y", "x", "_new")
-    return _with_label(px.join(written, [*keys, "y", "x"], "left"), F.coalesce("_new", "label"), px.columns)
+    return _with_label(attach_pixels(px, written, keys), F.coalesce("_new", "label"), px.columns)
 
 
 def _flooded(px: DataFrame, start: DataFrame, keys: Sequence[str], tolerance: float, tile: int) -> DataFrame:
@@ -216,7 +216,7 @@ def clean_small_objects(px: DataFrame, keys: Sequence[str] = IMAGE, min_size: in
     parts = components(px.where("label > 0").select(*keys, "y", "x", "label"), keys)
     big = parts.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_size)
     kept = parts.join(big, [*keys, "component"]).select(*keys, "y", "x", F.lit(True).alias("_kept"))
-    cleaned = _with_label(px.join(kept, [*keys, "y", "x"], "left"),
+    cleaned = _with_label(attach_pixels(px, kept, keys),
                           F.when(F.col("_kept"), F.col("label")).otherwise(0), px.columns)
     return relabel_sequential(cleaned, keys)
 
@@ -249,7 +249,7 @@ def fill_holes(px: DataFrame, keys: Sequence[str] = IMAGE, max_hole_size: int |
         sizes = holes.groupBy(*per).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_hole_size)
         holes, filled = holes.join(sizes, per, "left_anti"), mask.join(sizes, per, "left_anti")
     top = filled.unionByName(holes).groupBy(*keys, "y", "x").agg(F.max("label").alias("_top"))
-    return _with_label(px.join(top, [*keys, "y", "x"], "left"), F.coalesce("_top", "label"), px.columns)
+    return _with_label(attach_pixels(px, top, keys), F.coalesce("_top", "label"), px.columns)
 
 
 def dilate(
@@ -279,7 +279,7 @@ def dilate(
     owned = _settled(state, keys, iterations, tile)
     grown = owned.where(F.col("_free") & (F.col("_value") < _NOBODY)).select(
         *keys, "y", "x", F.floor(F.col("_value") / (iterations + 1)).alias("_new"))
-    return _with_label(px.join(grown, [*keys, "y", "x"], "left"), F.coalesce("_new", "label"), px_cols)
+    return _with_label(attach_pixels(px, grown, keys), F.coalesce("_new", "label"), px_cols)
 
 
 def _settled(state: DataFrame, keys: Sequence[str], steps: int, tile: int = TILE) -> DataFrame:
@@ -372,7 +372,7 @@ def smooth_boundaries(px: DataFrame, keys: Sequence[str] = IMAGE, sigma: float =
         for _ in range(steps):
             cells = move(cells)
     top = cells.groupBy(*keys, "y", "x").agg(F.max("label").alias("_top"))
-    return _with_label(px.join(top, [*keys, "y", "x"], "left"), F.coalesce("_top", F.lit(0)), px.columns)
+    return _with_label(attach_pixels(px, top, keys), F.coalesce("_top", F.lit(0)), px.columns)
 
 
 def merge_masks(a: DataFrame, b: DataFrame, keys: Sequence[str] = IMAGE, mode: str = "union") -> DataFrame:
