@@ -56,6 +56,32 @@ def _by_group(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
 
 
+def stream_batches(
+    df: DataFrame, cols: Sequence[str], order: Sequence[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType
+) -> DataFrame:
+    """Calls ``fn`` with many whole groups at a time, by group and then ``order``: for tiny groups.
+
+    A task holds one batch and the group in progress.
+    """
+    cols, order = list(cols), list(order)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for pdf in batches:
+            if rest is not None:
+                pdf = pd.concat([rest, pdf], ignore_index=True)
+            ends = group_ends(pdf, cols)
+            # the last group may go on in the next batch
+            last = ends[-2] if len(ends) > 1 else 0
+            rest = pdf.iloc[last:]
+            if last:
+                yield fn(pdf.iloc[:last])
+        if rest is not None and len(rest):
+            yield fn(rest)
+
+    return _by_group(df, cols).sortWithinPartitions(*cols, *order).mapInPandas(run, schema=schema)
+
+
 def stream_choose(
     df: DataFrame, cols: Sequence[str], items: Sequence[str], choose: Callable[[list[tuple]], Sequence[int]]
 ) -> DataFrame:
@@ -71,14 +97,14 @@ def stream_choose(
         for pdf in batches:
             if rest is not None:
                 pdf = pd.concat([rest, pdf], ignore_index=True)
-            ends = _group_ends(pdf, cols)
+            ends = group_ends(pdf, cols)
             # the last group may go on in the next batch
             last = ends[-2] if len(ends) > 1 else 0
             rest = pdf.iloc[last:]
             if last:
                 yield pdf.iloc[_chosen(pdf.iloc[:last], ends[:-1])]
         if rest is not None and len(rest):
-            yield rest.iloc[_chosen(rest, _group_ends(rest, cols))]
+            yield rest.iloc[_chosen(rest, group_ends(rest, cols))]
 
     def _chosen(pdf: pd.DataFrame, ends: np.ndarray) -> list[int]:
         rows = list(zip(*[pdf[c].tolist() for c in items]))
@@ -92,7 +118,7 @@ def stream_choose(
     return ordered.mapInPandas(run, schema=df.schema)
 
 
-def _group_ends(pdf: pd.DataFrame, cols: Sequence[str]) -> np.ndarray:
+def group_ends(pdf: pd.DataFrame, cols: Sequence[str]) -> np.ndarray:
     """Row numbers just past each run of equal keys."""
     change = np.zeros(max(len(pdf) - 1, 0), dtype=bool)
     for c in cols:

@@ -183,6 +183,8 @@ def voronoi(px: DataFrame, keys: Sequence[str] = IMAGE) -> DataFrame:
     """
     keys = list(keys)
     free = nearest_label(px.select(*keys, "y", "x", "label", "value"), keys).where("label = 0")
+    # the distance transform is dear, and the limit, the cells and the whole image read it
+    free = cut_lineage(free.select(*keys, "nearest", "d2", "value"))
     ladder = (10, 5, 3, 1)  # fixed values: distance steps of the method
     counts = free.groupBy(*keys).agg(*[F.count_if(F.col("d2") >= d * d).alias(f"_c{d}") for d in ladder])
     limit = F.lit(0)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rasterlab.functions.grouped import group_ends, stream_batches
 from rasterlab.operators.spatial import image_size
 from rasterlab.operators.tiling import along_x, along_y, core_only, tiles
 from rasterlab.schema import IMAGE
@@ -20,7 +21,6 @@ _PERIMETER_WEIGHTS = {
     2.0 ** 0.5: (21, 33),
     (1 + 2.0 ** 0.5) / 2: (13, 23),
 }
-_CELLS_PER_BATCH = 256
 
 
 def moments(px: DataFrame, keys: Sequence[str] = IMAGE) -> DataFrame:
@@ -67,61 +67,69 @@ def perimeters(px: DataFrame, keys: Sequence[str] = IMAGE) -> DataFrame:
     return t.where("label <> 0").groupBy(*keys, "label").agg(F.sum(edge_weight).alias("perimeter"))
 
 
-def _hull_pixels(y: np.ndarray, left: np.ndarray, right: np.ndarray) -> int:
-    """Pixels whose centre lies in the convex hull of a cell given by its row extremes.
+def _lower_chain(cell: np.ndarray, t: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Corners of the convex hull of every cell's points on the side of small ``v``; one point for each ``t``, in order.
 
-    Works in half-pixel units, so every comparison is exact integer arithmetic.
+    A point on or above the line between its neighbours is none. All such points of all cells go at
+    once, until there are none: that takes a few passes, and no loop over cells.
     """
-    y, left, right = 2 * y.astype(np.int64), 2 * left.astype(np.int64), 2 * right.astype(np.int64)
-    pts = sorted(set(
-        list(zip(y, left - 1)) + list(zip(y, right + 1))
-        + [(r + d, c) for d in (-1, 1) for r, c in list(zip(y, left)) + list(zip(y, right))]
-    ))
-
-    def chain(points, turn):
-        out = []
-        for p in points:
-            while len(out) > 1 and turn * (
-                (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0])
-            ) <= 0:
-                out.pop()
-            out.append(p)
-        return np.array(out)
-
-    rows = np.arange(y.min(), y.max() + 1, 2)
-    # the two chains run in y order: one bounds x from below, the other from above
-    low, high = chain(pts, 1), chain(pts, -1)
-
-    def bound(side, upper):
-        i = np.clip(np.searchsorted(side[:, 0], rows, side="right") - 1, 0, len(side) - 2)
-        (y0, x0), (y1, x1) = side[i].T, side[i + 1].T
-        num, den = x0 * (y1 - y0) + (x1 - x0) * (rows - y0), 2 * (y1 - y0)
-        return np.floor_divide(num, den) if upper else -np.floor_divide(-num, den)
-
-    return int(np.maximum(bound(high, True) - bound(low, False) + 1, 0).sum())
+    while True:
+        run, rise = t[1:-1] - t[:-2], v[1:-1] - v[:-2]
+        inside = rise * (t[2:] - t[:-2]) >= (v[2:] - v[:-2]) * run
+        gone = np.flatnonzero(inside & (cell[:-2] == cell[2:])) + 1
+        if not len(gone):
+            return cell, t, v
+        cell, t, v = np.delete(cell, gone), np.delete(t, gone), np.delete(v, gone)
+
+
+def _hull_pixels(cell: np.ndarray, y: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Pixels whose centre lies in the convex hull of each cell, given by its row extremes.
+
+    Rows come by cell (0, 1, ...) and y. Works in half-pixel units, so every comparison is exact
+    integer arithmetic.
+    """
+    first = np.flatnonzero(np.diff(cell, prepend=-1))
+    y, left, right = y.astype(np.int64), left.astype(np.int64), right.astype(np.int64)
+    y = y - y[first][cell]
+    height = y[np.append(first[1:], len(y)) - 1] + 1
+    # the rows of all cells, also those a cell of several parts skips
+    of = np.repeat(np.arange(len(first)), height)
+    rows = 2 * (np.arange(len(of)) - np.repeat(np.cumsum(height) - height, height))
+    span = 2 * int(height.max()) + 4
+
+    def bound(side: np.ndarray) -> np.ndarray:
+        """The smallest whole number at or above the hull's lower side, for each row."""
+        points = np.concatenate([
+            np.stack([cell, 2 * y, 2 * side - 1]), np.stack([cell, 2 * y - 1, 2 * side]), np.stack([cell, 2 * y + 1, 2 * side])], axis=1)
+        points = points[:, np.lexsort((points[2], points[1], points[0]))]
+        same = (points[0, 1:] == points[0, :-1]) & (points[1, 1:] == points[1, :-1])
+        c, t, v = _lower_chain(*points[:, np.append(True, ~same)])
+        i = np.searchsorted(c * span + t, of * span + rows, side="right") - 1
+        num, den = v[i] * (t[i + 1] - t[i]) + (v[i + 1] - v[i]) * (rows - t[i]), 2 * (t[i + 1] - t[i])
+        return -np.floor_divide(-num, den)
+
+    # the far side is the near side of the mirrored cell
+    return np.add.reduceat(np.maximum(1 - bound(-right) - bound(left), 0), np.cumsum(height) - height)
 
 
 def solidity(px: DataFrame, keys: Sequence[str] = IMAGE) -> DataFrame:
     """Area over convex-hull area per label.
 
-    Only row extremes reach Python, a batch of labels at a time.
+    Only row extremes reach Python; a batch of them holds many cells, whose hulls are found together.
     """
     keys = list(keys)
-    rows = px.where("label <> 0").groupBy(*keys, "label", "y").agg(
-        F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("n")
-    ).withColumn("_batch", F.floor(F.col("label") / _CELLS_PER_BATCH))
+    on = [*keys, "label"]
+    rows = px.where("label <> 0").groupBy(*on, "y").agg(
+        F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("n"))
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["label", "y"])
-        out = []
-        for label, g in pdf.groupby("label", sort=False):
-            hull = _hull_pixels(g.y.to_numpy(), g.lo.to_numpy(), g.hi.to_numpy())
-            out.append((*(g[k].iloc[0] for k in keys), label, float(g.n.sum()) / hull))
-        return pd.DataFrame(out, columns=[*keys, "label", "solidity"])
-
-    schema = T.StructType([rows.schema[k] for k in keys] + [rows.schema["label"],
-                                                            T.StructField("solidity", T.DoubleType())])
-    return rows.groupBy(*keys, "_batch").applyInPandas(kernel, schema=schema)
+        cell = np.repeat(np.arange(len(ends := group_ends(pdf, on))), np.diff(ends, prepend=0))
+        hull = _hull_pixels(cell, pdf.y.to_numpy(), pdf.lo.to_numpy(), pdf.hi.to_numpy())
+        first = np.append(0, ends[:-1])
+        return pdf.iloc[first][on].assign(solidity=np.add.reduceat(pdf.n.to_numpy().astype(float), first) / hull)
+
+    schema = T.StructType([rows.schema[c] for c in on] + [T.StructField("solidity", T.DoubleType())])
+    return stream_batches(rows, on, ["y"], kernel, schema)
 
 
 def morphology(px: DataFrame, keys: Sequence[str] = IMAGE, pieces: DataFrame | None = None) -> DataFrame:
