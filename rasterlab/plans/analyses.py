@@ -83,8 +83,8 @@ def quantify(
     """The full measurement: calibration, shape, quality gates, background, CTCF, flags, wide table.
 
     ``px`` is long over markers (keys, marker, y, x, label, [nuclear_label], value).  Rejected
-    cells count as background.  Two cell-sized tables are written on the way, the gated shapes
-    and the measurements, because several later steps read each; pixels are never copied.
+    cells count as background.  Three tables are written on the way, the gated shapes, the gated and
+    corrected pixels and the measurements, because several later steps read each.
     """
     keys = list(keys)
     mk = [*keys, "marker"]
@@ -95,7 +95,8 @@ def quantify(
         gated = cut_lineage(gates(shape, thresholds))
         shape = gated
         px = apply_gates(px, gated, keys)
-    signal = correct(px, dark, flat) if dark is not None or flat is not None else px
+    # read by every estimate and measurement below
+    signal = cut_lineage(correct(px, dark, flat) if dark is not None or flat is not None else px)
 
     images, cell_bg = estimate(signal, mk, background, **background_options)
     stats = label_stats(signal, mk, nuclear=bool(nuclear_markers))
