@@ -317,7 +317,8 @@ def near_duplicate_groups(
                 prints = [hashlib.blake2b(s, digest_size=16).digest() for s in found]
                 yield pa.RecordBatch.from_arrays([pa.array(prints, pa.binary()), pa.array(found, pa.binary())], ["print", "set"])
 
-    holders = reps.join(wanted, "u").select(F.col("doc").alias("_doc")).distinct()
+    # a few bytes for each candidate: a table whose size is known spares the texts a shuffle while it can be broadcast
+    holders = cut_lineage(reps.join(wanted, "u").select(F.col("doc").alias("_doc")).distinct())
     texts = docs.join(holders, F.col("doc") == F.col("_doc")).select("text")
     sets = cut_lineage(
         texts.mapInArrow(as_sets, "print binary, set binary").select(F.xxhash64("print").alias("doc"), "set").dropDuplicates(["doc"])

@@ -115,3 +115,14 @@ def test_bounds_spare_comparisons():
         assert (lower * (1 - 1e-9) - 1e-9 <= np.sqrt(np.where(np.arange(12) == a[:, None], 10**12, d).min(1))).all()
         before, at = at, np.array([x[a == c].sum(0) // max((a == c).sum(), 1) if (a == c).any() else at[c] for c in range(12)])
     assert compared[0] >= len(x) - 12 and compared[-1] < len(x) / 2
+
+
+def test_names_of_candidates_are_written(spark, monkeypatch):
+    """The texts are joined with a table of known size, so that they need no shuffle while it is small."""
+    from rasterlab.llm import near_dedup
+
+    seen, cut = [], near_dedup.cut_lineage
+    monkeypatch.setattr(near_dedup, "cut_lineage", lambda df: (seen.append(df.columns), cut(df))[1])
+    docs = spark.createDataFrame([(0, "one two three four five six"), (1, "one two three four five six"), (2, "other words")], "doc_id long, text string")
+    rows = {r.doc_id: r.component_id for r in near_dedup.near_duplicate_groups(docs, shingle=2).collect()}
+    assert rows == {0: 0, 1: 0, 2: 2} and ["_doc"] in seen
