@@ -130,15 +130,17 @@ class WordTokenizer:
                 if held is not self.chunks:
                     self._learn(needed - self.chunks.keys())
             of_chunks = self.chunks  # stays whole when the tables start anew
-            pieces = set().union(*[parts for plain, parts in split if plain])
-            new = pieces.difference(self.pretokens)
+            known = self.pretokens
+            new = {p for plain, parts in split if plain for p in parts if p not in known}
             if new:
                 self._make_room(sum(map(len, new)) * 2 + _ENTRY * len(new))
-                self._learn_pretokens(list(pieces.difference(self.pretokens)))
+                if known is not self.pretokens:
+                    known = self.pretokens
+                    new = {p for plain, parts in split if plain for p in parts if p not in known}
+                self._learn_pretokens(list(new))
             of_pieces = self.pretokens
             for plain, parts in split:
-                get = of_pieces if plain else of_chunks
-                yield b"".join([get[c] for c in parts])
+                yield b"".join(map((of_pieces if plain else of_chunks).__getitem__, parts))
 
 
 def cut(tokens: int, prompt: int, limits: tuple[int, int, int]) -> list[tuple[int, int, int]]:
