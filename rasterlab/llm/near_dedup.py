@@ -144,6 +144,33 @@ def _table_keys(reps: DataFrame, bands: int, rows: int) -> DataFrame:
     return reps.select("u", "sig").mapInArrow(keys, "key long, number int, u long")
 
 
+def _buckets(keyed: DataFrame) -> DataFrame:
+    """Rows (key, number, u, center, size, one, two) of buckets of at least two documents.
+
+    ``center`` is the smallest member; ``one`` and ``two`` are the same for buckets of more than two
+    documents with the same members, and null for others.
+    """
+    bucket = Window.partitionBy("key")
+    counted = keyed.withColumns({
+        "center": F.min("u").over(bucket), "last": F.max("u").over(bucket), "size": F.count(F.lit(1)).over(bucket),
+        "one": F.bit_xor("u").over(bucket), "two": F.bit_xor(F.xxhash64("u")).over(bucket),
+    })
+    crowd = F.col("size") > 2
+    return counted.where("center < last").select(
+        "key", "number", "u", "center", "size", F.when(crowd, F.col("one")).alias("one"), F.when(crowd, F.col("two")).alias("two")
+    )
+
+
+def _crowded(buckets: DataFrame) -> DataFrame:
+    """Rows (key, number, u) of buckets of more than two; of those with the same members only the one of the first table.
+
+    The first table that a pair shares is among these: a left out bucket has its members in an earlier table.
+    """
+    crowded = buckets.where("size > 2")
+    firsts = crowded.where("u = center").groupBy("center", "size", "one", "two").agg(F.min(F.struct("number", "key")).alias("first"))
+    return crowded.join(firsts.select("first.key"), "key").select("key", "number", "u")
+
+
 def _similar(sig: str, other: str, functions: int) -> Column:
     """Positions at which two signatures agree, for a join's rows."""
 
@@ -154,16 +181,24 @@ def _similar(sig: str, other: str, functions: int) -> Column:
     return agree(F.col(sig), F.col(other))
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows (v, u, set) for ``_confirm``."""
+    sets = sets.select("doc", "set")
+    partners = pairs.join(sets.withColumnRenamed("doc", "u"), "u").select("v", "u", "set")
+    return _own(sets.join(pairs.select(F.col("v").alias("doc")).distinct(), "doc")).unionByName(partners)
+
+
+def _own(sets: DataFrame) -> DataFrame:
+    return sets.select(F.col("doc").alias("v"), F.lit(None).cast("long").alias("u"), "set")
+
+
+def _confirm(both: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose full sets have the similarity.
 
-    Rows come by v, its set before the sets of its partners, so one set is held at a time.
+    ``both`` holds (v, u, set of u), and the set of v itself without u. Rows come by v, its set before
+    the sets of its partners, so one set is held at a time.
     """
-    partners = pairs.join(sets.withColumnRenamed("doc", "u"), "u").select("v", "u", "set")
-    own = sets.join(pairs.select(F.col("v").alias("doc")).distinct(), "doc").select(
-        F.col("doc").alias("v"), F.lit(None).cast("long").alias("u"), "set"
-    )
-    both = own.unionByName(partners).repartition("v").sortWithinPartitions("v", F.col("u").asc_nulls_first())
+    both = both.repartition("v").sortWithinPartitions("v", F.col("u").asc_nulls_first())
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, None
@@ -285,15 +320,11 @@ def near_duplicate_groups(
     reps = cut_lineage(
         known.groupBy("print").agg(*[F.min(c).alias(c) for c in ("doc", "sig", "cells", "n")]).withColumn("u", F.xxhash64("print"))
     )
-    sigs = reps.select("u", "sig", "cells", "n")
-    keyed = _table_keys(reps, bands, rows)
-    bucket = Window.partitionBy("key")
-    counted = keyed.withColumns({
-        "center": F.min("u").over(bucket), "last": F.max("u").over(bucket), "size": F.count(F.lit(1)).over(bucket),
-    })
-    buckets = cut_lineage(counted.where("center < last").drop("last"))
+    buckets = cut_lineage(_buckets(_table_keys(reps, bands, rows)))
+    # most documents share no bucket; the others' signatures are moved several times
+    sigs = cut_lineage(reps.join(buckets.select("u").distinct(), "u", "left_semi").select("u", "sig", "cells", "n"))
     # a bucket of two holds one pair, which is its member and its center
-    crowded = buckets.where("size > 2").select("key", "number", "u")
+    crowded = cut_lineage(_crowded(buckets))
     # first, each document with the most alike of the centers of its buckets
     star = buckets.where("u > center").select("u", F.col("center").alias("v")).distinct()
     mine = sigs.select("u", "sig", "n")
@@ -320,10 +351,13 @@ def near_duplicate_groups(
     # a few bytes for each candidate: a table whose size is known spares the texts a shuffle while it can be broadcast
     holders = cut_lineage(reps.join(wanted, "u").select(F.col("doc").alias("_doc")).distinct())
     texts = docs.join(holders, F.col("doc") == F.col("_doc")).select("text")
-    sets = cut_lineage(
-        texts.mapInArrow(as_sets, "print binary, set binary").select(F.xxhash64("print").alias("doc"), "set").dropDuplicates(["doc"])
-    )
-    links = cut_lineage(_confirm(nearest, sets, percent))
+    named = texts.mapInArrow(as_sets, "print binary, set binary").select(F.xxhash64("print").alias("doc"), "set").dropDuplicates(["doc"])
+    # where repeats meet, each set learns its center and whether it is one: it need not be moved by name again for that
+    centers = nearest.select(F.col("v").alias("doc"), F.lit(None).cast("long").alias("v"), F.lit(True).alias("own")).distinct()
+    roles = nearest.select(F.col("u").alias("doc"), "v", F.lit(False).alias("own")).unionByName(centers)
+    sets = cut_lineage(named.join(roles.groupBy("doc").agg(F.max("v").alias("v"), F.max("own").alias("own")), "doc", "left"))
+    partners = sets.where("v is not null").select("v", F.col("doc").alias("u"), "set")
+    links = cut_lineage(_confirm(_own(sets.where("own")).unionByName(partners), percent))
     roots = cut_lineage(connected_components(links, [], "u", "v"))
     for best in (True, False):
         open_pairs = _open_pairs(crowded, roots, sigs, bands, rows, least, percent, best, block)
@@ -333,16 +367,16 @@ def near_duplicate_groups(
             apart = F.coalesce("root", "u") != F.coalesce("root_v", "v")
             ends = [F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")]
             open_pairs = open_pairs.unionByName(star_pairs.where(apart).select(*ends)).distinct()
-        more = cut_lineage(_confirm(cut_lineage(open_pairs), sets, percent))
+        more = cut_lineage(_confirm(_with_sets(cut_lineage(open_pairs), sets), percent))
         if more.limit(1).count():
             links = links.unionByName(more)
             roots = cut_lineage(connected_components(links, [], "u", "v"))
     rooted = reps.join(roots.withColumnRenamed("node", "u"), "u", "left").select("print", "doc", F.coalesce("root", "u").alias("node"))
     smallest = rooted.groupBy("node").agg(F.min("doc").alias("root"))
     by_print = rooted.join(smallest, "node").select("print", "root")
-    named = signed.join(by_print, "print", "left")
+    placed = signed.join(by_print, "print", "left")
     component = F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc"))
-    return named.select(
+    return placed.select(
         F.col("doc").alias(doc_id), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), component).alias("component_id")
     ).withColumn("kept", F.coalesce(F.col(doc_id) == F.col("component_id"), F.lit(True)))
 

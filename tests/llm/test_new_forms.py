@@ -126,3 +126,33 @@ def test_names_of_candidates_are_written(spark, monkeypatch):
     docs = spark.createDataFrame([(0, "one two three four five six"), (1, "one two three four five six"), (2, "other words")], "doc_id long, text string")
     rows = {r.doc_id: r.component_id for r in near_dedup.near_duplicate_groups(docs, shingle=2).collect()}
     assert rows == {0: 0, 1: 0, 2: 2} and ["_doc"] in seen
+
+
+def test_equal_buckets_are_compared_once(spark):
+    """Buckets of the same members in several tables: the first table's stays, so the first table of each pair does."""
+    from rasterlab.llm import near_dedup
+
+    members = {(10, 5): (1, 2, 3), (11, 2): (1, 2, 3), (12, 9): (1, 2, 3), (13, 0): (1, 2, 4), (14, 3): (1, 2), (15, 7): (1, 2, 3, 4), (16, 8): (9,)}
+    keyed = spark.createDataFrame([(k, n, u) for (k, n), us in members.items() for u in us], "key long, number int, u long")
+    buckets = near_dedup._buckets(keyed)
+    assert {r.key for r in buckets.collect()} == {10, 11, 12, 13, 14, 15}
+    kept = {}
+    for r in near_dedup._crowded(buckets).collect():
+        kept.setdefault((r.key, r.number), set()).add(r.u)
+    assert kept == {k: set(members[k]) for k in ((11, 2), (13, 0), (15, 7))}
+
+
+def test_sets_know_their_center_and_signatures_share_a_bucket(spark, monkeypatch):
+    """Full sets are moved by name once, and only signatures of documents that share a bucket are moved on."""
+    from rasterlab.llm import near_dedup
+
+    seen, cut = {}, near_dedup.cut_lineage
+    monkeypatch.setattr(near_dedup, "cut_lineage", lambda df: seen.setdefault(tuple(df.columns), cut(df)))
+    words = prose(60).split()
+    texts = [" ".join(words), " ".join([*words[:-1], "other"]), prose(60), " ".join(words)]
+    docs = spark.createDataFrame([*enumerate(texts), (1, texts[1])], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in near_dedup.near_duplicate_groups(docs, shingle=2).collect()) == [(0, 0), (1, 0), (1, 0), (2, 2), (3, 0)]
+    assert seen["u", "sig", "cells", "n"].count() == 2
+    sets = seen["doc", "set", "v", "own"].collect()
+    (center,) = [r.doc for r in sets if r.own]
+    assert len(sets) == 2 and [r.v for r in sets if r.doc != center] == [center]
